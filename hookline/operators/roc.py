@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.constants import ALPHA
 from .rank import next_in_order, percentile_splits, prefix_sums, with_bucket
 
-NAN = F.lit(float("nan"))
+def _nan():
+    return F.lit(float("nan"))
 
 
 def score_increments(df: DataFrame, group: list[str], score: str, label: str) -> DataFrame:
@@ -50,8 +51,8 @@ def roc_points(df: DataFrame, group: list[str] | None = None, score: str = "scor
         bend = (F.col("next_tp_d") != F.col("tp_d")) | (F.col("next_fp_d") != F.col("fp_d"))
         cum = cum.withColumn("kept", first | last | bend).drop("next_tp_d", "next_fp_d")
     cum = cum.drop("_bd")
-    return cum.withColumn("tpr", F.when(F.col("n_pos") > 0, F.col("tp") / F.col("n_pos")).otherwise(NAN)) \
-              .withColumn("fpr", F.when(F.col("n_neg") > 0, F.col("fp") / F.col("n_neg")).otherwise(NAN))
+    return cum.withColumn("tpr", F.when(F.col("n_pos") > 0, F.col("tp") / F.col("n_pos")).otherwise(_nan())) \
+              .withColumn("fpr", F.when(F.col("n_neg") > 0, F.col("fp") / F.col("n_neg")).otherwise(_nan()))
 
 
 def with_origin(points: DataFrame, group: list[str] | None = None) -> DataFrame:
@@ -60,8 +61,8 @@ def with_origin(points: DataFrame, group: list[str] | None = None) -> DataFrame:
     heads = points.groupBy(*group).agg(F.first("n_pos").alias("n_pos"), F.first("n_neg").alias("n_neg"))
     origin = heads.select(*group, F.lit(math.inf).alias("score"), F.lit(0).cast("bigint").alias("tp"),
                           F.lit(0).cast("bigint").alias("fp"), "n_pos", "n_neg",
-                          F.when(F.col("n_pos") > 0, F.lit(0.0)).otherwise(NAN).alias("tpr"),
-                          F.when(F.col("n_neg") > 0, F.lit(0.0)).otherwise(NAN).alias("fpr"))
+                          F.when(F.col("n_pos") > 0, F.lit(0.0)).otherwise(_nan()).alias("tpr"),
+                          F.when(F.col("n_neg") > 0, F.lit(0.0)).otherwise(_nan()).alias("fpr"))
     cols = [*group, "score", "tp", "fp", "n_pos", "n_neg", "tpr", "fpr"]
     return points.select(*cols).unionByName(origin)
 
@@ -95,5 +96,5 @@ def calibrate(points: DataFrame, group: list[str] | None = None, alpha: float =
     return agg.select(*group,
                       F.coalesce(F.col("_best.score"), F.col("_low")).alias("tau_cal"),
                       F.col("_best").isNotNull().alias("feasible"),
-                      F.coalesce(F.col("_best.tpr"), F.when(F.col("n_pos") > 0, F.lit(1.0)).otherwise(NAN)).alias("tpr_at_tau"),
-                      F.coalesce(F.col("_best.fpr"), F.when(F.col("n_neg") > 0, F.lit(1.0)).otherwise(NAN)).alias("fpr_at_tau"))
+                      F.coalesce(F.col("_best.tpr"), F.when(F.col("n_pos") > 0, F.lit(1.0)).otherwise(_nan())).alias("tpr_at_tau"),
+                      F.coalesce(F.col("_best.fpr"), F.when(F.col("n_neg") > 0, F.lit(1.0)).otherwise(_nan())).alias("fpr_at_tau"))

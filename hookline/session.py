@@ -20,7 +20,8 @@ def build_session(master: str | None = None, app: str = "hookline",
     if master:
         b = b.master(master)
     parts = shuffle_partitions or int(os.environ.get("HOOKLINE_SHUFFLE_PARTITIONS", "8"))
-    b = (b.config("spark.ui.enabled", "false")
+    b = (b.config("spark.driver.memory", os.environ.get("HOOKLINE_DRIVER_MEMORY", "16g"))
+          .config("spark.ui.enabled", "false")
           .config("spark.ui.showConsoleProgress", "false")
           .config("spark.sql.shuffle.partitions", str(parts))
           .config("spark.sql.adaptive.enabled", "true")
