@@ -43,6 +43,16 @@ def clean_tokens(text) -> Column:
     return F.filter(parts, lambda t: (F.length(t) > 1) & ~t.isin(stops))
 
 
+def raw_clean_parts(text) -> Column:
+    """Whitespace-split, punctuation-free, lower-cased text (before the token filter)."""
+    return F.split(F.regexp_replace(F.lower(_col(text)), PUNCT_CLASS, ""), WS_RUN)
+
+
+def keep_token(t: Column) -> Column:
+    """The token filter of the cleaner, for one token (a plain, codegen'd predicate)."""
+    return (F.length(t) > 1) & ~t.isin(list(STOPWORDS))
+
+
 def clean_text(text) -> Column:
     """The cleaned text: kept tokens joined by one space (null in -> null out)."""
     return F.array_join(clean_tokens(text), " ")

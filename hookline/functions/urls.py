@@ -36,9 +36,10 @@ def count_class(c: Column, negated_class: str) -> Column:
 def char_entropy(c: Column) -> Column:
     """Shannon entropy in bits of the character histogram of ``c`` (0 for '')."""
     n = F.length(c)
-    return F.aggregate(
+    total = F.aggregate(
         F.array_distinct(F.split(c, "")), F.lit(0.0),
         lambda acc, ch: acc - _plogp((n - F.length(F.replace(c, ch, F.lit("")))) / n))
+    return F.when(n > 0, total).otherwise(F.lit(0.0))
 
 
 def _plogp(p: Column) -> Column:

@@ -50,9 +50,13 @@ def email_url_features_inrow(df: DataFrame, spec: list[Feature] = FEATURES_54,
     """
     step = df.select(*keep, extract_urls(text_col).alias("urls"))
     step = step.select(*keep, F.size("urls").alias("n_urls"),
-                       F.transform("urls", url_parts).alias("parts"))
+                       F.transform("urls", url_parts).alias("parts0"))
+    # host / path / nowww are built in their own pass over the array, so the
+    # 54 feature expressions read finished struct fields instead of each
+    # re-deriving them (the optimizer would inline a struct built in the lambda).
+    step = step.select(*keep, "n_urls", F.transform("parts0", finish_parts).alias("parts"))
     step = step.select(*keep, "n_urls",
-                       F.transform("parts", lambda p: feature_struct(finish_parts(p), spec)).alias("feats"))
+                       F.transform("parts", lambda p: feature_struct(p, spec)).alias("feats"))
     return step.select(*keep, "n_urls", *inrow_aggregates(F.col("feats"), F.col("n_urls"), spec))
 
 

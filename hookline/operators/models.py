@@ -20,6 +20,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,7 +59,7 @@ def scaled(cols: list[str], stats: dict[str, tuple[float, float]]) -> list[Colum
 
 def lr(n_rows: int, C: float = LR_C, max_iter: int = LR_MAX_ITER, features: str = "features") -> LogisticRegression:
     return LogisticRegression(featuresCol=features, labelCol="label", regParam=1.0 / (C * max(n_rows, 1)),
-                              elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-9)
+                              elasticNetParam=0.0, standardization=False, maxIter=max_iter)
 
 
 # ---- linear agents over named numeric columns (lexical, stacked) ----
@@ -76,13 +77,19 @@ class LinearAgent:
         return df.select("*", F.struct(*feats).alias("_x")).select("*", *[F.col(f"_x.{c}").alias(f"_f_{c}") for c in self.cols])
 
     def fit(self, df: DataFrame, label: str = "y") -> LinearAgent:
-        train = df.select(*self.cols, F.col(label).cast("double").alias("label"))
-        n = train.count()
-        self.stats = fit_scaler(train, self.cols) if self.scale else {c: (0.0, 1.0) for c in self.cols}
-        x = self._assemble(train)
-        pipe = Pipeline(stages=[VectorAssembler(inputCols=[f"_f_{c}" for c in self.cols], outputCol="features"),
-                                lr(n, self.C)])
-        self.model = pipe.fit(x)
+        # Iterative fit: the (small, projected) training rows are persisted once,
+        # instead of re-running the feature lineage for the count, the scaler
+        # pass and every optimiser iteration.
+        train = df.select(*self.cols, F.col(label).cast("double").alias("label")).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            n = train.count()
+            self.stats = fit_scaler(train, self.cols) if self.scale else {c: (0.0, 1.0) for c in self.cols}
+            x = self._assemble(train)
+            pipe = Pipeline(stages=[VectorAssembler(inputCols=[f"_f_{c}" for c in self.cols], outputCol="features"),
+                                    lr(n, self.C)])
+            self.model = pipe.fit(x)
+        finally:
+            train.unpersist()
         return self
 
     def score(self, df: DataFrame, out: str) -> DataFrame:
@@ -110,35 +117,41 @@ class EmbeddingAgent:
     """P(phishing) from a stored text embedding; rows without one get the fit-set prior."""
     C: float = LR_C
     prior: float = 0.5
+    dim: int = 0
     model: PipelineModel | None = None
 
     def fit(self, df: DataFrame, label: str = "y") -> EmbeddingAgent:
+        df = df.select("embedding", label).persist(StorageLevel.MEMORY_AND_DISK)
         with_vec = df.where(F.col("embedding").isNotNull())
         train = with_vec.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
                                 F.col(label).cast("double").alias("label"))
         stats = df.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(label).cast("double")).alias("rate")).first()
         self.prior = float(stats["rate"] or 0.5)
+        first = with_vec.select(F.size("embedding").alias("d")).first()
+        self.dim = int(first["d"]) if first else 0
         n = train.count()
         self.model = Pipeline(stages=[lr(n, self.C)]).fit(train)
+        df.unpersist()
         return self
 
     def score(self, df: DataFrame, out: str) -> DataFrame:
+        """One pass, no union (so it also runs on a stream): rows without an embedding
+        get a zero vector for the model and the prior as their score."""
         keep = df.columns
-        x = df.withColumn("features", F.when(F.col("embedding").isNotNull(),
-                                             array_to_vector(F.col("embedding").cast("array<double>"))))
-        has = x.where(F.col("features").isNotNull())
-        scored = positive_probability(self.model.transform(has), out).select(*keep, out)
-        missing = x.where(F.col("features").isNull()).select(*keep, F.lit(self.prior).alias(out))
-        return scored.unionByName(missing)
+        zero = F.array_repeat(F.lit(0.0), self.dim)
+        vec = F.coalesce(F.col("embedding").cast("array<double>"), zero)
+        x = df.withColumn("features", array_to_vector(vec))
+        s = positive_probability(self.model.transform(x), "_p")
+        return s.select(*keep, F.when(F.col("embedding").isNull(), F.lit(self.prior)).otherwise(F.col("_p")).alias(out))
 
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/model")
-        _write_meta(path, {"C": self.C, "prior": self.prior})
+        _write_meta(path, {"C": self.C, "prior": self.prior, "dim": self.dim})
 
     @classmethod
     def load(cls, spark, path: str) -> EmbeddingAgent:
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-        a = cls(C=meta["C"], prior=meta["prior"])
+        a = cls(C=meta["C"], prior=meta["prior"], dim=meta["dim"])
         a.model = PipelineModel.load(f"{path}/model")
         return a
 
@@ -167,13 +180,15 @@ class SequenceAgent:
         return df.withColumn("_words", words)
 
     def fit(self, df: DataFrame, label: str = "y") -> SequenceAgent:
-        train = self._words(df).select("_words", F.col(label).cast("double").alias("label"))
+        train = self._words(df).select("_words", F.col(label).cast("double").alias("label")) \
+                    .persist(StorageLevel.MEMORY_AND_DISK)
         parts = self.partitions or df.sparkSession.sparkContext.defaultParallelism
         w2v = Word2Vec(vectorSize=self.dim, minCount=self.min_count, inputCol="_words", outputCol="features",
                        seed=self.seed, maxSentenceLength=SEQ_LEN, numPartitions=parts)
         mlp = MultilayerPerceptronClassifier(layers=[self.dim, self.hidden, 2], maxIter=self.max_iter,
                                              seed=self.seed, featuresCol="features", labelCol="label")
         self.model = Pipeline(stages=[w2v, mlp]).fit(train)
+        train.unpersist()
         return self
 
     def score(self, df: DataFrame, out: str) -> DataFrame:
@@ -201,10 +216,12 @@ class TfidfAgent:
 
     def fit(self, terms: DataFrame, label: str = "y") -> TfidfAgent:
         from .tfidf import fit_tfidf_vectors
+        terms = terms.select("terms", label).persist(StorageLevel.MEMORY_AND_DISK)
         self.features = fit_tfidf_vectors(terms, "terms", "features")
         x = self.features.transform(terms).select("features", F.col(label).cast("double").alias("label"))
         n = x.count()
         self.model = Pipeline(stages=[lr(n, self.C)]).fit(x)
+        terms.unpersist()
         return self
 
     def score(self, terms: DataFrame, out: str) -> DataFrame:

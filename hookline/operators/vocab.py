@@ -17,6 +17,17 @@ def token_freq(tokens: DataFrame, key: str, col: str = "tokens") -> DataFrame:
     return tokens.select(F.explode(col).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
 
 
+def text_token_freq(df: DataFrame, text: str) -> DataFrame:
+    """``(token, freq)`` of the cleaned tokens of a text column.
+
+    Explodes the plain split and filters rows (all whole-stage codegen) instead
+    of exploding the lambda-filtered array, which the generator re-evaluates.
+    """
+    from ..functions.text import keep_token, raw_clean_parts
+    ex = df.select(F.explode(raw_clean_parts(F.col(text))).alias("token"))
+    return ex.where(keep_token(F.col("token"))).groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
+
+
 def top_vocab(freq: DataFrame, max_size: int = VOCAB_MAX, min_freq: int = VOCAB_MIN_FREQ) -> DataFrame:
     """The ``max_size`` most frequent tokens (ties by token), then those with freq >= min_freq.
 

@@ -55,7 +55,7 @@ def fit_fold(t: dict[str, DataFrame], fold: int) -> dict:
     split = hold.where(F.col("train_fold") == fold).select("email_id", "is_cal")
     train = ef.join(split, "email_id")
     fit_rows = train.where(~F.col("is_cal"))
-    vocab = vocab_ids(top_vocab(token_freq(fit_rows, "email_id")))
+    vocab = vocab_ids(top_vocab(token_freq(fit_rows, "email_id")))   # tokens already materialised in parquet
     vocab_path = scratch_path(ef.sparkSession, f"vocab-f{fold}")
     vocab.write.mode("overwrite").parquet(vocab_path)
     vocab = ef.sparkSession.read.parquet(vocab_path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import SEQ_LEN, TFIDF_MAX_TERMS, VOCAB_MAX, VOCAB_MIN_FREQ
 from ..functions.text import clean_tokens
 from ..operators.tfidf import term_counts, term_rows, tfidf_long, top_terms
-from ..operators.vocab import encode_sequences, lookup_counts, pad_to, token_freq, top_vocab, vocab_ids
+from ..operators.vocab import encode_sequences, lookup_counts, pad_to, text_token_freq, top_vocab, vocab_ids
 from ..sources.tables import emails, table
 from . import oracle_sql as O
 from .registry import register
@@ -24,18 +24,22 @@ def _tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", clean_tokens(F.col("text")).alias("tokens"))
 
 
+def _freq(spark, sf_dir):
+    return text_token_freq(table(spark, sf_dir, "documents"), "text")
+
+
 def _vocab(spark, sf_dir):
-    return vocab_ids(top_vocab(token_freq(_tokens(spark, sf_dir), "doc_id")))
+    return vocab_ids(top_vocab(_freq(spark, sf_dir)))
 
 
 @register("agg_token_freq", O.with_ctes(FREQ_CTE) + "SELECT token, CAST(freq AS BIGINT) AS freq FROM freq")
 def agg_token_freq(spark, sf_dir):
-    return token_freq(_tokens(spark, sf_dir), "doc_id").select("token", F.col("freq").cast("bigint").alias("freq"))
+    return _freq(spark, sf_dir).select("token", F.col("freq").cast("bigint").alias("freq"))
 
 
 @register("topk_vocab", O.with_ctes(VOCAB_CTE) + "SELECT token, CAST(freq AS BIGINT) AS freq FROM vocab")
 def topk_vocab(spark, sf_dir):
-    return top_vocab(token_freq(_tokens(spark, sf_dir), "doc_id")).select("token", F.col("freq").cast("bigint").alias("freq"))
+    return top_vocab(_freq(spark, sf_dir)).select("token", F.col("freq").cast("bigint").alias("freq"))
 
 
 @register("win_vocab_ids", O.with_ctes(VOCAB_CTE) + "SELECT token, token_id FROM vocab")
@@ -120,6 +124,6 @@ SELECT w.email_id, w.term, round(w.w / nrm.norm, 6) AS weight FROM w JOIN nrm ON
 def ml_surface_tfidf(spark, sf_dir):
     e = emails(spark, sf_dir)
     n = e.count()
-    tf = term_counts(term_rows(e, "email_id", "raw_text"), "email_id")
+    tf = term_counts(term_rows(e, "email_id", "raw_text"), "email_id").persist()
     out = tfidf_long(tf, "email_id", n, top_terms(tf))
     return out.select("email_id", "term", F.round("weight", 6).alias("weight"))
