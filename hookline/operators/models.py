@@ -228,3 +228,20 @@ class TfidfAgent:
         keep = terms.columns
         x = self.features.transform(terms)
         return positive_probability(self.model.transform(x), out).select(*keep, out)
+
+
+# ---- semantic agent with a caller-supplied text encoder ----
+
+def encoder_scores(df: DataFrame, text_col: str, make_predict_fn, out: str = "p_semantic",
+                   batch_size: int = 32) -> DataFrame:
+    """P(phishing) from a pre-trained encoder with a 2-class head, in Arrow batches of 32.
+
+    ``make_predict_fn`` is called once per Python worker and returns a function
+    ``numpy array of texts -> numpy array of P(phishing)`` (e.g. a tokenizer plus
+    an ONNX/transformer model truncating at 512 tokens). Loading happens on the
+    executors, never on the driver.
+    """
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql.types import DoubleType
+    udf = predict_batch_udf(make_predict_fn, return_type=DoubleType(), batch_size=batch_size)
+    return df.withColumn(out, udf(F.col(text_col)))

@@ -39,3 +39,19 @@ def txt_bigrams(spark, sf_dir):
     t = table(spark, sf_dir, "documents").select("doc_id", word_tokens("text").alias("toks"))
     t = t.select("doc_id", with_bigrams(F.col("toks")).alias("terms"))
     return t.select("doc_id", F.size("terms").cast("bigint").alias("n_terms"), F.array_join("terms", "|").alias("terms"))
+
+
+# ---- stopword removal as a join ----
+from ..functions.constants import STOPWORDS  # noqa: E402
+from ..functions.text import raw_clean_parts  # noqa: E402
+from ..operators.joins import join_bounded  # noqa: E402
+
+
+@register("join_stopword_anti", f"""SELECT doc_id, CAST(len({O.clean_tokens_sql('text')}) AS BIGINT) AS n_kept FROM documents
+WHERE len({O.clean_tokens_sql('text')}) > 0""")
+def join_stopword_anti(spark, sf_dir):
+    """Stopword removal as a left-anti join of exploded tokens with the (39-row) stopword table."""
+    stops = spark.createDataFrame([(w,) for w in STOPWORDS], "token string")
+    ex = table(spark, sf_dir, "documents").select("doc_id", F.explode(raw_clean_parts(F.col("text"))).alias("token"))
+    kept = join_bounded(ex.where(F.length("token") > 1), stops, "token", how="left_anti", max_rows=len(STOPWORDS))
+    return kept.groupBy("doc_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_kept"))

@@ -122,3 +122,6 @@ def agg_email_url_v2_prior(spark, sf_dir):
 from .flagship import flagship, flagship_sql  # noqa: E402
 
 register("flagship_policy_v0", flagship_sql())(flagship)
+
+
+register("url_features_54", _url_group_sql([n for n, _, _ in FEATURES_54]))(_url_group_query([n for n, _, _ in FEATURES_54]))

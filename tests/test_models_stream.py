@@ -65,3 +65,18 @@ def test_entry_contract(spark):
     assert df.count() == 87
     q, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(q) and len(q) >= 90
+
+
+def test_encoder_scores_with_numpy_head(spark):
+    from hookline.operators.models import encoder_scores
+
+    def make():
+        import numpy as np
+
+        def predict(texts):
+            lengths = np.array([len(t) for t in texts], dtype=float)
+            return 1.0 / (1.0 + np.exp(-(lengths - 10.0)))
+        return predict
+    df = spark.createDataFrame([("short",), ("a much longer text here",)], "text string")
+    got = [r["p_semantic"] for r in encoder_scores(df, "text", make).collect()]
+    assert got[0] < 0.5 < got[1]
