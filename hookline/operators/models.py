@@ -169,7 +169,7 @@ class SequenceAgent:
     dim: int = 128
     hidden: int = 128
     min_count: int = 1
-    max_iter: int = 100
+    max_iter: int = 30       # L-BFGS iterations; the replaced network trained <= 20 epochs with early stopping
     seed: int = SEED
     partitions: int | None = None   # Word2Vec training partitions (per-partition models are averaged)
     model: PipelineModel | None = None
