@@ -15,7 +15,7 @@ def stratified_folds(df: DataFrame, key: str = "email_id", label: str = "y",
 
     Every row is in exactly one fold; per class, fold sizes differ by at most one.
     """
-    r = hash_rank(df, [label], key, seed, out="_r")
+    r = hash_rank(df, [label], key, seed, out="_r", max_groups=2)   # labels are 0/1
     return r.withColumn("fold", (F.pmod(F.col("_r") - 1, F.lit(k)) + 1).cast("int")).drop("_r")
 
 
@@ -50,6 +50,7 @@ def holdout_split(df: DataFrame, key: str = "email_id", k: int = N_FOLDS,
     floor(share * n_t) are the calibration rows, the rest fit the models.
     """
     train = fold_complement(df, k)
-    r = hash_rank(train, ["train_fold"], key, F.lit(seed) + F.col("train_fold"), out="_r", totals=True)
+    r = hash_rank(train, ["train_fold"], key, F.lit(seed) + F.col("train_fold"), out="_r", totals=True,
+                  max_groups=k)
     n_cal = F.floor(F.lit(share) * F.col("total__r"))
     return r.withColumn("is_cal", F.col("_r") <= n_cal).drop("_r", "total__r")

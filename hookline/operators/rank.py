@@ -30,11 +30,15 @@ MAX_BUCKETS = 1 << 16
 
 
 def prefix_sums(df: DataFrame, group: list[str], bucket: Column, order: list[Column],
-                values: dict[str, Column], totals: bool = False) -> DataFrame:
+                values: dict[str, Column], totals: bool = False, max_groups: int | None = None) -> DataFrame:
     """Add running sums of ``values`` along ``order`` within each ``group``.
 
     ``bucket`` must be monotone in ``order`` (bucket b rows all precede bucket b+1
     rows). With ``totals``, also adds ``total_<name>`` = the group's full sum.
+    ``max_groups``: a bound on the number of groups known by construction (two
+    classes, k folds). The offsets table then has at most max_groups x
+    MAX_BUCKETS rows and is broadcast without a counting pass; otherwise its
+    size is measured first.
     """
     names = list(values)
     d = df.select("*", bucket.alias("_b"), *[v.alias(f"_v_{n}") for n, v in values.items()])
@@ -45,7 +49,10 @@ def prefix_sums(df: DataFrame, group: list[str], bucket: Column, order: list[Col
         *group, "_b",
         *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in names],
         *([F.sum(f"_s_{n}").over(whole).alias(f"total_{n}") for n in names] if totals else []))
-    d = join_bounded(d, offsets, [*group, "_b"], how="inner", max_rows=4 * MAX_BUCKETS)
+    if max_groups is not None and max_groups <= 64:
+        d = d.join(F.broadcast(offsets), [*group, "_b"], "inner")
+    else:
+        d = join_bounded(d, offsets, [*group, "_b"], how="inner", max_rows=4 * MAX_BUCKETS)
     running = Window.partitionBy(*group, "_b").orderBy(*order) \
                     .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     keep = [c for c in df.columns]
@@ -66,11 +73,12 @@ def hash_order(seed, key: Column) -> tuple[Column, Column]:
 
 
 def hash_rank(df: DataFrame, group: list[str], key: str, seed, out: str = "rank",
-              totals: bool = False) -> DataFrame:
+              totals: bool = False, max_groups: int | None = None) -> DataFrame:
     """1-based rank of rows within ``group`` by md5(seed:key), ties broken by key."""
     h, b = hash_order(seed, F.col(key))
     d = df.withColumn("_h", h)
-    r = prefix_sums(d, group, b, [F.col("_h"), F.col(key)], {out: F.lit(1).cast("bigint")}, totals=totals)
+    r = prefix_sums(d, group, b, [F.col("_h"), F.col(key)], {out: F.lit(1).cast("bigint")}, totals=totals,
+                    max_groups=max_groups)
     return r.drop("_h")
 
 

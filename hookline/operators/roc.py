@@ -28,7 +28,7 @@ def score_increments(df: DataFrame, group: list[str], score: str, label: str) ->
 
 
 def roc_points(df: DataFrame, group: list[str] | None = None, score: str = "score", label: str = "y",
-               prune: bool = False) -> DataFrame:
+               prune: bool = False, max_groups: int | None = None) -> DataFrame:
     """One row per distinct score, descending: cumulative tp/fp, P, N, tpr, fpr.
 
     With ``prune``, collinear points are dropped the way the default ROC curve
@@ -42,7 +42,8 @@ def roc_points(df: DataFrame, group: list[str] | None = None, score: str = "scor
     inc_b = with_bucket(inc, "score", splits, "_bi").withColumn("_bd", F.lit(nb) - F.col("_bi")).drop("_bi")
     order = [F.col("score").desc()]
     cum = prefix_sums(inc_b, group, F.col("_bd"), order,
-                      {"tp": F.col("tp_d"), "fp": F.col("fp_d")}, totals=True)
+                      {"tp": F.col("tp_d"), "fp": F.col("fp_d")}, totals=True,
+                      max_groups=max_groups if group else 1)
     cum = cum.withColumnRenamed("total_tp", "n_pos").withColumnRenamed("total_fp", "n_neg")
     if prune:
         cum = next_in_order(cum, group, "_bd", order, ["tp_d", "fp_d"], head_key=-F.col("score"))

@@ -27,7 +27,7 @@ def fuse(scored: DataFrame, weights=FUSION_WEIGHTS) -> DataFrame:
 
 def thresholds(cal: DataFrame, alpha: float = ALPHA, delta: float = DELTA_BLOCK) -> DataFrame:
     """(fold, tau_cal, tau_block, feasible, tpr_at_tau, fpr_at_tau): one row per fold."""
-    pts = roc_points(cal, ["train_fold"], "p_fused", "y", prune=True)
+    pts = roc_points(cal, ["train_fold"], "p_fused", "y", prune=True, max_groups=N_FOLDS)
     th = calibrate(pts, ["train_fold"], alpha)
     return th.select(F.col("train_fold").alias("fold"), "tau_cal",
                      tau_block(F.col("tau_cal"), delta).alias("tau_block"),
@@ -45,7 +45,7 @@ def decide(test: DataFrame, th: DataFrame) -> DataFrame:
 def fold_metrics(decided: DataFrame, th: DataFrame) -> DataFrame:
     """Per fold: confusion counts, rounded metrics, AUC of the test scores and tau_cal."""
     counts = rates(confusion(decided, ["fold"]))
-    a = auc(roc_points(decided, ["fold"], "p_fused", "y"), ["fold"])
+    a = auc(roc_points(decided, ["fold"], "p_fused", "y", max_groups=N_FOLDS), ["fold"])
     return counts.join(a, "fold", "left").join(th.select("fold", "tau_cal"), "fold", "left") \
                  .select("fold", "TP", "FP", "TN", "FN", "accuracy", "precision", "recall", "f1", "fpr",
                          F.round("auc", 4).alias("auc"), F.round("tau_cal", 4).alias("tau_cal"))
