@@ -57,6 +57,17 @@ def scaled(cols: list[str], stats: dict[str, tuple[float, float]]) -> list[Colum
     return out
 
 
+ROWS_PER_TRAIN_PARTITION = 100_000
+
+
+def right_sized(df: DataFrame, n_rows: int) -> DataFrame:
+    """Fewer partitions for small training sets: iterative optimisers run one job per
+    iteration, and on small data the per-task overhead dominates. Large inputs keep
+    one partition per ~100k rows (never more than they already have)."""
+    want = max(1, -(-n_rows // ROWS_PER_TRAIN_PARTITION))
+    return df.coalesce(want) if want < df.rdd.getNumPartitions() else df
+
+
 def lr(n_rows: int, C: float = LR_C, max_iter: int = LR_MAX_ITER, features: str = "features") -> LogisticRegression:
     return LogisticRegression(featuresCol=features, labelCol="label", regParam=1.0 / (C * max(n_rows, 1)),
                               elasticNetParam=0.0, standardization=False, maxIter=max_iter)
@@ -84,7 +95,7 @@ class LinearAgent:
         try:
             n = train.count()
             self.stats = fit_scaler(train, self.cols) if self.scale else {c: (0.0, 1.0) for c in self.cols}
-            x = self._assemble(train)
+            x = self._assemble(right_sized(train, n))
             pipe = Pipeline(stages=[VectorAssembler(inputCols=[f"_f_{c}" for c in self.cols], outputCol="features"),
                                     lr(n, self.C)])
             self.model = pipe.fit(x)
@@ -130,7 +141,7 @@ class EmbeddingAgent:
         first = with_vec.select(F.size("embedding").alias("d")).first()
         self.dim = int(first["d"]) if first else 0
         n = train.count()
-        self.model = Pipeline(stages=[lr(n, self.C)]).fit(train)
+        self.model = Pipeline(stages=[lr(n, self.C)]).fit(right_sized(train, n))
         df.unpersist()
         return self
 
@@ -182,12 +193,14 @@ class SequenceAgent:
     def fit(self, df: DataFrame, label: str = "y") -> SequenceAgent:
         train = self._words(df).select("_words", F.col(label).cast("double").alias("label")) \
                     .persist(StorageLevel.MEMORY_AND_DISK)
-        parts = self.partitions or df.sparkSession.sparkContext.defaultParallelism
+        n = train.count()
+        parts = self.partitions or max(1, min(df.sparkSession.sparkContext.defaultParallelism,
+                                              -(-n // ROWS_PER_TRAIN_PARTITION)))
         w2v = Word2Vec(vectorSize=self.dim, minCount=self.min_count, inputCol="_words", outputCol="features",
                        seed=self.seed, maxSentenceLength=SEQ_LEN, numPartitions=parts)
         mlp = MultilayerPerceptronClassifier(layers=[self.dim, self.hidden, 2], maxIter=self.max_iter,
                                              seed=self.seed, featuresCol="features", labelCol="label")
-        self.model = Pipeline(stages=[w2v, mlp]).fit(train)
+        self.model = Pipeline(stages=[w2v, mlp]).fit(right_sized(train, n))
         train.unpersist()
         return self
 
@@ -220,7 +233,7 @@ class TfidfAgent:
         self.features = fit_tfidf_vectors(terms, "terms", "features")
         x = self.features.transform(terms).select("features", F.col(label).cast("double").alias("label"))
         n = x.count()
-        self.model = Pipeline(stages=[lr(n, self.C)]).fit(x)
+        self.model = Pipeline(stages=[lr(n, self.C)]).fit(right_sized(x, n))
         terms.unpersist()
         return self
 
