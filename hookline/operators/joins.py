@@ -16,6 +16,6 @@ def join_bounded(big: DataFrame, small: DataFrame, on, how: str = "inner",
     with AQE free to re-plan), so a side that grows with the data never ends up
     in every executor's memory.
     """
-    n = small.count()
+    n = small.limit(max_rows + 1).count()      # stops once the bound is exceeded
     side = F.broadcast(small) if n <= max_rows else small
     return big.join(side, on, how)

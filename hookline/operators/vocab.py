@@ -75,10 +75,10 @@ def encode_sequences(tokens: DataFrame, key: str, vocab: DataFrame, col: str = "
     exploded-and-joined alternative would shuffle one row per token.
     """
     spark = tokens.sparkSession
-    n = vocab.count()
-    if n > VOCAB_MAX:
-        raise ValueError(f"vocabulary of {n} rows exceeds the broadcast bound {VOCAB_MAX}")
-    mapping = {r["token"]: int(r["token_id"]) for r in vocab.select("token", "token_id").collect()}
+    rows = vocab.select("token", "token_id").limit(VOCAB_MAX + 1).collect()   # at most bound + 1 rows
+    if len(rows) > VOCAB_MAX:
+        raise ValueError(f"vocabulary exceeds the broadcast bound {VOCAB_MAX}")
+    mapping = {r["token"]: int(r["token_id"]) for r in rows}
     bc = spark.sparkContext.broadcast(mapping)
     head = tokens.select(key, F.slice(col, 1, length).alias("_head"))
     key_type = dict(head.dtypes)[key]
