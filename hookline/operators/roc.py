@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import ALPHA
+from ..session import ensure_checkpoint_dir
 from .rank import next_in_order, percentile_splits, prefix_sums, with_bucket
 
 def _nan():
@@ -36,7 +37,10 @@ def roc_points(df: DataFrame, group: list[str] | None = None, score: str = "scor
     whose increment differs from the next point's increment. ``kept`` marks them.
     """
     group = list(group or [])
-    inc = score_increments(df, group, score, label).persist()
+    # Read three times (count, split points, running sums): cut the lineage with a
+    # reliable checkpoint in the shared folder rather than holding executor memory.
+    ensure_checkpoint_dir(df.sparkSession)
+    inc = score_increments(df, group, score, label).checkpoint(eager=True)
     splits = percentile_splits(inc, "score", inc.count())
     nb = len(splits) - 2
     inc_b = with_bucket(inc, "score", splits, "_bi").withColumn("_bd", F.lit(nb) - F.col("_bi")).drop("_bi")
