@@ -8,6 +8,7 @@ from ..functions.constants import SEQ_LEN, TFIDF_MAX_TERMS, VOCAB_MAX, VOCAB_MIN
 from ..functions.text import clean_tokens
 from ..operators.tfidf import term_counts, term_rows, tfidf_long, top_terms
 from ..operators.vocab import encode_sequences, lookup_counts, pad_to, text_token_freq, top_vocab, vocab_ids
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import emails, table
 from . import oracle_sql as O
 from .registry import register
@@ -124,6 +125,7 @@ SELECT w.email_id, w.term, round(w.w / nrm.norm, 6) AS weight FROM w JOIN nrm ON
 def ml_surface_tfidf(spark, sf_dir):
     e = emails(spark, sf_dir)
     n = e.count()
-    tf = term_counts(term_rows(e, "email_id", "raw_text"), "email_id").persist()
+    ensure_checkpoint_dir(spark)
+    tf = term_counts(term_rows(e, "email_id", "raw_text"), "email_id").checkpoint(eager=True)   # read 3x
     out = tfidf_long(tf, "email_id", n, top_terms(tf))
     return out.select("email_id", "term", F.round("weight", 6).alias("weight"))
