@@ -12,10 +12,11 @@ small-star.
 3. In each band bucket the class with the most bucket mates overall leads
    (in a group of near copies that is the text they were copied from). Members
    are compared with their leaders: signatures first, then full sets.
-4. Buckets whose members still lie in several components are completed:
-   outsiders are compared with all members in blocks of bounded size, so no
-   pair in a bucket that could join two components is left out and none is
-   enumerated that could not.
+4. Clusters (the members that share a leader) which still lie in several
+   components are completed: outsiders meet all members in blocks of bounded
+   size. What a pair can share is bounded by what each shares with the leader
+   plus the common rest, so only pairs that may reach the similarity and join
+   two components leave a block; none of those is left out.
 5. Components are labelled by large-star / small-star on written edge tables.
 
 Rows: a null or blank text has an empty set and links with nothing. Repeated
@@ -199,51 +200,91 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _block_pairs(min_same: int):
-    """Outsiders against other members of one block: pairs in different components
-    whose signatures are near enough."""
+def _common(left: list, right: list) -> np.ndarray:
+    """Sizes of the intersections of every left set with every right set."""
+    n = [np.array([len(x) for x in side], np.int64) for side in (left, right)]
+    flat = [np.concatenate(side) if len(side) else np.zeros(0, np.int64) for side in (left, right)]
+    both = np.intersect1d(*flat)
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not len(both):
+        return out
+    place = []
+    for f, m in zip(flat, n):
+        at = np.minimum(np.searchsorted(both, f), len(both) - 1)
+        hit = both[at] == f
+        place.append((np.repeat(np.arange(len(m)), m)[hit], at[hit]))
+    for c in range(0, len(both), 4096):  # incidence matrices of bounded width
+        grid = []
+        for (row, at), m in zip(place, n):
+            use = (at >= c) & (at < c + 4096)
+            g = np.zeros((len(m), min(4096, len(both) - c)), np.float32)
+            g[row[use], at[use] - c] = 1
+            grid.append(g)
+        out += grid[0] @ grid[1].T
+    return out
+
+
+def _block_pairs(percent: int):
+    """Outsiders of a cluster against other members, one block of each: the pairs in
+    different components that can reach the similarity.
+
+    A member is n shingles, of which ``rest`` are not the leader's. Two members
+    share at most the smaller count of leader shingles plus their common rest.
+    """
+    min_same = math.ceil((percent / 100 - MARGIN) * N_MINIMA)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        side = pdf["out"].to_numpy()
+        l, r = np.flatnonzero(side), np.flatnonzero(~side)
+        rid, root, n = (pdf[c].to_numpy() for c in ("rid", "root", "n_shingles"))
+        rest = [np.asarray(x, np.int64) for x in pdf["rest"]]
+        kept = n - np.array([len(x) for x in rest])
+        most = np.minimum(kept[l][:, None], kept[r][None, :]) + _common([rest[i] for i in l],
+                                                                        [rest[i] for i in r])
+        union = n[l][:, None] + n[r][None, :] - most
+        x, y = np.nonzero((most * 100 >= union * percent) & (root[l][:, None] != root[r][None, :]))
+        x, y = l[x], r[y]
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), -1)
-        rid, root, side = pdf["rid"].to_numpy(), pdf["root"].to_numpy(), pdf["out"].to_numpy()
-        right = np.flatnonzero(~side)
-        a, b = [], []
-        for i in np.flatnonzero(side):
-            near = right[((sig[right] == sig[i]).sum(1) >= min_same) & (root[right] != root[i])]
-            a.append(np.full(len(near), rid[i]))
-            b.append(rid[near])
-        a = np.concatenate(a) if a else np.zeros(0, np.int64)
-        b = np.concatenate(b) if b else np.zeros(0, np.int64)
+        near = np.array([(sig[i] == sig[j]).sum() >= min_same for i, j in zip(x, y)], bool)
+        a, b = rid[x[near]], rid[y[near]]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
     return run
 
 
-def _cross_candidates(members: DataFrame, comp: DataFrame, sketch: DataFrame, percent: int
-                      ) -> DataFrame:
-    """Near signatures across components within buckets that hold several."""
-    m = members.select("bucket", "rid", "leader").join(
+def _cross_candidates(members: DataFrame, comp: DataFrame, sketch: DataFrame, sets: DataFrame,
+                      percent: int) -> DataFrame:
+    """Candidates between components among the members that share a leader.
+
+    All that share a bucket share its leader. Pairs with the leader itself have
+    been verified, so clusters of two and pairs without an outsider need no more.
+    """
+    m = members.where("rid <> leader").select("leader", "rid").distinct().join(
         comp.select(F.col("node").alias("rid"), "root"), "rid", "left").withColumn(
         "root", F.coalesce("root", "rid"))
     lead = comp.select(F.col("node").alias("leader"), F.col("root").alias("lead_root"))
     m = m.join(lead, "leader", "left").withColumn("lead_root", F.coalesce("lead_root", "leader"))
-    m = materialise(m.select("bucket", "rid", "root", (F.col("root") != F.col("lead_root")).alias("out")),
-                    "near-members")
-    mixed = m.groupBy("bucket").agg(F.count("*").alias("n"),
-                                    F.sum(F.col("out").cast("long")).alias("n_out")).where("n_out > 0")
-    m = join_skewed(m, mixed, "bucket", "n", max(1, m.count()), "rid", "inner")
-    m = m.join(sketch.select("rid", "sig"), "rid")
+    m = materialise(m.select("leader", "rid", "root",
+                             (F.col("root") != F.col("lead_root")).alias("out")), "near-clusters")
+    mixed = m.groupBy("leader").agg(
+        F.count("*").alias("n"), F.sum(F.col("out").cast("long")).alias("n_out")).where(
+        "n_out > 0 and n > 1")
+    m = join_skewed(m, mixed, "leader", "n", max(1, m.count()), "rid", "inner")
+    m = m.join(sketch.select("rid", "sig", "n_shingles"), "rid").join(sets, "rid").join(
+        sets.select(F.col("rid").alias("leader"), F.col("shingles").alias("lead_set")), "leader")
+    m = materialise(m.select("leader", "rid", "root", "out", "n", "n_out", "n_shingles", "sig",
+                             F.array_except("shingles", "lead_set").alias("rest")), "near-clusters")
     h = F.xxhash64("rid")
     n_left = F.ceil(F.col("n_out") / BLOCK).cast("int")
     n_right = F.ceil(F.col("n") / BLOCK).cast("int")
-    cols = ["bucket", "rid", "root", "sig"]
+    cols = ["leader", "rid", "root", "n_shingles", "sig", "rest"]
     left = m.where("out").select(*cols, F.lit(True).alias("out"),
                                  F.pmod(h, n_left).cast("int").alias("i"),
                                  F.explode(F.sequence(F.lit(0), n_right - 1)).alias("j"))
     right = m.select(*cols, F.lit(False).alias("out"),
                      F.explode(F.sequence(F.lit(0), n_left - 1)).alias("i"),
                      F.pmod(h, n_right).cast("int").alias("j"))
-    min_same = math.ceil((percent / 100 - MARGIN) * N_MINIMA)
-    return left.unionByName(right).groupBy("bucket", "i", "j").applyInPandas(
-        _block_pairs(min_same), "a long, b long").distinct()
+    return left.unionByName(right).groupBy("leader", "i", "j").applyInPandas(
+        _block_pairs(percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -298,7 +339,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = materialise(_verify(stars, sketch_reps, sets, percent)
                         .select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links")
     comp = connected_components(links, "near-cc")
-    more = materialise(_verify(_cross_candidates(members, comp, sketch_reps, percent),
+    more = materialise(_verify(_cross_candidates(members, comp, sketch_reps, sets, percent),
                                sketch_reps, sets, percent)
                        .select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links")
     if more.limit(1).count():
