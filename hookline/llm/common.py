@@ -37,6 +37,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Column that numbers the rows of a written table; no table should bring its own.
+ROW = "_llm_row"
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The rows written with a number each, so that decisions on rows can be joined back."""
+    return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
 def join_skewed(big: DataFrame, small: DataFrame, key: str, count: str, total: int,
                 spread: str, how: str = "left") -> DataFrame:
     """Join ``big`` to ``small`` (one row per key, ``count`` = rows of the key in big).

@@ -35,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (ascii_lower, join_skewed, materialise, mix, prefix_hashes, shingle_hashes,
-                     slices, span_hash, utf8, with_columns_of, word_spans)
+from .common import (ROW, ascii_lower, join_skewed, materialise, mix, numbered, prefix_hashes,
+                     shingle_hashes, slices, span_hash, utf8, with_columns_of, word_spans)
 
 N_MINIMA, ROWS_PER_BAND = 128, 4
 BLOCK = 256
@@ -94,7 +94,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _sketch(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n_shingles", pa.int64()),
+    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("n_shingles", pa.int64()),
                         ("f1", pa.int64()), ("f2", pa.int64()), ("sig", pa.binary()),
                         ("bands", pa.list_(pa.int64()))])
 
@@ -111,7 +111,7 @@ def _sketch(k: int):
                 sigs = pa.Array.from_buffers(pa.binary(N_MINIMA * 4), len(sig),
                                              [None, pa.py_buffer(np.ascontiguousarray(sig))])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("row_key"), pa.array(np.diff(off)),
+                    [part.column("rid"), part.column("doc_id"), part.column("row_key"), pa.array(np.diff(off)),
                      pa.array(f1), pa.array(f2), sigs.cast(pa.binary()), bands], schema=schema)
     return run
 
@@ -287,19 +287,21 @@ def _cross_candidates(members: DataFrame, comp: DataFrame, sketch: DataFrame, se
         _block_pairs(percent), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(row_key, doc_id, n_shingles, component_id, kept_row) per row of docs.
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, row: str | None = None
+                    ) -> DataFrame:
+    """(rid, doc_id, n_shingles, component_id, kept_row) per row of docs.
 
-    ``row_key`` is a hash of id and text; ``kept_row`` marks one row of each
-    component: the one with the smallest id.
+    ``row`` names a column that numbers the rows, if there is one; ``rid`` is
+    that number or a new one. ``kept_row`` marks one row of each component: the
+    one with the smallest id.
     """
-    spark = docs.sparkSession
-    d = with_columns_of(docs, {"doc_id": "long", "text": "string"}).withColumn(
-        "row_key", F.xxhash64("doc_id", "text"))
-    sketch = materialise(
-        d.mapInArrow(_sketch(k), "doc_id long, row_key long, n_shingles long, f1 long, f2 long, "
-                                 "sig binary, bands array<long>")
-        .withColumn("rid", F.monotonically_increasing_id()), "near-sketch")
+    d = with_columns_of(docs, {"doc_id": "long", "text": "string"} | ({row: "long"} if row else {}))
+    # texts are fetched again by a hash, as rows of a plan have no lasting number
+    d = d.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    d = d.withColumnRenamed(row, "rid") if row else d.withColumn("rid", F.monotonically_increasing_id())
+    sketch = materialise(d.mapInArrow(
+        _sketch(k), "rid long, doc_id long, row_key long, n_shingles long, f1 long, f2 long, "
+                    "sig binary, bands array<long>"), "near-sketch")
     total = max(1, sketch.count())
 
     # classes of equal sets; the first row by (id, rid) stands for its class
@@ -358,15 +360,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     c = c.select("f1", "f2", "copies", F.coalesce("component_id", "first_doc").alias("component_id"),
                  F.coalesce("kept_rid", "rid").alias("kept_rid"))
     c = c.select(F.col("f1").alias("key"), F.col("f2").alias("key2"), "copies", "component_id", "kept_rid")
-    rows = sketch.select("doc_id", "row_key", "rid", "n_shingles", F.col("f1").alias("key"), "f2")
+    rows = sketch.select("doc_id", "rid", "n_shingles", F.col("f1").alias("key"), "f2")
     out = join_skewed(rows, c, "key", "copies", total, "rid")
     has = (F.col("n_shingles") > 0) & (F.col("f2") == F.col("key2"))
     return out.select(
-        "row_key", "doc_id", "rid", "n_shingles",
+        "rid", "doc_id", "n_shingles",
         F.when(has, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(has, F.col("rid") == F.col("kept_rid")).otherwise(F.lit(True)).alias("kept_row"))
 
 
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component, all columns as they were."""
+    d = numbered(docs, "near-docs")
+    kept = near_duplicates(d, k, percent, ROW).where("kept_row").select(F.col("rid").alias(ROW))
+    return d.join(kept, ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op9(docs: DataFrame) -> DataFrame:
     """Contract of op9_minhash: two-word shingles at similarity 0.8."""
     r = near_duplicates(docs, k=2, percent=80)

@@ -129,36 +129,37 @@ def _price(values: np.ndarray, sizes: np.ndarray, most: np.ndarray, capacity: in
     return out
 
 
-def solve_fractional(sizes: np.ndarray, demand: np.ndarray, capacity: int, steps: int, rate: float = 6.0,
-                     step: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    """(configurations, amounts) that cover the demand approximately.
-
-    Prices start at the sizes (dual feasible: no sequence is worth more than
-    the capacity) and are multiplied by exp(-rate * share covered so far,
-    compared with the mean); each step adds the best-priced configuration.
+def solve_fractional(sizes: np.ndarray, demand: np.ndarray, capacity: int, steps: int,
+                     rate: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
+    """(configurations, amounts) that cover the demand, none of it twice.
+
+    Prices start at size * (1 + size / capacity), as large pieces are the
+    hardest to combine, and are multiplied by exp(-rate * share covered so
+    far, compared with the mean). Each step prices a configuration of what is
+    uncovered and adds as much of it as its scarcest size allows.
     """
-    covered = np.zeros(len(sizes))
+    left = demand.astype(float)
     area = (sizes * demand).sum()
-    done = 0.0
+    prices = sizes * (1 + sizes / capacity)
     found: dict[bytes, int] = {}
     configs, amounts = [], []
     for _ in range(steps):
-        ahead = covered / demand - done / area
-        a = _price(sizes * np.exp(-rate * ahead), sizes, demand, capacity)
+        use = np.flatnonzero(left > 1e-9)
+        if not len(use):
+            break
+        ahead = 1 - left / demand - (1 - (sizes * left).sum() / area)
+        a = np.zeros(len(sizes), np.int64)
+        a[use] = _price((prices * np.exp(-rate * ahead))[use], sizes[use],
+                        np.ceil(left[use] - 1e-9).astype(np.int64), capacity)
         used = a > 0
-        amount = step * (demand[used] / a[used]).min()
-        left = (area - done) / (a * sizes).sum()
-        amount = min(amount, left)
+        amount = (left[used] / a[used]).min()
         key = a.tobytes()
         if key in found:
             amounts[found[key]] += amount
         else:
             found[key] = len(configs)
             configs.append(a), amounts.append(amount)
-        covered += amount * a
-        done += amount * (a * sizes).sum()
-        if done >= area * (1 - 1e-9):
-            break
+        left = np.maximum(left - amount * a, 0)
     return np.array(configs), np.array(amounts)
 
 

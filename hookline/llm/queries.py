@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, packing, toxicity
+from . import decontaminate, minhash, packing, secrets, toxicity
 from .common import table
 
 
@@ -30,8 +30,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op3(table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op6(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
+    "op6_secrets": op6_secrets,
     "op8_decontamination": op8_decontamination,
     "op9_minhash": op9_minhash,
     "op10_toxicity": op10_toxicity,
