@@ -10,7 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, packing, secrets, toxicity
+from . import (decontaminate, html_text, minhash, neighbours, packing, secrets, substring, toxicity,
+               warc)
 from .common import table
 
 
@@ -34,9 +35,29 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op6(table(spark, sf_dir, "documents"))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op1(table(spark, sf_dir, "pages"))
+
+
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.op2(table(spark, sf_dir, "pages"))
+
+
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.op5(table(spark, sf_dir, "documents"))
+
+
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.op7(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
+    "op2_html": op2_html,
     "op3_packing": op3_packing,
+    "op5_substring": op5_substring,
     "op6_secrets": op6_secrets,
+    "op7_neighbours": op7_neighbours,
     "op8_decontamination": op8_decontamination,
     "op9_minhash": op9_minhash,
     "op10_toxicity": op10_toxicity,
