@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (decontaminate, html_text, minhash, neighbours, packing, secrets, substring, toxicity,
-               warc)
+from . import (decontaminate, html_text, minhash, neighbours, packing, pii, secrets, substring,
+               toxicity, warc)
 from .common import table
 
 
@@ -51,10 +51,15 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.op7(table(spark, sf_dir, "embeddings"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op4(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_html": op2_html,
     "op3_packing": op3_packing,
+    "op4_pii": op4_pii,
     "op5_substring": op5_substring,
     "op6_secrets": op6_secrets,
     "op7_neighbours": op7_neighbours,

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import ROW, join_skewed, materialise, numbered, slices, utf8, with_columns_of
 
-MIN_CHUNK, MAX_CHUNK, BITS = 16, 512, 5
+MIN_CHUNK, MAX_CHUNK, NEAR_CUT, BITS = 16, 160, 64, 5
 MIN_RUN = 96
 
 _GEAR = np.random.default_rng(77).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -71,7 +71,7 @@ def cuts_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             to = min(places[i] if i < len(places) else stop, stop)
             if to - at > MAX_CHUNK:
                 # no end in reach, as in periodic text: the first largest hash is content-defined too
-                to = at + MIN_CHUNK + int(h[at + MIN_CHUNK - 1:at + MAX_CHUNK - 1].argmax())
+                to = at + MIN_CHUNK + int(h[at + MIN_CHUNK - 1:at + NEAR_CUT - 1].argmax())
                 while not lead[to]:
                     to += 1
             out.append(to)
