@@ -33,7 +33,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     a lost executor costs a read, not a recomputation."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

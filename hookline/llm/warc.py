@@ -151,7 +151,7 @@ class _Writer:
                 self.fs.create_dir(self.folder, recursive=True)
                 self.name, self.size, self.records = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                 self.out = self.fs.open_output_stream(f"{self.folder}/{self.name}", compression=None)
-            self.gz = zlib.compressobj(3, zlib.DEFLATED, 31)
+            self.gz = zlib.compressobj(6, zlib.DEFLATED, 31)
             self._put(self.gz.compress(_head(self.run, r)))
         if r["response"] is None:
             self._put(self.gz.compress(r["data"]))
@@ -177,7 +177,7 @@ def write_archives(pages: DataFrame, min_revisit: int = 0) -> tuple[str, DataFra
     chunks = materialise(chunk_records(pages), "warc-chunks")
     folder = scratch_path(pages.sparkSession, "warc")
     run_id = str(uuid.uuid4())
-    rows = chunks.join(decide(chunks, min_revisit), "record").repartition("record").sortWithinPartitions(
+    rows = chunks.drop("digest_so_far", "bytes_so_far").join(decide(chunks, min_revisit), "record").repartition("record").sortWithinPartitions(
         "record", "chunk")
     schema = pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
 
