@@ -22,6 +22,8 @@ by the search and kept by ``drop_contaminated``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -176,14 +178,14 @@ class Items:
                     best[key] = new
 
 
-def item_blocks(benchmark: DataFrame) -> list[Items]:
+def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
     """The items in blocks by hash; a block is a bounded query set."""
     b = with_columns_of(benchmark, {"item_id": "long", "text": "string"}).where("text is not null")
     blocks = max(1, -(-b.count() // ITEM_BLOCK))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     for i in range(blocks):
-        rows = b.where(part == i).toPandas()
-        yield Items(rows["item_id"].tolist(), rows["text"].tolist())
+        rows = b.where(part == i).collect()
+        yield Items([r["item_id"] for r in rows], [r["text"] for r in rows])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (ascii_lower, mix, prefix_hashes, slices, span_hash, utf8, with_columns_of,
-                     word_spans)
+from .common import (ascii_lower, materialise, mix, prefix_hashes, slices, span_hash, utf8,
+                     with_columns_of, word_spans)
 
 MAX_TRAIN = 30_000
 MAX_TERMS = 50_000
@@ -331,7 +331,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     spark = docs.sparkSession
     sample = spark.createDataFrame(rows.astype({"toxic": "int64"}) if len(rows) else [],
                                    "doc_id long, toxic long, fold long")
-    train = d.join(F.broadcast(sample), "doc_id")
+    # one row an id: what is learned from stays bounded, and the documents are scanned once for it
+    train = materialise(d.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]), "toxicity-train")
     share = float(rows["toxic"].mean()) if len(rows) else 0.0
     if not 0 < share < 1:
         return {"share": share}
@@ -354,8 +355,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     fixed, person = _words_of(LEXICON), _words_of(SECOND_PERSON)
     got = train.select("text", "toxic", "fold").mapInArrow(
         _feature_rows(halves, fixed, person), "x binary, toxic long, fold long").toPandas()
-    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), -1)
+    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, N_FEATURES)
     y, fold = got["toxic"].to_numpy(float), got["fold"].to_numpy()
+    if not 0 < y.sum() < len(y):  # labels whose documents are missing
+        return {"share": share}
     order = np.lexsort((*x.T, y, fold))  # the same model whatever order tasks ended in
     x, y, fold = x[order], y[order], fold[order]
     out = np.zeros(len(y))
