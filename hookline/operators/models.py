@@ -57,17 +57,6 @@ def scaled(cols: list[str], stats: dict[str, tuple[float, float]]) -> list[Colum
     return out
 
 
-ROWS_PER_TRAIN_PARTITION = 100_000
-
-
-def right_sized(df: DataFrame, n_rows: int) -> DataFrame:
-    """Fewer partitions for small training sets: iterative optimisers run one job per
-    iteration, and on small data the per-task overhead dominates. Large inputs keep
-    one partition per ~100k rows (never more than they already have)."""
-    want = max(1, -(-n_rows // ROWS_PER_TRAIN_PARTITION))
-    return df.coalesce(want) if want < df.rdd.getNumPartitions() else df
-
-
 def lr(n_rows: int, C: float = LR_C, max_iter: int = LR_MAX_ITER, features: str = "features") -> LogisticRegression:
     return LogisticRegression(featuresCol=features, labelCol="label", regParam=1.0 / (C * max(n_rows, 1)),
                               elasticNetParam=0.0, standardization=False, maxIter=max_iter)
@@ -95,7 +84,7 @@ class LinearAgent:
         try:
             n = train.count()
             self.stats = fit_scaler(train, self.cols) if self.scale else {c: (0.0, 1.0) for c in self.cols}
-            x = self._assemble(right_sized(train, n))
+            x = self._assemble(train)
             pipe = Pipeline(stages=[VectorAssembler(inputCols=[f"_f_{c}" for c in self.cols], outputCol="features"),
                                     lr(n, self.C)])
             self.model = pipe.fit(x)
@@ -133,22 +122,26 @@ class EmbeddingAgent:
 
     def fit(self, df: DataFrame, label: str = "y") -> EmbeddingAgent:
         df = df.select("embedding", label).persist(StorageLevel.MEMORY_AND_DISK)
-        with_vec = df.where(F.col("embedding").isNotNull())
-        train = with_vec.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
-                                F.col(label).cast("double").alias("label"))
-        stats = df.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(label).cast("double")).alias("rate")).first()
-        self.prior = float(stats["rate"] or 0.5)
-        first = with_vec.select(F.size("embedding").alias("d")).first()
-        self.dim = int(first["d"]) if first else 0
-        n = train.count()
-        self.model = Pipeline(stages=[lr(n, self.C)]).fit(right_sized(train, n))
-        df.unpersist()
+        try:
+            with_vec = df.where(F.col("embedding").isNotNull())
+            train = with_vec.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
+                                    F.col(label).cast("double").alias("label"))
+            rate = df.agg(F.avg(F.col(label).cast("double")).alias("rate")).first()["rate"]
+            self.prior = 0.5 if rate is None else float(rate)
+            first = with_vec.select(F.size("embedding").alias("d")).first()
+            self.dim = int(first["d"]) if first else 0
+            # without any embedding every row gets the prior
+            self.model = Pipeline(stages=[lr(train.count(), self.C)]).fit(train) if first else None
+        finally:
+            df.unpersist()
         return self
 
     def score(self, df: DataFrame, out: str) -> DataFrame:
         """One pass, no union (so it also runs on a stream): rows without an embedding
         get a zero vector for the model and the prior as their score."""
         keep = df.columns
+        if self.model is None:
+            return df.withColumn(out, F.lit(self.prior))
         zero = F.array_repeat(F.lit(0.0), self.dim)
         vec = F.coalesce(F.col("embedding").cast("array<double>"), zero)
         x = df.withColumn("features", array_to_vector(vec))
@@ -156,14 +149,15 @@ class EmbeddingAgent:
         return s.select(*keep, F.when(F.col("embedding").isNull(), F.lit(self.prior)).otherwise(F.col("_p")).alias(out))
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(f"{path}/model")
+        if self.model is not None:
+            self.model.write().overwrite().save(f"{path}/model")
         _write_meta(path, {"C": self.C, "prior": self.prior, "dim": self.dim})
 
     @classmethod
     def load(cls, spark, path: str) -> EmbeddingAgent:
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
         a = cls(C=meta["C"], prior=meta["prior"], dim=meta["dim"])
-        a.model = PipelineModel.load(f"{path}/model")
+        a.model = PipelineModel.load(f"{path}/model") if a.dim else None
         return a
 
 
@@ -176,13 +170,20 @@ class SequenceAgent:
     Input column ``ids``: the fixed-length id sequence (0 = padding, 1 = unknown).
     Ids are turned into word strings so Word2Vec's own vocabulary is bounded by
     the id vocabulary (at most 30,002 words), whatever the corpus size.
+
+    Word2Vec averages one model per training partition, so ``partitions`` is
+    part of the model: a fixed argument, never derived from rows or cores.
+    Training rows are dealt to that many partitions by a hash of the row and
+    sorted, so the fit does not depend on how the input was partitioned. The
+    network trains to ``tol`` or for ``max_iter`` L-BFGS iterations.
     """
     dim: int = 128
     hidden: int = 128
     min_count: int = 1
-    max_iter: int = 30       # L-BFGS iterations; the replaced network trained <= 20 epochs with early stopping
+    max_iter: int = 200
+    tol: float = 1e-6
     seed: int = SEED
-    partitions: int | None = None   # Word2Vec training partitions (per-partition models are averaged)
+    partitions: int = 4
     model: PipelineModel | None = None
 
     @staticmethod
@@ -191,17 +192,17 @@ class SequenceAgent:
         return df.withColumn("_words", words)
 
     def fit(self, df: DataFrame, label: str = "y") -> SequenceAgent:
-        train = self._words(df).select("_words", F.col(label).cast("double").alias("label")) \
-                    .persist(StorageLevel.MEMORY_AND_DISK)
-        n = train.count()
-        parts = self.partitions or max(1, min(df.sparkSession.sparkContext.defaultParallelism,
-                                              -(-n // ROWS_PER_TRAIN_PARTITION)))
+        train = self._words(df).select("_words", F.col(label).cast("double").alias("label"))
+        train = train.withColumn("_h", F.xxhash64("_words", "label")).repartition(self.partitions, "_h") \
+                     .sortWithinPartitions("_h").drop("_h").persist(StorageLevel.MEMORY_AND_DISK)
         w2v = Word2Vec(vectorSize=self.dim, minCount=self.min_count, inputCol="_words", outputCol="features",
-                       seed=self.seed, maxSentenceLength=SEQ_LEN, numPartitions=parts)
+                       seed=self.seed, maxSentenceLength=SEQ_LEN, numPartitions=self.partitions)
         mlp = MultilayerPerceptronClassifier(layers=[self.dim, self.hidden, 2], maxIter=self.max_iter,
-                                             seed=self.seed, featuresCol="features", labelCol="label")
-        self.model = Pipeline(stages=[w2v, mlp]).fit(right_sized(train, n))
-        train.unpersist()
+                                             tol=self.tol, seed=self.seed, featuresCol="features", labelCol="label")
+        try:
+            self.model = Pipeline(stages=[w2v, mlp]).fit(train)
+        finally:
+            train.unpersist()
         return self
 
     def score(self, df: DataFrame, out: str) -> DataFrame:
@@ -230,11 +231,12 @@ class TfidfAgent:
     def fit(self, terms: DataFrame, label: str = "y") -> TfidfAgent:
         from .tfidf import fit_tfidf_vectors
         terms = terms.select("terms", label).persist(StorageLevel.MEMORY_AND_DISK)
-        self.features = fit_tfidf_vectors(terms, "terms", "features")
-        x = self.features.transform(terms).select("features", F.col(label).cast("double").alias("label"))
-        n = x.count()
-        self.model = Pipeline(stages=[lr(n, self.C)]).fit(right_sized(x, n))
-        terms.unpersist()
+        try:
+            self.features = fit_tfidf_vectors(terms, "terms", "features")
+            x = self.features.transform(terms).select("features", F.col(label).cast("double").alias("label"))
+            self.model = Pipeline(stages=[lr(x.count(), self.C)]).fit(x)
+        finally:
+            terms.unpersist()
         return self
 
     def score(self, terms: DataFrame, out: str) -> DataFrame:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions.constants import PAD_ID, SEQ_LEN, UNK_ID, VOCAB_MAX, VOCAB_MIN_FREQ
 from .joins import join_bounded
@@ -66,30 +69,38 @@ def lookup_counts(tokens: DataFrame, key: str, vocab: DataFrame, col: str = "tok
                               F.sum(F.when(F.col("token_id").isNull(), 1).otherwise(0)).alias("n_unknown"))
 
 
-def encode_sequences(tokens: DataFrame, key: str, vocab: DataFrame, col: str = "tokens",
-                     length: int = SEQ_LEN, out: str = "ids") -> DataFrame:
-    """token array -> fixed-length id array (unknown -> 1, padding 0), without a shuffle.
+def attach_sequences(df: DataFrame, vocab: DataFrame, col: str = "tokens", length: int = SEQ_LEN,
+                     out: str = "ids") -> DataFrame:
+    """All columns of ``df`` and the fixed-length id array of ``col`` (unknown -> 1, padding 0).
 
-    The vocabulary (at most ``VOCAB_MAX`` rows, so a proven size bound) is
-    broadcast as a dict and applied per Arrow batch with ``mapInPandas``: the
-    exploded-and-joined alternative would shuffle one row per token.
+    No shuffle, join or state, so it also runs on a stream: the vocabulary (at
+    most ``VOCAB_MAX`` rows, checked) goes to the tasks and whole Arrow batches
+    are looked up at once.
     """
-    spark = tokens.sparkSession
     rows = vocab.select("token", "token_id").limit(VOCAB_MAX + 1).collect()   # at most bound + 1 rows
     if len(rows) > VOCAB_MAX:
         raise ValueError(f"vocabulary exceeds the broadcast bound {VOCAB_MAX}")
-    mapping = {r["token"]: int(r["token_id"]) for r in rows}
-    bc = spark.sparkContext.broadcast(mapping)
-    head = tokens.select(key, F.slice(col, 1, length).alias("_head"))
-    key_type = dict(head.dtypes)[key]
+    words = pa.array([r["token"] for r in rows], pa.string())
+    numbers = np.array([r["token_id"] for r in rows] + [UNK_ID], np.int32)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = bc.value
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seqs = []
-            for toks in b["_head"]:
-                ids = [table.get(t, UNK_ID) for t in (toks if toks is not None else [])]
-                seqs.append(ids + [PAD_ID] * (length - len(ids)))
-            yield pd.DataFrame({key: b[key], out: seqs})
+            lists = b.column("_head")
+            at = pc.index_in(lists.flatten().cast(pa.string()), value_set=words).fill_null(len(words)).to_numpy(
+                zero_copy_only=False)
+            sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+            rows = np.repeat(np.arange(len(sizes)), sizes)
+            places = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            ids = np.full((len(sizes), length), PAD_ID, np.int32)
+            ids[rows, places] = numbers[at]
+            column = pa.ListArray.from_arrays(np.arange(0, length * len(sizes) + 1, length, dtype=np.int32), ids.reshape(-1))
+            names = [n for n in b.schema.names if n != "_head"]
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], column], [*names, out])
+    schema = StructType([*df.schema.fields, StructField(out, ArrayType(IntegerType()))])
+    return df.withColumn("_head", F.slice(col, 1, length)).mapInArrow(encode, schema)
+
 
-    return head.mapInPandas(encode, f"{key} {key_type}, {out} array<int>")
+def encode_sequences(tokens: DataFrame, key: str, vocab: DataFrame, col: str = "tokens",
+                     length: int = SEQ_LEN, out: str = "ids") -> DataFrame:
+    """(key, fixed-length id array) per row."""
+    return attach_sequences(tokens.select(key, col), vocab, col, length, out).select(key, out)

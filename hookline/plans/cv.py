@@ -8,6 +8,7 @@ a loop over k (= 4) groups of Spark jobs, not over data.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from ..operators.email_urls import agg_names, email_url_features_inrow
 from ..operators.folds import holdout_split, stratified_folds
 from ..operators.metrics import cv_pooled, cv_summary
 from ..operators.models import EmbeddingAgent, LinearAgent, SequenceAgent
-from ..operators.vocab import encode_sequences, token_freq, top_vocab, vocab_ids
+from ..operators.vocab import attach_sequences, token_freq, top_vocab, vocab_ids
 from ..session import scratch_path
 from ..sources.tables import emails, table, urls
 from .evaluate import decide, fold_metrics, fuse, thresholds
@@ -29,6 +30,12 @@ LEX_COLS = agg_names(FEATURES_54)
 AGENTS = ("semantic", "textual", "lexical")
 
 
+def featurise(mail: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """Tokens and the 108 URL features of raw mail, row by row (also on a stream)."""
+    e = mail.select(*keep, "raw_text", clean_tokens(F.col("raw_text")).alias("tokens"))
+    return email_url_features_inrow(e, FEATURES_54, keep=(*keep, "tokens"))
+
+
 def feature_tables(spark: SparkSession, sf_dir: str, k: int = N_FOLDS, seed: int = SEED) -> dict[str, DataFrame]:
     """Email and URL feature tables with folds, each written once to the checkpoint folder.
 
@@ -36,9 +43,7 @@ def feature_tables(spark: SparkSession, sf_dir: str, k: int = N_FOLDS, seed: int
     and size-check passes then read two pruned parquet columns instead of
     re-running URL extraction and the 108 aggregates.
     """
-    e = emails(spark, sf_dir)
-    e = e.select("email_id", "y", "raw_text", clean_tokens(F.col("raw_text")).alias("tokens"))
-    lex = email_url_features_inrow(e, FEATURES_54, keep=("email_id", "y", "tokens"))
+    lex = featurise(emails(spark, sf_dir), ("email_id", "y"))
     emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("email_id"), "embedding")
     u = urls(spark, sf_dir).select("url_id", "y", F.col("url").alias("raw_text"))
     ulex = email_url_features_inrow(u, FEATURES_54, keep=("url_id", "y"))
@@ -68,20 +73,15 @@ def fit_fold(t: dict[str, DataFrame], fold: int) -> dict:
     vocab = ef.sparkSession.read.parquet(vocab_path)
     lexical = LinearAgent(LEX_COLS).fit(t["urls"].where(F.col("fold") != fold))
     semantic = EmbeddingAgent().fit(fit_rows)
-    textual = SequenceAgent().fit(with_ids(fit_rows, vocab))
+    textual = SequenceAgent().fit(attach_sequences(fit_rows, vocab))
     return {"fold": fold, "vocab": vocab, "semantic": semantic, "textual": textual, "lexical": lexical,
             "split": split}
 
 
-def with_ids(df: DataFrame, vocab: DataFrame) -> DataFrame:
-    ids = encode_sequences(df.select("email_id", "tokens"), "email_id", vocab)
-    return df.join(ids, "email_id")
-
-
 def score_agents(df: DataFrame, m: dict, weights=FUSION_WEIGHTS) -> DataFrame:
     """p_semantic, p_textual, p_lexical and p_fused for the rows of ``df`` (one row each)."""
     s = m["semantic"].score(df, "p_semantic")
-    s = m["textual"].score(with_ids(s, m["vocab"]), "p_textual")
+    s = m["textual"].score(attach_sequences(s, m["vocab"]), "p_textual")
     s = m["lexical"].score(s, "p_lexical")
     return fuse(s, weights)
 
@@ -117,7 +117,9 @@ def run_fold(t: dict[str, DataFrame], fold: int, alpha: float = ALPHA, weights=F
 def cross_validate(spark: SparkSession, sf_dir: str, k: int = N_FOLDS, seed: int = SEED,
                    alpha: float = ALPHA, weights=FUSION_WEIGHTS, save_dir: str | None = None) -> dict[str, DataFrame]:
     t = feature_tables(spark, sf_dir, k, seed)
-    runs = [run_fold(t, f, alpha, weights, save_dir) for f in range(1, k + 1)]
+    # folds are independent groups of jobs; their small iterative jobs fill each other's gaps
+    with ThreadPoolExecutor(k) as pool:
+        runs = list(pool.map(lambda f: run_fold(t, f, alpha, weights, save_dir), range(1, k + 1)))
     fm = reduce(DataFrame.unionByName, [r["fold_metrics"] for r in runs])
     th = reduce(DataFrame.unionByName, [r["thresholds"] for r in runs])
     dec = reduce(DataFrame.unionByName, [r["decided"] for r in runs])

@@ -43,9 +43,14 @@ def prior_logit(cols: dict[str, Column] | None = None) -> Column:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec = email_url_features_inrow(emails(spark, sf_dir), FEATURES_54)
-    score = F.round(1.0 / (1.0 + F.exp(-prior_logit())), 6)
-    return vec.select("email_id", "y", F.col("n_urls").cast("bigint").alias("n_urls"),
-                      score.alias("score")).withColumn("action", policy_v0(F.col("score")))
+    return prior_decision(vec)
+
+
+def prior_decision(vec: DataFrame) -> DataFrame:
+    """Score and action; the action is taken on the unrounded score."""
+    s = vec.select("email_id", "y", F.col("n_urls").cast("bigint").alias("n_urls"),
+                   (1.0 / (1.0 + F.exp(-prior_logit()))).alias("p"))
+    return s.select("email_id", "y", "n_urls", F.round("p", 6).alias("score"), policy_v0(F.col("p")).alias("action"))
 
 
 def flagship_sql() -> str:
@@ -63,8 +68,8 @@ def flagship_sql() -> str:
         f"ex AS (SELECT email_id, unnest({O.extract_urls_sql('raw_text')}) AS url FROM emails)",
         f"f AS (SELECT email_id, {per_url} FROM ex)",
         f"""s AS (SELECT m.email_id, m.y, CAST(count(f.email_id) AS BIGINT) AS n_urls,
-                 round(1.0::DOUBLE / (1.0::DOUBLE + exp(-({z}))), 6) AS score
+                 1.0::DOUBLE / (1.0::DOUBLE + exp(-({z}))) AS score
           FROM emails m LEFT JOIN f ON m.email_id = f.email_id GROUP BY m.email_id, m.y)""") + """
-SELECT email_id, y, n_urls, score,
+SELECT email_id, y, n_urls, round(score, 6) AS score,
        CASE WHEN score >= 0.85 THEN 'quarantine' WHEN score >= 0.5 THEN 'mirror' ELSE 'deliver' END AS action
 FROM s"""

@@ -15,13 +15,13 @@ from ..operators.email_urls import agg_names, email_url_features_inrow
 from ..operators.models import EmbeddingAgent, LinearAgent, SequenceAgent, TfidfAgent
 from ..operators.policy import policy_v0
 from ..operators.tfidf import doc_terms
-from ..operators.vocab import token_freq, top_vocab, vocab_ids
+from ..operators.vocab import token_freq, top_vocab, vocab_ids, attach_sequences
 from ..session import scratch_path
 from ..sources import csv as C
 from ..sources import fixtures as X
 from ..sources.tables import emails, mail, table, urls
 from . import oracle_sql as O
-from .cv import cross_validate, load_fold, score_agents, with_ids
+from .cv import cross_validate, load_fold, score_agents
 from .evaluate import fuse
 from .q_eval import FUSED
 from .q_urls import KIND54, _email_agg_sql
@@ -92,7 +92,7 @@ def _tokens_table(spark, sf_dir):
 def ml_textual_score(spark, sf_dir):
     t = _tokens_table(spark, sf_dir)
     vocab = vocab_ids(top_vocab(token_freq(t, "email_id")))
-    x = with_ids(t, vocab)
+    x = attach_sequences(t, vocab)
     return SequenceAgent().fit(x).score(x, "p_textual").select("email_id", "y", "p_textual")
 
 
@@ -136,7 +136,7 @@ _CV: dict = {}
 
 
 def _cv(spark, sf_dir):
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CV:
         save = scratch_path(spark, "cv-models")
         _CV[key] = (cross_validate(spark, sf_dir, save_dir=save), save)

@@ -6,18 +6,16 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import FEATURES_54
 from ..operators.email_urls import email_url_features_inrow
-from ..operators.policy import policy_tiers, policy_v0
-from ..sources.tables import emails
+from ..operators.policy import policy_tiers
+from ..sources.tables import emails, table
 from ..streaming.route import run_to_completion
-from .flagship import flagship_sql, prior_logit
+from .flagship import flagship_sql, prior_decision
 from .registry import register
 
 
 def prior_route(df):
     vec = email_url_features_inrow(df, FEATURES_54)
-    score = F.round(1.0 / (1.0 + F.exp(-prior_logit())), 6)
-    out = vec.select("email_id", "y", F.col("n_urls").cast("bigint").alias("n_urls"), score.alias("score"))
-    return out.withColumn("action", policy_v0(F.col("score")))
+    return prior_decision(vec)
 
 
 @register("stream_score_route", flagship_sql())
@@ -29,17 +27,19 @@ def stream_score_route(spark, sf_dir):
 
 @register("stream_score_route_fitted")
 def stream_score_route_fitted(spark, sf_dir):
-    """Emails arrive as files and are scored by fold 1's saved agents and thresholds."""
-    from .cv import load_fold, score_agents
+    """Raw mail arrives as files and is cleaned, featurised, encoded and scored in-stream, row by
+    row, by fold 1's saved agents and thresholds."""
+    from .cv import featurise, load_fold, score_agents
     from .q_models import _cv
-    res, save = _cv(spark, sf_dir)
+    _, save = _cv(spark, sf_dir)
     m = load_fold(spark, save, 1)
     th = m["thresholds"].select("tau_cal", "tau_block").first()
-    feats = res["tables"]["emails"]
+    vec = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("email_id"), "embedding")
+    mail = emails(spark, sf_dir).select("email_id", "y", "raw_text").join(vec, "email_id", "left")
 
     def fitted_route(df):
-        s = score_agents(df, m)
+        s = score_agents(featurise(df, ("email_id", "y", "embedding")), m)
         return s.select("email_id", "y", F.round("p_fused", 6).alias("p_fused"),
                         policy_tiers(F.col("p_fused"), F.lit(th["tau_cal"]), F.lit(th["tau_block"])).alias("action"))
-    got = run_to_completion(spark, feats, fitted_route, "route-fitted")
+    got = run_to_completion(spark, mail, fitted_route, "route-fitted")
     return got.select("email_id", "y", "p_fused", "action")

@@ -35,10 +35,4 @@ def all_sql() -> dict[str, str]:
 
 def _load_all() -> None:
     # importing the modules registers their queries
-    from . import q_text, q_urls  # noqa: F401
-    for mod in ("q_sources", "q_eval", "q_models", "q_vocab", "q_stream"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:
-            if e.name != f"{__package__}.{mod}":
-                raise
+    from . import q_eval, q_models, q_sources, q_stream, q_text, q_urls, q_vocab  # noqa: F401

@@ -13,17 +13,18 @@ def build_session(master: str | None = None, app: str = "hookline",
                   shuffle_partitions: int | None = None) -> SparkSession:
     """Session with AQE on and the UI off.
 
-    ``shuffle_partitions`` is only a starting point: AQE coalesces small
-    partitions and splits skewed ones at run time.
+    ``shuffle_partitions`` (or HOOKLINE_SHUFFLE_PARTITIONS) is set only if given;
+    otherwise the cluster's own setting holds.
     """
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    parts = shuffle_partitions or int(os.environ.get("HOOKLINE_SHUFFLE_PARTITIONS", "8"))
+    parts = shuffle_partitions or os.environ.get("HOOKLINE_SHUFFLE_PARTITIONS")
+    if parts:
+        b = b.config("spark.sql.shuffle.partitions", str(parts))
     b = (b.config("spark.driver.memory", os.environ.get("HOOKLINE_DRIVER_MEMORY", "16g"))
           .config("spark.ui.enabled", "false")
           .config("spark.ui.showConsoleProgress", "false")
-          .config("spark.sql.shuffle.partitions", str(parts))
           .config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -39,8 +40,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     The folder named by ``spark.checkpoint.dir`` is used when the cluster sets
-    it; only when nothing is configured (tests, a laptop) is a fresh local
-    folder created and registered.
+    it; a fresh local folder is made only where nothing is configured and the
+    master is local (tests, a laptop). On a cluster that is an error, as
+    executors would write to their own disks.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,6 +50,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current.rsplit("/", 1)[0] if _looks_like_uuid(current.rsplit("/", 1)[-1]) else current
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="hookline-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return conf_dir

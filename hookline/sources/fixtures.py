@@ -96,16 +96,19 @@ def write_lines(df: DataFrame, path: str) -> str:
 
 
 def write_ragged_file(spark: SparkSession, sf_dir: str) -> str:
-    """Header ``a,b,c``; each page gives one line with 3, 2, 4, 5 or 4-with-empty fields."""
+    """Header ``a,b,c``; each page gives one line with 3, 2, 4 or 5 fields, or extra fields that are empty."""
     path = scratch_path(spark, "ragged")
     pages = table(spark, sf_dir, "pages").select("page_id")
     i = F.col("page_id").cast("string")
     r = F.col("page_id") % 5
+    page_kind = F.floor(F.col("page_id") / 5) % 3
     line = (F.when(r == 0, F.concat_ws(",", i, F.lit("x"), F.lit("y")))
              .when(r == 1, F.concat_ws(",", i, F.lit("x")))
              .when(r == 2, F.concat_ws(",", i, F.lit("x"), F.lit("y"), F.lit("z")))
              .when(r == 3, F.concat_ws(",", i, F.lit("x"), F.lit("y"), F.lit("z"), F.lit("w")))
-             .otherwise(F.concat(i, F.lit(",x,y,"))))
+             .when(page_kind == 0, F.concat(i, F.lit(",x,y,")))
+             .when(page_kind == 1, F.concat(i, F.lit(",x,y,,")))
+             .otherwise(F.concat(i, F.lit(",x,y,,w"))))
     head = spark.createDataFrame([("a,b,c",)], "value string")
     # the header must be the first line of the (single) file
     lines = head.select(F.lit(0).alias("o"), "value").unionByName(
