@@ -42,6 +42,12 @@ def decide(test: DataFrame, th: DataFrame) -> DataFrame:
             .withColumn("sdn_action", enforcement(F.col("action")))
 
 
+def decision_record(decided: DataFrame, digits: int) -> DataFrame:
+    """The full record of each decision: agent and fused scores, thresholds, action, enforcement."""
+    scores = [F.round(c, digits).alias(c) for c in ("p_fused", "p_semantic", "p_textual", "p_lexical", "tau_cal", "tau_block")]
+    return decided.select("fold", "email_id", *scores, "action", "sdn_action")
+
+
 def fold_metrics(decided: DataFrame, th: DataFrame) -> DataFrame:
     """Per fold: confusion counts, rounded metrics, AUC of the test scores and tau_cal."""
     counts = rates(confusion(decided, ["fold"]))
@@ -56,7 +62,8 @@ def split_scored(scored: DataFrame, k: int = N_FOLDS, seed: int = SEED):
     folded = stratified_folds(scored, "email_id", "y", k, seed)
     hold = holdout_split(folded, "email_id", k, seed=seed)
     cal = hold.where(F.col("is_cal")).select("train_fold", "email_id", "y", "p_fused")
-    test = folded.select("fold", "email_id", "y", "p_fused")
+    agents = [c for c in ("p_semantic", "p_textual", "p_lexical") if c in folded.columns]
+    test = folded.select("fold", "email_id", "y", *agents, "p_fused")
     return folded, hold, cal, test
 
 

@@ -13,7 +13,7 @@ from ..operators.roc import auc, calibrate, roc_points, with_origin
 from ..session import scratch_path
 from ..sources.tables import agent_score, scored, table, urls
 from . import oracle_sql as O
-from .evaluate import decide, evaluate_scored, fuse, split_scored, thresholds
+from .evaluate import decide, decision_record, evaluate_scored, fuse, split_scored, thresholds
 from .registry import register
 
 W = "0.3333333333333333::DOUBLE"
@@ -266,12 +266,17 @@ def proj_threshold_predict(spark, sf_dir):
     return _eval(spark, sf_dir)["decided"].select("fold", "email_id", "y", "y_pred")
 
 
-@register("ml_policy", EVAL + """SELECT fold, email_id, round(p_fused, 4) AS p_fused, action,
+RECORD = """SELECT d.fold, d.email_id, round(d.p_fused, {n}) AS p_fused, round(s.p_semantic, {n}) AS p_semantic,
+  round(s.p_textual, {n}) AS p_textual, round(s.p_lexical, {n}) AS p_lexical, round(d.tau_cal, {n}) AS tau_cal,
+  round(d.tau_block, {n}) AS tau_block, d.action,
   CASE action WHEN 'BLOCK' THEN 'quarantine_via_simulated_southbound_API' WHEN 'MONITOR' THEN 'mirror_to_analysis_vlan_tag_for_review'
-              ELSE 'deliver_without_intervention' END AS sdn_action FROM dec""")
+              ELSE 'deliver_without_intervention' END AS sdn_action
+FROM dec d JOIN scored s ON s.email_id = d.email_id"""
+
+
+@register("ml_policy", EVAL + RECORD.format(n=4))
 def ml_policy(spark, sf_dir):
-    d = _eval(spark, sf_dir)["decided"]
-    return d.select("fold", "email_id", F.round("p_fused", 4).alias("p_fused"), "action", "sdn_action")
+    return decision_record(_eval(spark, sf_dir)["decided"], 4)
 
 
 @register("agg_confusion", EVAL + "SELECT fold, TP, FP, TN, FN FROM cm")
@@ -319,9 +324,10 @@ def sink_thresholds(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@register("sink_decisions", EVAL + "SELECT fold, email_id, round(p_fused, 6) AS p_fused, action FROM dec")
+@register("sink_decisions", EVAL + RECORD.format(n=6))
 def sink_decisions(spark, sf_dir):
     path = scratch_path(spark, "decisions")
-    d = _eval(spark, sf_dir)["decided"].select("fold", "email_id", F.round("p_fused", 6).alias("p_fused"), "action")
-    d.write.mode("overwrite").partitionBy("action").parquet(path)
-    return spark.read.parquet(path).select("fold", "email_id", "p_fused", "action")
+    d = decision_record(_eval(spark, sf_dir)["decided"], 6)
+    # the sink also holds the time of the decision, which no two runs share
+    d.withColumn("decided_at", F.current_timestamp()).write.mode("overwrite").partitionBy("action").parquet(path)
+    return spark.read.parquet(path).select(*d.columns)

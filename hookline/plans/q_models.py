@@ -133,6 +133,7 @@ def ml_policy_v0(spark, sf_dir):
 # ---- cross-validation (trained once per session and data folder) ----
 
 _CV: dict = {}
+AGENT_SCORES = ("p_semantic", "p_textual", "p_lexical")
 
 
 def _cv(spark, sf_dir):
@@ -176,7 +177,8 @@ def src_reload_score(spark, sf_dir):
     ef = _cv(spark, sf_dir)[0]["tables"]["emails"]
     s = score_agents(ef, m)
     th = m["thresholds"].select("tau_cal", "tau_block")
-    from ..operators.policy import policy_tiers
+    from ..operators.policy import enforcement, policy_tiers
     return s.crossJoin(F.broadcast(th)).select(
-        "email_id", "y", F.round("p_fused", 6).alias("p_fused"),
-        policy_tiers(F.col("p_fused"), F.col("tau_cal"), F.col("tau_block")).alias("action"))
+        "email_id", "y", *[F.round(c, 6).alias(c) for c in ("p_fused", *AGENT_SCORES, "tau_cal", "tau_block")],
+        policy_tiers(F.col("p_fused"), F.col("tau_cal"), F.col("tau_block")).alias("action")) \
+        .withColumn("sdn_action", enforcement(F.col("action")))

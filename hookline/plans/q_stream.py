@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import FEATURES_54
 from ..operators.email_urls import email_url_features_inrow
-from ..operators.policy import policy_tiers
+from ..operators.policy import enforcement, policy_tiers
 from ..sources.tables import emails, table
 from ..streaming.route import run_to_completion
 from .flagship import flagship_sql, prior_decision
@@ -39,7 +39,10 @@ def stream_score_route_fitted(spark, sf_dir):
 
     def fitted_route(df):
         s = score_agents(featurise(df, ("email_id", "y", "embedding")), m)
-        return s.select("email_id", "y", F.round("p_fused", 6).alias("p_fused"),
-                        policy_tiers(F.col("p_fused"), F.lit(th["tau_cal"]), F.lit(th["tau_block"])).alias("action"))
+        scores = [F.round(c, 6).alias(c) for c in ("p_fused", "p_semantic", "p_textual", "p_lexical")]
+        s = s.select("email_id", "y", *scores, F.lit(th["tau_cal"]).alias("tau_cal"), F.lit(th["tau_block"]).alias("tau_block"),
+                     policy_tiers(F.col("p_fused"), F.lit(th["tau_cal"]), F.lit(th["tau_block"])).alias("action"))
+        return s.withColumn("sdn_action", enforcement(F.col("action"))).withColumn("decided_at", F.current_timestamp())
     got = run_to_completion(spark, mail, fitted_route, "route-fitted")
-    return got.select("email_id", "y", "p_fused", "action")
+    return got.drop("decided_at").select("email_id", "y", "p_fused", "p_semantic", "p_textual", "p_lexical", "tau_cal",
+                                         "tau_block", "action", "sdn_action")
