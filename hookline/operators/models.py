@@ -245,6 +245,19 @@ class TfidfAgent:
         return positive_probability(self.model.transform(x), out).select(*keep, out)
 
 
+    def save(self, path: str) -> None:
+        self.features.write().overwrite().save(f"{path}/features")
+        self.model.write().overwrite().save(f"{path}/model")
+        _write_meta(path, {"C": self.C})
+
+    @classmethod
+    def load(cls, spark, path: str) -> TfidfAgent:
+        a = cls(C=json.loads(spark.read.text(f"{path}/meta").first()[0])["C"])
+        a.features = PipelineModel.load(f"{path}/features")
+        a.model = PipelineModel.load(f"{path}/model")
+        return a
+
+
 # ---- semantic agent with a caller-supplied text encoder ----
 
 def encoder_scores(df: DataFrame, text_col: str, make_predict_fn, out: str = "p_semantic",

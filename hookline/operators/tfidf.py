@@ -8,20 +8,19 @@ without the +1, so the vector form rescales term counts by (idf + 1).
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, IDF, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import TFIDF_MAX_TERMS
 from ..functions.text import with_bigrams, word_tokens
-from .joins import join_bounded
 
 
-def doc_terms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, terms)``: lower-cased word tokens followed by adjacent pairs (array form)."""
-    toks = df.select(key, word_tokens(text).alias("_t"))
-    return toks.select(key, with_bigrams(F.col("_t")).alias("terms"))
+def doc_terms(df: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
+    """``(key, *keep, terms)``: lower-cased word tokens followed by adjacent pairs (array form)."""
+    toks = df.select(key, *keep, word_tokens(text).alias("_t"))
+    return toks.select(key, *keep, with_bigrams(F.col("_t")).alias("terms"))
 
 
 def term_rows(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -52,15 +51,21 @@ def top_terms(tf: DataFrame, k: int = TFIDF_MAX_TERMS) -> DataFrame:
 def tfidf_long(tf: DataFrame, key: str, n_docs: int, vocab: DataFrame) -> DataFrame:
     """``(key, term, weight)``: tf * (ln((1+n)/(1+df)) + 1), L2-normalised per document."""
     v = vocab.select("term", (F.log((F.lit(1.0) + n_docs) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
-    j = join_bounded(tf, v, "term", how="inner", max_rows=TFIDF_MAX_TERMS)
+    j = tf.join(F.broadcast(v), "term")   # the vocabulary has at most TFIDF_MAX_TERMS rows
     raw = j.select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
 def fit_tfidf_vectors(terms: DataFrame, col: str = "terms", out: str = "tfidf", k: int = TFIDF_MAX_TERMS):
-    """Fitted feature stages: CountVectorizer(k) -> IDF -> (idf + 1) rescale -> L2 normaliser."""
-    cv = CountVectorizer(inputCol=col, outputCol="_tf", vocabSize=k).fit(terms)
+    """Fitted feature stages: term counts -> (idf + 1) rescale -> L2 normaliser.
+
+    The vocabulary is the k most frequent terms with ties by term, as in
+    ``top_terms``; CountVectorizer's own fit takes any of the tied terms.
+    """
+    corpus = terms.select(F.explode(col).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    vocab = [r["term"] for r in corpus.orderBy(F.col("n").desc(), F.col("term")).limit(k).collect()]
+    cv = CountVectorizerModel.from_vocabulary(vocab, inputCol=col, outputCol="_tf")
     counted = cv.transform(terms)
     idf = IDF(inputCol="_tf", outputCol="_ignored").fit(counted)
     scale = ElementwiseProduct(inputCol="_tf", outputCol="_tfidf",

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import ALPHA, DELTA_BLOCK, FUSION_WEIGHTS, N_FOLDS, SEED
 from ..operators.folds import holdout_split, stratified_folds
-from ..operators.joins import join_bounded
 from ..operators.metrics import confusion, rates
 from ..operators.policy import enforcement, late_fusion, policy_tiers, tau_block
 from ..operators.roc import auc, calibrate, roc_points
@@ -35,8 +34,9 @@ def thresholds(cal: DataFrame, alpha: float = ALPHA, delta: float = DELTA_BLOCK)
 
 
 def decide(test: DataFrame, th: DataFrame) -> DataFrame:
-    """Attach the fold's thresholds (k rows, broadcast) and apply the three-tier policy."""
-    t = join_bounded(test, th.select("fold", "tau_cal", "tau_block"), "fold", max_rows=10_000)
+    """Attach the fold's thresholds (one row a fold, so broadcast without a count) and apply the
+    three-tier policy. A fold without a threshold keeps its rows, undecided as ALLOW."""
+    t = test.join(F.broadcast(th.select("fold", "tau_cal", "tau_block")), "fold", "left")
     return t.select("*", (F.col("p_fused") >= F.col("tau_cal")).cast("int").alias("y_pred"),
                     policy_tiers(F.col("p_fused"), F.col("tau_cal"), F.col("tau_block")).alias("action")) \
             .withColumn("sdn_action", enforcement(F.col("action")))

@@ -223,11 +223,11 @@ def win_roc_prune(spark, sf_dir):
               for n in ("p_semantic", "p_textual", "p_lexical", "p_fused")))
 def agg_auc(spark, sf_dir):
     s = fuse(scored(spark, sf_dir))
-    out = None
-    for n in ("p_semantic", "p_textual", "p_lexical", "p_fused"):
-        a = auc(roc_points(s, [], n, "y")).select(F.round("auc", 6).alias(f"auc_{n[2:]}"))
-        out = a if out is None else out.crossJoin(a)   # 1 row x 1 row
-    return out
+    names = ("p_semantic", "p_textual", "p_lexical", "p_fused")
+    # all four curves in one pass: rows by agent, one group each
+    long = s.unpivot("y", list(names), "agent", "score")
+    each = auc(roc_points(long, ["agent"], "score", "y", max_groups=len(names)), ["agent"])
+    return each.agg(*[F.round(F.max(F.when(F.col("agent") == n, F.col("auc"))), 6).alias(f"auc_{n[2:]}") for n in names])
 
 
 _CAL_SELECT = "SELECT fold, round(tau_cal, 6) AS tau_cal, feasible, round(tpr_at_tau, 6) AS tpr_at_tau, round(fpr_at_tau, 6) AS fpr_at_tau FROM th"

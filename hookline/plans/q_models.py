@@ -73,8 +73,7 @@ def ml_lexical_feature_table(spark, sf_dir):
 
 
 def _terms(spark, sf_dir):
-    return doc_terms(emails(spark, sf_dir).select("email_id", "y", "raw_text"), "email_id", "raw_text") \
-        .join(emails(spark, sf_dir).select("email_id", "y"), "email_id")
+    return doc_terms(emails(spark, sf_dir), "email_id", "raw_text", "y")
 
 
 @register("ml_surface_score")

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from hookline.operators.models import EmbeddingAgent, SequenceAgent
+from hookline.operators.models import EmbeddingAgent, SequenceAgent, TfidfAgent
 from hookline.operators.vocab import attach_sequences
 from hookline.plans.cv import featurise
 from hookline.sources import csv as C
@@ -38,6 +38,20 @@ def test_prior_of_a_clean_fit_set_is_zero_and_no_embedding_is_defined(spark, tmp
     assert {round(r.p, 6) for r in again.score(d, "p").collect()} == {round(2 / 3, 6)}
 
 
+def test_tfidf_agent_vocabulary_ties_and_reload(spark, tmp_path):
+    rows = [(i, i % 2, ["common", f"odd{i % 7}" if i % 2 else f"even{i % 5}", f"rare{i}"]) for i in range(40)]
+    d = spark.createDataFrame(rows, "email_id long, y int, terms array<string>")
+    from hookline.operators.tfidf import fit_tfidf_vectors
+    vocabs = [fit_tfidf_vectors(d.repartition(n), "terms", "v", k=20).stages[0].vocabulary for n in (1, 4)]
+    assert vocabs[0] == vocabs[1] and vocabs[0][0] == "common" and vocabs[0][-1] == "rare14"
+    a = TfidfAgent().fit(d)
+    want = {r.email_id: r.p for r in a.score(d, "p").collect()}
+    assert all(0 <= p <= 1 for p in want.values())
+    a.save(str(tmp_path / "t"))
+    again = TfidfAgent.load(spark, str(tmp_path / "t"))
+    assert {r.email_id: r.p for r in again.score(d, "p").collect()} == want
+
+
 def test_strict_reader_rejects_and_tolerant_reader_skips_extra_fields(spark, tmp_path):
     import pytest
     good = ["1,2,3", "1,2", '1,"a,b",3', '1,"say ""x,y""",3', "1,,"]

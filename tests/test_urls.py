@@ -7,6 +7,7 @@ from hookline.sources.tables import mail
 
 SF001 = "/root/testdata/sf0.001"
 
+# fixed value: the worked example whose features are derived by hand in FIXTURES.md
 GOLDEN = "http://secure-login-verify.com/confirm?user=you&token=abc123"
 EXPECTED = {
     "url_len": 60, "n_dot": 1, "n_hyphen": 2, "n_underscore": 0, "n_slash": 3, "n_qmark": 1, "n_equal": 2,
