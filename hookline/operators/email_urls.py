@@ -60,6 +60,24 @@ def email_url_features_inrow(df: DataFrame, spec: list[Feature] = FEATURES_54,
     return step.select(*keep, "n_urls", *inrow_aggregates(F.col("feats"), F.col("n_urls"), spec))
 
 
+def to_model_width(vector: Column, width: int) -> Column:
+    """A feature vector cut, or filled up with zeros, to the width a model was fitted on."""
+    head = F.slice(vector, 1, width)
+    return F.concat(head, F.array_repeat(F.lit(0.0), F.lit(width) - F.size(head)))
+
+
+def score_with_prior(agent, df: DataFrame, cols: list[str], out: str = "p_lexical", prior: float = 0.5) -> DataFrame:
+    """Score URL vectors with a linear agent fitted on other columns: ``cols`` in order, cut or
+    filled up to the agent's width; an email without URLs scores exactly ``prior``."""
+    width = len(agent.cols)
+    x = df.withColumn("_v", to_model_width(F.array(*[F.col(c).cast("double") for c in cols]), width))
+    named = x.select(*[F.col(c).alias(f"_in_{c}") for c in df.columns],
+                     *[F.col("_v")[i].alias(c) for i, c in enumerate(agent.cols)])
+    s = agent.score(named, "_score")
+    p = F.when(F.col("_in_n_urls") == 0, F.lit(prior)).otherwise(F.col("_score"))
+    return s.select(*[F.col(f"_in_{c}").alias(c) for c in df.columns], p.alias(out))
+
+
 def email_url_features_exploded(df: DataFrame, spec: list[Feature] = FEATURES_54,
                                 text_col: str = "raw_text", keep: tuple[str, ...] = ("email_id", "y")) -> DataFrame:
     one = df.select(*keep, F.explode_outer(extract_urls(text_col)).alias("url"))

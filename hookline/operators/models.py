@@ -41,12 +41,15 @@ def positive_probability(df: DataFrame, out: str) -> DataFrame:
 
 # ---- population-std scaler ----
 
+def scaler_table(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``(feature, mean, std)``: one aggregate row over all columns, unpivoted."""
+    stats = df.agg(*[F.struct(F.lit(c).alias("feature"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c)
+                     for c in cols])
+    return stats.select(F.inline(F.array(*[F.col(f"`{c}`") for c in cols])))
+
+
 def fit_scaler(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
-    aggs = []
-    for c in cols:
-        aggs += [F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}")]
-    row = df.agg(*aggs).first().asDict()
-    return {c: (float(row[f"m_{c}"] or 0.0), float(row[f"s_{c}"] or 0.0)) for c in cols}
+    return {r["feature"]: (float(r["mean"] or 0.0), float(r["std"] or 0.0)) for r in scaler_table(df, cols).collect()}
 
 
 def scaled(cols: list[str], stats: dict[str, tuple[float, float]]) -> list[Column]:
@@ -244,7 +247,6 @@ class TfidfAgent:
         x = self.features.transform(terms)
         return positive_probability(self.model.transform(x), out).select(*keep, out)
 
-
     def save(self, path: str) -> None:
         self.features.write().overwrite().save(f"{path}/features")
         self.model.write().overwrite().save(f"{path}/model")
@@ -258,6 +260,47 @@ class TfidfAgent:
         return a
 
 
+# ---- stacked agent: meta model over the semantic, surface and lexical scores ----
+
+@dataclass
+class StackedAgent:
+    """Semantic, surface (TF-IDF) and lexical agents under one logistic regression.
+
+    Rows carry ``embedding``, ``terms`` and the lexical feature columns; the
+    lexical agent comes fitted (its training rows are URLs, not emails). Scoring
+    adds columns to the row, so there is no join.
+    """
+    lexical: LinearAgent
+    semantic: EmbeddingAgent = field(default_factory=EmbeddingAgent)
+    surface: TfidfAgent = field(default_factory=TfidfAgent)
+    meta: LinearAgent | None = None
+
+    def agent_scores(self, df: DataFrame) -> DataFrame:
+        s = self.semantic.score(df, "p_semantic")
+        s = self.surface.score(s, "p_surface")
+        return self.lexical.score(s, "p_lexical")
+
+    def fit(self, df: DataFrame, label: str = "y") -> StackedAgent:
+        self.semantic.fit(df, label)
+        self.surface.fit(df, label)
+        self.meta = LinearAgent(["p_semantic", "p_surface", "p_lexical"], scale=False).fit(self.agent_scores(df), label)
+        return self
+
+    def score(self, df: DataFrame, out: str = "risk_score") -> DataFrame:
+        return self.meta.score(self.agent_scores(df), out).select(*df.columns, out)
+
+    def save(self, path: str) -> None:
+        for name in ("semantic", "surface", "lexical", "meta"):
+            getattr(self, name).save(f"{path}/{name}")
+
+    @classmethod
+    def load(cls, spark, path: str) -> StackedAgent:
+        return cls(lexical=LinearAgent.load(spark, f"{path}/lexical"),
+                   semantic=EmbeddingAgent.load(spark, f"{path}/semantic"),
+                   surface=TfidfAgent.load(spark, f"{path}/surface"),
+                   meta=LinearAgent.load(spark, f"{path}/meta"))
+
+
 # ---- semantic agent with a caller-supplied text encoder ----
 
 def encoder_scores(df: DataFrame, text_col: str, make_predict_fn, out: str = "p_semantic",

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, IDF, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import TFIDF_MAX_TERMS
@@ -48,13 +48,18 @@ def top_terms(tf: DataFrame, k: int = TFIDF_MAX_TERMS) -> DataFrame:
     return corpus.orderBy(F.col("n").desc(), F.col("term")).limit(k)
 
 
-def tfidf_long(tf: DataFrame, key: str, n_docs: int, vocab: DataFrame) -> DataFrame:
-    """``(key, term, weight)``: tf * (ln((1+n)/(1+df)) + 1), L2-normalised per document."""
+def tfidf_long(rows: DataFrame, key: str, n_docs: int, vocab: DataFrame) -> DataFrame:
+    """``(key, term, weight)`` from term rows: tf * (ln((1+n)/(1+df)) + 1), L2-normalised per document.
+
+    Terms outside the vocabulary are dropped by the broadcast join before any
+    row moves. Rows are dealt by document once; the counts and the norm window
+    both use that partitioning.
+    """
     v = vocab.select("term", (F.log((F.lit(1.0) + n_docs) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
-    j = tf.join(F.broadcast(v), "term")   # the vocabulary has at most TFIDF_MAX_TERMS rows
-    raw = j.select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    known = rows.join(F.broadcast(v), "term").repartition(key)   # the vocabulary has at most TFIDF_MAX_TERMS rows
+    raw = known.groupBy(key, "term").agg((F.count(F.lit(1)) * F.first("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
 def fit_tfidf_vectors(terms: DataFrame, col: str = "terms", out: str = "tfidf", k: int = TFIDF_MAX_TERMS):

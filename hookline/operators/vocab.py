@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions.constants import PAD_ID, SEQ_LEN, UNK_ID, VOCAB_MAX, VOCAB_MIN_FREQ
-from .joins import join_bounded
 
 
 def token_freq(tokens: DataFrame, key: str, col: str = "tokens") -> DataFrame:
@@ -57,14 +56,17 @@ def pad_to(ids: Column, length: int = SEQ_LEN, pad=PAD_ID) -> Column:
     return F.concat(head, F.array_repeat(F.lit(pad), F.greatest(F.lit(0), F.lit(length) - F.size(head))))
 
 
-def lookup_counts(tokens: DataFrame, key: str, vocab: DataFrame, col: str = "tokens") -> DataFrame:
-    """Per row: tokens found in / missing from the vocabulary (explode + broadcast join + regroup).
+def lookup_counts(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
+    """Per row: cleaned tokens found in / missing from a ``vocab_ids`` vocabulary (explode +
+    broadcast join + regroup; rows without a token are left out).
 
-    The regroup is a ``groupBy(key)`` of counts, combined map-side, so one row
-    per key per partition crosses the shuffle.
+    The vocabulary has at most ``VOCAB_MAX`` rows by construction. The regroup is
+    a ``groupBy(key)`` of counts, combined map-side, so one row per key per
+    partition crosses the shuffle.
     """
-    ex = tokens.select(key, F.explode(col).alias("token"))
-    j = join_bounded(ex, vocab.select("token", "token_id"), "token", how="left", max_rows=VOCAB_MAX)
+    from ..functions.text import keep_token, raw_clean_parts
+    ex = df.select(key, F.explode(raw_clean_parts(F.col(text))).alias("token")).where(keep_token(F.col("token")))
+    j = ex.join(F.broadcast(vocab.select("token", "token_id")), "token", "left")
     return j.groupBy(key).agg(F.count("token_id").alias("n_known"),
                               F.sum(F.when(F.col("token_id").isNull(), 1).otherwise(0)).alias("n_unknown"))
 

@@ -41,32 +41,38 @@ def feature_tables(spark: SparkSession, sf_dir: str, k: int = N_FOLDS, seed: int
 
     Features are materialised before folds are ranked: the rank's bucket-count
     and size-check passes then read two pruned parquet columns instead of
-    re-running URL extraction and the 108 aggregates.
+    re-running URL extraction and the 108 aggregates. The calibration flag of
+    every training fold goes onto the row as well, so a fold is a filter, not a
+    join of the widest table.
     """
     lex = featurise(emails(spark, sf_dir), ("email_id", "y"))
     emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("email_id"), "embedding")
     u = urls(spark, sf_dir).select("url_id", "y", F.col("url").alias("raw_text"))
     ulex = email_url_features_inrow(u, FEATURES_54, keep=("url_id", "y"))
-    paths = {n: scratch_path(spark, f"cv-{n}") for n in ("emails0", "urls0", "emails", "urls", "holdout")}
+    paths = {n: scratch_path(spark, f"cv-{n}") for n in ("emails0", "urls0", "folded", "emails", "urls")}
     lex.join(emb, "email_id", "left").write.mode("overwrite").parquet(paths["emails0"])
     ulex.write.mode("overwrite").parquet(paths["urls0"])
     stratified_folds(spark.read.parquet(paths["emails0"]), "email_id", "y", k, seed) \
-        .write.mode("overwrite").parquet(paths["emails"])
+        .write.mode("overwrite").parquet(paths["folded"])
     stratified_folds(spark.read.parquet(paths["urls0"]), "url_id", "y", k, seed) \
         .write.mode("overwrite").parquet(paths["urls"])
-    ef = spark.read.parquet(paths["emails"])
-    holdout_split(ef.select("email_id", "fold"), "email_id", k, seed=seed) \
-        .write.mode("overwrite").parquet(paths["holdout"])
-    return {"emails": ef, "urls": spark.read.parquet(paths["urls"]), "holdout": spark.read.parquet(paths["holdout"]),
-            "paths": paths}
+    folded = spark.read.parquet(paths["folded"])
+    hold = holdout_split(folded.select("email_id", "fold"), "email_id", k, seed=seed)
+    flags = hold.groupBy("email_id").agg(*[F.max(F.when(F.col("train_fold") == f, F.col("is_cal"))).alias(cal_flag(f))
+                                           for f in range(1, k + 1)])
+    folded.join(flags, "email_id").write.mode("overwrite").parquet(paths["emails"])
+    return {"emails": spark.read.parquet(paths["emails"]), "urls": spark.read.parquet(paths["urls"])}
+
+
+def cal_flag(fold: int) -> str:
+    """Column that tells whether a training row of ``fold`` calibrates (null on its test rows)."""
+    return f"cal_{fold}"
 
 
 def fit_fold(t: dict[str, DataFrame], fold: int) -> dict:
     """Fit the three agents for one fold: lexical on the URL table, the others on the fit rows."""
-    ef, hold = t["emails"], t["holdout"]
-    split = hold.where(F.col("train_fold") == fold).select("email_id", "is_cal")
-    train = ef.join(split, "email_id")
-    fit_rows = train.where(~F.col("is_cal"))
+    ef = t["emails"]
+    fit_rows = ef.where(~F.col(cal_flag(fold)))
     vocab = vocab_ids(top_vocab(token_freq(fit_rows, "email_id")))   # tokens already materialised in parquet
     vocab_path = scratch_path(ef.sparkSession, f"vocab-f{fold}")
     vocab.write.mode("overwrite").parquet(vocab_path)
@@ -74,8 +80,7 @@ def fit_fold(t: dict[str, DataFrame], fold: int) -> dict:
     lexical = LinearAgent(LEX_COLS).fit(t["urls"].where(F.col("fold") != fold))
     semantic = EmbeddingAgent().fit(fit_rows)
     textual = SequenceAgent().fit(attach_sequences(fit_rows, vocab))
-    return {"fold": fold, "vocab": vocab, "semantic": semantic, "textual": textual, "lexical": lexical,
-            "split": split}
+    return {"fold": fold, "vocab": vocab, "semantic": semantic, "textual": textual, "lexical": lexical}
 
 
 def score_agents(df: DataFrame, m: dict, weights=FUSION_WEIGHTS) -> DataFrame:
@@ -90,7 +95,7 @@ def run_fold(t: dict[str, DataFrame], fold: int, alpha: float = ALPHA, weights=F
              save_dir: str | None = None) -> dict[str, DataFrame]:
     m = fit_fold(t, fold)
     ef = t["emails"]
-    cal_rows = ef.join(m["split"].where(F.col("is_cal")), "email_id").drop("is_cal")
+    cal_rows = ef.where(F.col(cal_flag(fold)))
     test_rows = ef.where(F.col("fold") == fold)
     cal = score_agents(cal_rows, m, weights).select(F.lit(fold).alias("train_fold"), "email_id", "y", "p_fused")
     th = thresholds(cal, alpha)
@@ -111,7 +116,14 @@ def run_fold(t: dict[str, DataFrame], fold: int, alpha: float = ALPHA, weights=F
             m[a].save(f"{save_dir}/fold={fold}/{a}")
         m["vocab"].write.mode("overwrite").parquet(f"{save_dir}/fold={fold}/vocab")
         th.write.mode("overwrite").parquet(f"{save_dir}/fold={fold}/thresholds")
-    return {"thresholds": th, "decided": decided, "fold_metrics": fm}
+    return {"thresholds": th, "decided": decided, "fold_metrics": fm, "test_rows": test_rows}
+
+
+def train_and_save(spark: SparkSession, sf_dir: str, fold: int) -> tuple[dict, str, dict[str, DataFrame]]:
+    """One fold trained and saved under a fresh folder: (its run, the folder, the feature tables)."""
+    save = scratch_path(spark, "cv-models")
+    t = feature_tables(spark, sf_dir)
+    return run_fold(t, fold, save_dir=save), save, t
 
 
 def cross_validate(spark: SparkSession, sf_dir: str, k: int = N_FOLDS, seed: int = SEED,

@@ -28,6 +28,9 @@ PRIOR_WEIGHTS = {
     "max_has_port": 0.7,
 }
 PRIOR_KEYWORD_WEIGHT = 0.8   # per keyword flag that is set on some URL of the email
+# The URL features the prior reads; the optimizer cannot prune fields inside a lambda.
+_READ = {n[4:] for n in PRIOR_WEIGHTS} | {f"kw_{kw}" for kw in PHISH_KEYWORDS}
+PRIOR_FEATURES = [f for f in FEATURES_54 if f[0] in _READ]
 
 
 def prior_logit(cols: dict[str, Column] | None = None) -> Column:
@@ -42,7 +45,7 @@ def prior_logit(cols: dict[str, Column] | None = None) -> Column:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vec = email_url_features_inrow(emails(spark, sf_dir), FEATURES_54)
+    vec = email_url_features_inrow(emails(spark, sf_dir), PRIOR_FEATURES)
     return prior_decision(vec)
 
 

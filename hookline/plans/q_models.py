@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.constants import V0_MIRROR, V0_QUARANTINE
-from ..functions.text import clean_tokens
+from ..functions.text import clean_tokens, with_bigrams, word_tokens
 from ..functions.urls import FEATURES_5_V0, FEATURES_54
 from ..operators.email_urls import agg_names, email_url_features_inrow
-from ..operators.models import EmbeddingAgent, LinearAgent, SequenceAgent, TfidfAgent
+from ..operators.models import EmbeddingAgent, LinearAgent, SequenceAgent, StackedAgent, TfidfAgent, scaler_table
 from ..operators.policy import policy_v0
 from ..operators.tfidf import doc_terms
 from ..operators.vocab import token_freq, top_vocab, vocab_ids, attach_sequences
@@ -21,7 +21,7 @@ from ..sources import csv as C
 from ..sources import fixtures as X
 from ..sources.tables import emails, mail, table, urls
 from . import oracle_sql as O
-from .cv import cross_validate, load_fold, score_agents
+from .cv import cross_validate, load_fold, score_agents, train_and_save
 from .evaluate import fuse
 from .q_eval import FUSED
 from .q_urls import KIND54, _email_agg_sql
@@ -45,10 +45,8 @@ _SCALER_SQL = "WITH agg AS (" + _SCALER_SQL.replace("WITH ", "WITH ", 1) + ")\n"
 
 @register("agg_scaler_fit", _SCALER_SQL)
 def agg_scaler_fit(spark, sf_dir):
-    t = url_training_table(spark, sf_dir)
-    long = t.select("url_id", *LEX).unpivot("url_id", LEX, "feature", "value")
-    return long.groupBy("feature").agg(F.round(F.avg("value"), 6).alias("mean"),
-                                       F.round(F.stddev_pop("value"), 6).alias("std"))
+    t = scaler_table(url_training_table(spark, sf_dir), LEX)
+    return t.select("feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
 @register("ml_lexical_score")
@@ -108,13 +106,20 @@ def ml_semantic_score(spark, sf_dir):
 
 @register("ml_stacked_score")
 def ml_stacked_score(spark, sf_dir):
-    """Stacking: an LR over the semantic, surface and lexical scores of the training rows."""
-    sem = ml_semantic_score(spark, sf_dir).select("email_id", "p_semantic")
-    surf = ml_surface_score(spark, sf_dir).select("email_id", "y", "p_surface")
-    lex = ml_lexical_score_v0(spark, sf_dir).select("email_id", "p_lexical")
-    meta_in = surf.join(sem, "email_id").join(lex, "email_id")
-    meta = LinearAgent(["p_semantic", "p_surface", "p_lexical"], scale=False).fit(meta_in)
-    s = meta.score(meta_in, "risk_score")
+    """Stacking: an LR over the semantic, surface and lexical scores of the training rows.
+
+    The model is saved, and the rows are scored by what is read back.
+    """
+    emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("email_id"), "embedding")
+    e = emails(spark, sf_dir).select("email_id", "y", "raw_text",
+                                     with_bigrams(word_tokens(F.col("raw_text"))).alias("terms"))
+    rows = email_url_features_inrow(e, FEATURES_5_V0, keep=("email_id", "y", "terms")).join(emb, "email_id", "left")
+    path = scratch_path(spark, "stacked")
+    rows.write.parquet(f"{path}/rows")   # read by three fits and the scoring
+    rows = spark.read.parquet(f"{path}/rows")
+    lexical = LinearAgent(LEX_V0, scale=False).fit(url_training_table(spark, sf_dir, FEATURES_5_V0))
+    StackedAgent(lexical).fit(rows).save(f"{path}/model")
+    s = StackedAgent.load(spark, f"{path}/model").score(rows, "risk_score")
     return s.select("email_id", "y", F.round("risk_score", 4).alias("risk_score"),
                     policy_v0(F.col("risk_score")).alias("action"))
 
@@ -129,52 +134,42 @@ def ml_policy_v0(spark, sf_dir):
     return s.select("email_id", F.round("p_fused", 4).alias("risk_score"), policy_v0(F.col("p_fused")).alias("action"))
 
 
-# ---- cross-validation (trained once per session and data folder) ----
+# ---- cross-validation; every query trains what it needs, nothing is kept between queries ----
 
-_CV: dict = {}
 AGENT_SCORES = ("p_semantic", "p_textual", "p_lexical")
 
 
-def _cv(spark, sf_dir):
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _CV:
-        save = scratch_path(spark, "cv-models")
-        _CV[key] = (cross_validate(spark, sf_dir, save_dir=save), save)
-    return _CV[key]
-
-
 @register("ml_fold_run")
 def ml_fold_run(spark, sf_dir):
-    return _cv(spark, sf_dir)[0]["fold_metrics"]
+    return cross_validate(spark, sf_dir)["fold_metrics"]
 
 
 @register("ml_cross_validate")
 def ml_cross_validate(spark, sf_dir):
-    return _cv(spark, sf_dir)[0]["summary"]
+    return cross_validate(spark, sf_dir)["summary"]
 
 
 @register("sink_models")
 def sink_models(spark, sf_dir):
-    """Saved fold models, read back: one row per (fold, agent) with the stages of its pipeline."""
-    res, save = _cv(spark, sf_dir)
-    rows = []
-    for fold in range(1, 5):
-        m = load_fold(spark, save, fold)
-        for a in ("semantic", "textual", "lexical"):
-            rows.append((fold, a, len(m[a].model.stages)))
-    base = res["fold_metrics"].select("fold")
-    listing = spark.createDataFrame(rows, "fold int, agent string, n_stages int")
-    return listing.join(base, "fold")
+    """Fold 1's agents, saved and read back, over its test rows: per agent the rows scored and
+    the largest difference between the score at training time and the reloaded one."""
+    run, save, _ = train_and_save(spark, sf_dir, 1)
+    before = run["decided"]
+    again = score_agents(run["test_rows"], load_fold(spark, save, 1))
+    both = before.select("email_id", *[F.col(c).alias(f"was_{c}") for c in AGENT_SCORES]) \
+                 .join(again.select("email_id", *AGENT_SCORES), "email_id")
+    one = both.agg(F.count(F.lit(1)).alias("n"), *[F.max(F.abs(F.col(c) - F.col(f"was_{c}"))).alias(c) for c in AGENT_SCORES])
+    per_agent = F.inline(F.array(*[F.struct(F.lit(1).alias("fold"), F.lit(c[2:]).alias("agent"), F.col("n").alias("n_rows"),
+                                            F.round(c, 6).alias("max_diff")) for c in AGENT_SCORES]))
+    return one.select(per_agent)
 
 
 @register("src_reload_score")
 def src_reload_score(spark, sf_dir):
     """Reload fold 1's agents and thresholds from storage and score every labelled email."""
-    _, save = _cv(spark, sf_dir)
+    _, save, tables = train_and_save(spark, sf_dir, 1)
     m = load_fold(spark, save, 1)
-    from .cv import feature_tables
-    ef = _cv(spark, sf_dir)[0]["tables"]["emails"]
-    s = score_agents(ef, m)
+    s = score_agents(tables["emails"], m)
     th = m["thresholds"].select("tau_cal", "tau_block")
     from ..operators.policy import enforcement, policy_tiers
     return s.crossJoin(F.broadcast(th)).select(

@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.urls import FEATURES_54
 from ..operators.email_urls import email_url_features_inrow
 from ..operators.policy import enforcement, policy_tiers
 from ..sources.tables import emails, table
 from ..streaming.route import run_to_completion
-from .flagship import flagship_sql, prior_decision
+from .flagship import PRIOR_FEATURES, flagship_sql, prior_decision
 from .registry import register
 
 
 def prior_route(df):
-    vec = email_url_features_inrow(df, FEATURES_54)
+    vec = email_url_features_inrow(df, PRIOR_FEATURES)
     return prior_decision(vec)
 
 
@@ -29,9 +28,8 @@ def stream_score_route(spark, sf_dir):
 def stream_score_route_fitted(spark, sf_dir):
     """Raw mail arrives as files and is cleaned, featurised, encoded and scored in-stream, row by
     row, by fold 1's saved agents and thresholds."""
-    from .cv import featurise, load_fold, score_agents
-    from .q_models import _cv
-    _, save = _cv(spark, sf_dir)
+    from .cv import featurise, load_fold, score_agents, train_and_save
+    _, save, _ = train_and_save(spark, sf_dir, 1)
     m = load_fold(spark, save, 1)
     th = m["thresholds"].select("tau_cal", "tau_block").first()
     vec = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("email_id"), "embedding")

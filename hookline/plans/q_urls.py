@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.urls import FEATURES_5_V0, FEATURES_5_V2, FEATURES_54, GROUPS_54, char_entropy, host, parts_of
-from ..operators.email_urls import agg_names, email_url_features_exploded, email_url_features_inrow
+from ..operators.email_urls import agg_names, email_url_features_exploded, email_url_features_inrow, to_model_width
 from ..sources.tables import mail, table, urls
 from . import oracle_sql as O
 from .common import out
@@ -118,6 +118,24 @@ def agg_email_url_v2_prior(spark, sf_dir):
     return df.select("email_id", "y", "n_urls", prior, *agg_names(FEATURES_5_V2))
 
 
+_V2_NAMES = agg_names(FEATURES_5_V2)
+_PADDED, _CUT = len(_V2_NAMES) + 2, len(_V2_NAMES) - 4
+
+
+@register("agg_email_url_v2_width", "WITH agg AS (" + _V2_SQL + ")\nSELECT email_id, lex_prior, "
+          + ", ".join([f"{n} AS pad_{i}" for i, n in enumerate(_V2_NAMES)]
+                      + [f"0.0::DOUBLE AS pad_{i}" for i in range(len(_V2_NAMES), _PADDED)]
+                      + [f"{n} AS cut_{i}" for i, n in enumerate(_V2_NAMES[:_CUT])])
+          + f", CAST({_CUT} AS INTEGER) AS cut_width FROM agg")
+def agg_email_url_v2_width(spark, sf_dir):
+    """The 10-wide vector brought to a wider and to a narrower model; no URL gives the prior."""
+    df = agg_email_url_v2_prior(spark, sf_dir)
+    v = F.array(*[F.col(n) for n in _V2_NAMES])
+    df = df.select("email_id", "lex_prior", to_model_width(v, _PADDED).alias("p"), to_model_width(v, _CUT).alias("c"))
+    return df.select("email_id", "lex_prior", *[F.col("p")[i].alias(f"pad_{i}") for i in range(_PADDED)],
+                     *[F.col("c")[i].alias(f"cut_{i}") for i in range(_CUT)], F.size("c").alias("cut_width"))
+
+
 # ---- flagship and the fixed-tier policy ----
 from .flagship import flagship, flagship_sql  # noqa: E402
 

@@ -8,7 +8,7 @@ from ..functions.constants import SEQ_LEN, TFIDF_MAX_TERMS, VOCAB_MAX, VOCAB_MIN
 from ..functions.text import clean_tokens
 from ..operators.tfidf import term_counts, term_rows, tfidf_long, top_terms
 from ..operators.vocab import encode_sequences, lookup_counts, pad_to, text_token_freq, top_vocab, vocab_ids
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path
 from ..sources.tables import emails, table
 from . import oracle_sql as O
 from .registry import register
@@ -59,7 +59,7 @@ c AS (SELECT ex.doc_id, count(v.token_id) AS n_known, sum(CASE WHEN v.token_id I
       FROM ex LEFT JOIN vocab v ON ex.token = v.token GROUP BY ex.doc_id)
 SELECT c.doc_id, CAST(n_known AS BIGINT) AS n_known, CAST(n_unknown AS BIGINT) AS n_unknown FROM c""")
 def join_vocab_lookup(spark, sf_dir):
-    c = lookup_counts(_tokens(spark, sf_dir), "doc_id", _vocab(spark, sf_dir))
+    c = lookup_counts(table(spark, sf_dir, "documents"), "doc_id", "text", _vocab(spark, sf_dir))
     return c.select("doc_id", F.col("n_known").cast("bigint").alias("n_known"), F.col("n_unknown").cast("bigint").alias("n_unknown"))
 
 
@@ -124,8 +124,8 @@ nrm AS (SELECT email_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY email_id)
 SELECT w.email_id, w.term, round(w.w / nrm.norm, 6) AS weight FROM w JOIN nrm ON w.email_id = nrm.email_id""")
 def ml_surface_tfidf(spark, sf_dir):
     e = emails(spark, sf_dir)
-    n = e.count()
-    ensure_checkpoint_dir(spark)
-    tf = term_counts(term_rows(e, "email_id", "raw_text"), "email_id").checkpoint(eager=True)   # read 3x
-    out = tfidf_long(tf, "email_id", n, top_terms(tf))
+    rows = term_rows(e, "email_id", "raw_text")
+    path = scratch_path(spark, "tfidf-terms")
+    top_terms(term_counts(rows, "email_id")).write.parquet(path)   # at most 8,000 rows
+    out = tfidf_long(rows, "email_id", e.count(), spark.read.parquet(path))
     return out.select("email_id", "term", F.round("weight", 6).alias("weight"))

@@ -4,9 +4,11 @@ import json
 
 from pyspark.sql import functions as F
 
-from hookline.operators.models import EmbeddingAgent, SequenceAgent, TfidfAgent
+from hookline.functions.constants import CAL_SHARE
+from hookline.operators.email_urls import score_with_prior
+from hookline.operators.models import EmbeddingAgent, LinearAgent, SequenceAgent, StackedAgent, TfidfAgent
 from hookline.operators.vocab import attach_sequences
-from hookline.plans.cv import featurise
+from hookline.plans.cv import cross_validate, featurise, load_fold, score_agents
 from hookline.sources import csv as C
 from hookline.streaming.route import route, stream_emails
 
@@ -88,3 +90,62 @@ def test_raw_mail_is_scored_in_stream_without_state(spark, tmp_path):
         assert got.count() == expected
         assert [tuple(r) for r in got.distinct().select("email_id", "known", "n_urls", "action").orderBy("email_id").collect()] == once
         mail.where("email_id = 3").write.mode("append").parquet(source)
+
+
+def test_stacked_agent_reload_scores_alike(spark, tmp_path):
+    rows = [(i, i % 2, [float(i % 2), 0.3 * (i % 5)], ["common", f"odd{i % 7}" if i % 2 else f"even{i % 5}"], float(i % 2 + i % 3))
+            for i in range(60)]
+    d = spark.createDataFrame(rows, "email_id long, y int, embedding array<double>, terms array<string>, u double")
+    a = StackedAgent(LinearAgent(["u"], scale=False).fit(d)).fit(d)
+    s = a.score(d)
+    assert s.columns == [*d.columns, "risk_score"]
+    want = {r.email_id: r.risk_score for r in s.collect()}
+    assert all(0 <= p <= 1 for p in want.values())
+    assert min(want[i] for i in range(1, 60, 2)) > max(want[i] for i in range(0, 60, 2))
+    a.save(str(tmp_path / "s"))
+    assert {r.email_id: r.risk_score for r in StackedAgent.load(spark, str(tmp_path / "s")).score(d).collect()} == want
+
+
+def test_vector_is_brought_to_the_width_of_the_model(spark):
+    train = spark.createDataFrame([(float(i % 2), float(i % 3), float(i), i % 2) for i in range(30)], "a double, b double, c double, y int")
+    d = spark.createDataFrame([(1, 1, 1.0, 2.0), (2, 0, 0.0, 0.0)], "email_id int, n_urls int, x double, z double")
+    wide, narrow = LinearAgent(["a", "b", "c"]).fit(train), LinearAgent(["a"]).fit(train)
+    got = {r.email_id: r.p_lexical for r in score_with_prior(wide, d, ["x", "z"]).collect()}
+    want = wide.score(spark.createDataFrame([(1.0, 2.0, 0.0)], "a double, b double, c double"), "p").first().p
+    assert got == {1: want, 2: 0.5}
+    got = {r.email_id: r.p_lexical for r in score_with_prior(narrow, d, ["x", "z"]).collect()}
+    assert got == {1: narrow.score(spark.createDataFrame([(1.0,)], "a double"), "p").first().p, 2: 0.5}
+
+
+def test_feature_table_labels(spark, tmp_path):
+    import pytest
+    p = tmp_path / "f.csv"
+    p.write_text("FILENAME,x,label\na,1,0\nb,2,1\n")
+    assert [(r.x, r.y) for r in C.load_feature_table(spark, str(p)).collect()] == [(1.0, 0), (2.0, 1)]
+    assert [r.y for r in C.load_feature_table(spark, str(p), positive_label=0).collect()] == [1, 0]
+    p.write_text("FILENAME,x,label\na,1,0\nb,2,\n")
+    with pytest.raises(Exception, match="no whole number"):
+        C.load_feature_table(spark, str(p)).collect()
+
+
+def test_cross_validation_counts_decisions_and_reload(spark, tmp_path):
+    from conftest import SF001
+    r = cross_validate(spark, SF001, k=2, save_dir=str(tmp_path / "cv"))
+    ef = r["tables"]["emails"]
+    rows = [x.asDict() for x in ef.select("email_id", "y", "fold", "cal_1", "cal_2").collect()]
+    for f in (1, 2):   # test rows have no flag; floor(CAL_SHARE) of the rest calibrate
+        train = [x for x in rows if x["fold"] != f]
+        assert all(x[f"cal_{f}"] is None for x in rows if x["fold"] == f)
+        assert sum(x[f"cal_{f}"] for x in train) == int(CAL_SHARE * len(train))
+    m = {x["fold"]: x for x in r["fold_metrics"].collect()}
+    dec = [x.asDict() for x in r["decided"].collect()]
+    assert sorted(x["email_id"] for x in dec) == sorted(x["email_id"] for x in rows)
+    assert all(0 <= x[c] <= 1 for x in dec for c in ("p_semantic", "p_textual", "p_lexical", "p_fused"))
+    for f in (1, 2):
+        mine = [x for x in dec if x["fold"] == f]
+        assert m[f]["TP"] == sum(x["y"] == 1 and x["p_fused"] >= x["tau_cal"] for x in mine)
+        assert m[f]["FP"] == sum(x["y"] == 0 and x["p_fused"] >= x["tau_cal"] for x in mine)
+        assert m[f]["TP"] + m[f]["FP"] + m[f]["TN"] + m[f]["FN"] == len(mine)
+    want = {x["email_id"]: x["p_fused"] for x in dec if x["fold"] == 2}
+    again = score_agents(ef.where("fold = 2"), load_fold(spark, str(tmp_path / "cv"), 2))
+    assert {x.email_id: x.p_fused for x in again.collect()} == want
