@@ -77,10 +77,13 @@ def fit_fold(t: dict[str, DataFrame], fold: int) -> dict:
     vocab_path = scratch_path(ef.sparkSession, f"vocab-f{fold}")
     vocab.write.mode("overwrite").parquet(vocab_path)
     vocab = ef.sparkSession.read.parquet(vocab_path)
-    lexical = LinearAgent(LEX_COLS).fit(t["urls"].where(F.col("fold") != fold))
-    semantic = EmbeddingAgent().fit(fit_rows)
-    textual = SequenceAgent().fit(attach_sequences(fit_rows, vocab))
-    return {"fold": fold, "vocab": vocab, "semantic": semantic, "textual": textual, "lexical": lexical}
+    fits = {"lexical": lambda: LinearAgent(LEX_COLS).fit(t["urls"].where(F.col("fold") != fold)),
+            "semantic": lambda: EmbeddingAgent().fit(fit_rows),
+            "textual": lambda: SequenceAgent().fit(attach_sequences(fit_rows, vocab))}
+    # the agents know nothing of each other; their iterations run side by side
+    with ThreadPoolExecutor(len(fits)) as pool:
+        running = {name: pool.submit(fit) for name, fit in fits.items()}
+        return {"fold": fold, "vocab": vocab, **{name: r.result() for name, r in running.items()}}
 
 
 def score_agents(df: DataFrame, m: dict, weights=FUSION_WEIGHTS) -> DataFrame:
