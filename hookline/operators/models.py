@@ -14,17 +14,21 @@ divided by 1), computed in one aggregate.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import VectorAssembler, Word2Vec
+from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import LR_C, LR_MAX_ITER, SEED, SEQ_LEN
+from ..session import drop_path, scratch_path
 
 PROB = "p"
 
@@ -35,29 +39,62 @@ def _write_meta(path: str, meta: dict) -> None:
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
+@contextmanager
+def training_rows(df: DataFrame) -> Iterator[DataFrame]:
+    """The rows written to the shared scratch folder and read again, for the time of one fit.
+
+    An iterative fit runs a job per iteration whose tasks carry the plan of their
+    input: a scan is short, the feature plan is not. A lost executor costs a read.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "fit")
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        drop_path(spark, path)
+
+
 def positive_probability(df: DataFrame, out: str) -> DataFrame:
     return df.withColumn(out, vector_to_array(F.col("probability")).getItem(1))
 
 
 # ---- population-std scaler ----
 
+def raw_vector(cols: list[str]) -> Column:
+    """The columns as one vector; a missing value counts as 0."""
+    return array_to_vector(F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in cols]))
+
+
+def _vector_stats(df: DataFrame, cols: list[str], vector: str) -> DataFrame:
+    s = df.select(Summarizer.metrics("mean", "variance", "count").summary(F.col(vector)).alias("s"))
+    n = F.col("s.count")
+    both = F.arrays_zip(F.array(*[F.lit(c) for c in cols]).alias("feature"),
+                        vector_to_array("s.mean").alias("mean"),
+                        # the summary's variance divides by n - 1
+                        F.transform(vector_to_array("s.variance"), lambda v: F.sqrt(v * (n - 1) / n)).alias("std"))
+    return s.select(both.alias("z")).select(F.inline("z"))
+
+
 def scaler_table(df: DataFrame, cols: list[str]) -> DataFrame:
-    """``(feature, mean, std)``: one aggregate row over all columns, unpivoted."""
-    stats = df.agg(*[F.struct(F.lit(c).alias("feature"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c)
-                     for c in cols])
-    return stats.select(F.inline(F.array(*[F.col(f"`{c}`") for c in cols])))
+    """``(feature, mean, std)``: one vector summary over all columns, unpivoted."""
+    return _vector_stats(df.select(raw_vector(cols).alias("_v")), cols, "_v")
+
+
+def _collected(stats: DataFrame) -> dict[str, tuple[float, float]]:
+    return {r["feature"]: (float(r["mean"]), float(r["std"])) for r in stats.collect()}
 
 
 def fit_scaler(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
-    return {r["feature"]: (float(r["mean"] or 0.0), float(r["std"] or 0.0)) for r in scaler_table(df, cols).collect()}
+    return _collected(scaler_table(df, cols))
 
 
-def scaled(cols: list[str], stats: dict[str, tuple[float, float]]) -> list[Column]:
-    out = []
-    for c in cols:
-        m, s = stats[c]
-        out.append(((F.col(c).cast("double") - F.lit(m)) / F.lit(s if s > 0 else 1.0)).alias(c))
-    return out
+def scaled(raw: str, cols: list[str], stats: dict[str, tuple[float, float]]) -> Column:
+    """The raw vector column, less the mean and over the standard deviation (1 for a constant)."""
+    mean = F.array(*[F.lit(stats[c][0]) for c in cols])
+    std = F.array(*[F.lit(stats[c][1] if stats[c][1] > 0 else 1.0) for c in cols])
+    x = F.zip_with(F.zip_with(vector_to_array(raw), mean, lambda v, m: v - m), std, lambda v, d: v / d)
+    return array_to_vector(x)
 
 
 def lr(n_rows: int, C: float = LR_C, max_iter: int = LR_MAX_ITER, features: str = "features") -> LogisticRegression:
@@ -75,30 +112,22 @@ class LinearAgent:
     stats: dict = field(default_factory=dict)
     model: PipelineModel | None = None
 
-    def _assemble(self, df: DataFrame) -> DataFrame:
-        feats = scaled(self.cols, self.stats) if self.scale else [F.col(c).cast("double").alias(c) for c in self.cols]
-        return df.select("*", F.struct(*feats).alias("_x")).select("*", *[F.col(f"_x.{c}").alias(f"_f_{c}") for c in self.cols])
+    def _features(self, raw: str) -> Column:
+        return scaled(raw, self.cols, self.stats) if self.scale else F.col(raw)
 
     def fit(self, df: DataFrame, label: str = "y") -> LinearAgent:
-        # Iterative fit: the (small, projected) training rows are persisted once,
-        # instead of re-running the feature lineage for the count, the scaler
-        # pass and every optimiser iteration.
-        train = df.select(*self.cols, F.col(label).cast("double").alias("label")).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            n = train.count()
-            self.stats = fit_scaler(train, self.cols) if self.scale else {c: (0.0, 1.0) for c in self.cols}
-            x = self._assemble(train)
-            pipe = Pipeline(stages=[VectorAssembler(inputCols=[f"_f_{c}" for c in self.cols], outputCol="features"),
-                                    lr(n, self.C)])
-            self.model = pipe.fit(x)
-        finally:
-            train.unpersist()
+        train = df.select(raw_vector(self.cols).alias("_raw"), F.col(label).cast("double").alias("label"))
+        with training_rows(train) as train:
+            self.stats = _collected(_vector_stats(train, self.cols, "_raw")) if self.scale \
+                else {c: (0.0, 1.0) for c in self.cols}
+            x = train.select(self._features("_raw").alias("features"), "label")
+            self.model = Pipeline(stages=[lr(train.count(), self.C)]).fit(x)
         return self
 
     def score(self, df: DataFrame, out: str) -> DataFrame:
         keep = df.columns
-        s = self.model.transform(self._assemble(df))
-        return positive_probability(s, out).select(*keep, out)
+        x = df.withColumn("_raw", raw_vector(self.cols)).withColumn("features", self._features("_raw"))
+        return positive_probability(self.model.transform(x), out).select(*keep, out)
 
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/model")
@@ -124,19 +153,15 @@ class EmbeddingAgent:
     model: PipelineModel | None = None
 
     def fit(self, df: DataFrame, label: str = "y") -> EmbeddingAgent:
-        df = df.select("embedding", label).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
+        with training_rows(df.select("embedding", F.col(label).cast("double").alias("label"))) as df:
             with_vec = df.where(F.col("embedding").isNotNull())
-            train = with_vec.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
-                                    F.col(label).cast("double").alias("label"))
-            rate = df.agg(F.avg(F.col(label).cast("double")).alias("rate")).first()["rate"]
+            train = with_vec.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), "label")
+            rate = df.agg(F.avg("label").alias("rate")).first()["rate"]
             self.prior = 0.5 if rate is None else float(rate)
             first = with_vec.select(F.size("embedding").alias("d")).first()
             self.dim = int(first["d"]) if first else 0
             # without any embedding every row gets the prior
             self.model = Pipeline(stages=[lr(train.count(), self.C)]).fit(train) if first else None
-        finally:
-            df.unpersist()
         return self
 
     def score(self, df: DataFrame, out: str) -> DataFrame:
@@ -196,16 +221,17 @@ class SequenceAgent:
 
     def fit(self, df: DataFrame, label: str = "y") -> SequenceAgent:
         train = self._words(df).select("_words", F.col(label).cast("double").alias("label"))
-        train = train.withColumn("_h", F.xxhash64("_words", "label")).repartition(self.partitions, "_h") \
-                     .sortWithinPartitions("_h").drop("_h").persist(StorageLevel.MEMORY_AND_DISK)
         w2v = Word2Vec(vectorSize=self.dim, minCount=self.min_count, inputCol="_words", outputCol="features",
                        seed=self.seed, maxSentenceLength=SEQ_LEN, numPartitions=self.partitions)
         mlp = MultilayerPerceptronClassifier(layers=[self.dim, self.hidden, 2], maxIter=self.max_iter,
                                              tol=self.tol, seed=self.seed, featuresCol="features", labelCol="label")
-        try:
-            self.model = Pipeline(stages=[w2v, mlp]).fit(train)
-        finally:
-            train.unpersist()
+        with training_rows(train) as train:
+            dealt = train.withColumn("_h", F.xxhash64("_words", "label")).repartition(self.partitions, "_h") \
+                         .sortWithinPartitions("_h").drop("_h").persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                self.model = Pipeline(stages=[w2v, mlp]).fit(dealt)
+            finally:
+                dealt.unpersist()
         return self
 
     def score(self, df: DataFrame, out: str) -> DataFrame:
