@@ -80,3 +80,13 @@ def test_encoder_scores_with_numpy_head(spark):
     df = spark.createDataFrame([("short",), ("a much longer text here",)], "text string")
     got = [r["p_semantic"] for r in encoder_scores(df, "text", make).collect()]
     assert got[0] < 0.5 < got[1]
+
+
+def test_missing_feature_counts_as_zero(spark):
+    rows = [(float(i % 7) or None, float(i % 3), i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "a double, b double, y int")
+    full = df.fillna(0.0)
+    agent = LinearAgent(["a", "b"]).fit(df)
+    assert agent.stats == LinearAgent(["a", "b"]).fit(full).stats
+    p = [sorted(r["p"] for r in agent.score(d, "p").collect()) for d in (df, full)]
+    assert p[0] == p[1]
