@@ -1,7 +1,8 @@
 """Substring dedup by content-defined chunking (operator 5).
 
-A gear hash rolls over the UTF-8 bytes of each whole text; where its top bits
-are zero a chunk ends, so an insertion moves no boundary but those beside it.
+A gear hash rolls over the UTF-8 bytes of each whole text, from its first byte;
+where its top bits are zero a chunk ends, so an insertion moves no boundary but
+those beside it, and equal texts have equal chunks wherever they lie.
 Chunks (MIN_CHUNK to MAX_CHUNK bytes, about 48 on average, never within a
 character) are counted by a 96-bit digest over all documents; a digest seen in
 several documents is repeated. Consecutive repeated chunks of a document form a
@@ -38,21 +39,25 @@ MIN_RUN = 96
 _GEAR = np.random.default_rng(77).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
-def gear_hashes(buf: np.ndarray) -> np.ndarray:
-    """At each byte the sum of G[b] << age over the last 32 bytes, by doubling the window."""
+def gear_hashes(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """At each byte the sum of G[b] << age over the last 32 bytes of its row, by doubling the window."""
     h = _GEAR[buf]
     w = 1
     while w < 32:
         shifted = h[:-w] << np.uint32(w) if len(h) > w else h[:0]
         h = h.copy()
+        heads = off[:-1, None] + np.arange(w)  # a row's first bytes see nothing of the row before
+        heads = heads[heads < off[1:, None]]
+        own = h[heads]
         h[w:] += shifted
+        h[heads] = own
         w *= 2
     return h
 
 
 def cuts_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ends of the chunks of all rows, and the row of each."""
-    h = gear_hashes(buf)
+    h = gear_hashes(buf, off)
     ends = np.flatnonzero((h >> np.uint32(32 - BITS)) == 0) + 1
     lead = (buf & 0xC0) != 0x80  # a character's first byte
     ends = ends[ends < len(buf)]

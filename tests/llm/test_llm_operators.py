@@ -431,6 +431,23 @@ def test_substring_odd_rows_and_removal(spark):
     assert substring.op5(no_documents(spark)).count() == 0
 
 
+def prose(rng, n, low=2, high=9):
+    return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(low, high)))
+                    for _ in range(n))
+
+
+def test_chunks_of_a_row_do_not_depend_on_its_neighbours():
+    rng = random.Random(5)
+    for n in (0, 1, 5, 31, 32, 33, 100, 120, 140, 200, 900):
+        text = prose(rng, 200)[:n].encode()
+        alone, _ = substring.cuts_of(np.frombuffer(text, np.uint8), np.array([0, n]))
+        for _ in range(20):
+            before, after = prose(rng, rng.randint(1, 40)).encode(), prose(rng, rng.randint(1, 40)).encode()
+            buf = np.frombuffer(before + text + after, np.uint8)
+            ends, rows = substring.cuts_of(buf, np.array([0, len(before), len(before) + n, len(buf)]))
+            assert (ends[rows == 1] - len(before)).tolist() == alone.tolist()
+
+
 # --- 7: neighbours -----------------------------------------------------------------
 
 def brute_neighbours(rows, q, top=10):
