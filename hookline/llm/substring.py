@@ -6,8 +6,9 @@ those beside it, and equal texts have equal chunks wherever they lie.
 Chunks (MIN_CHUNK to MAX_CHUNK bytes, about 48 on average, never within a
 character) are counted by a 96-bit digest over all documents; a digest seen in
 several documents is repeated. Consecutive repeated chunks of a document form a
-run; runs of at least MIN_RUN bytes are reported, with whether the run is the
-first occurrence (which stays) or a copy (which goes).
+run; runs of at least MIN_RUN bytes are reported, cut into stretches with the
+same first occurrence, each with whether it is that occurrence (which stays) or
+a copy (which goes).
 
 A repeated passage loses about a chunk at either end, as its first and last
 chunk also cover what stands beside it; passages of over 50 words hold several
@@ -127,11 +128,18 @@ def repeated_runs(docs: DataFrame, row: str | None = None, min_run: int = MIN_RU
     hit = hit.withColumn("is_first", F.col("row") == F.col("first_row"))
     order = Window.partitionBy("row").orderBy("place")
     hit = hit.withColumn("run", F.col("place") - F.row_number().over(order))
-    runs = hit.groupBy("row", "run").agg(
+    # a stretch: consecutive chunks of a run with the same first occurrence
+    before = Window.partitionBy("row", "run").orderBy("place")
+    turn = (F.lag("first_row").over(before) != F.col("first_row")).cast("int")
+    hit = hit.withColumn("turn", F.coalesce(turn, F.lit(0)))
+    hit = hit.withColumn("stretch", F.sum("turn").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = hit.groupBy("row", "run", "stretch").agg(
         F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"),
-        F.sum("bytes").alias("bytes"), F.count("*").alias("chunks"), F.min("first_row").alias("first_row"),
-        F.min("is_first").alias("is_first")).where(F.col("bytes") >= min_run)
-    runs = materialise(runs.drop("run"), "cdc-runs")
+        F.sum("bytes").alias("bytes"), F.count("*").alias("chunks"), F.first("first_row").alias("first_row"),
+        F.first("is_first").alias("is_first"))
+    whole = Window.partitionBy("row", "run")
+    runs = runs.withColumn("whole", F.sum("bytes").over(whole)).where(F.col("whole") >= min_run)
+    runs = materialise(runs.drop("run", "stretch", "whole"), "cdc-runs")
     firsts = runs.groupBy("first_row").agg(F.count("*").alias("k"))
     ids = chunks.where("place = 0").select(F.col("row").alias("first_row"), F.col("doc_id").alias("first_doc_id"))
     firsts = ids.join(firsts, "first_row")

@@ -448,6 +448,20 @@ def test_chunks_of_a_row_do_not_depend_on_its_neighbours():
             assert (ends[rows == 1] - len(before)).tolist() == alone.tolist()
 
 
+def test_a_first_occurrence_beside_a_copy_stays(spark):
+    rng = random.Random(8)
+    x, a, y = (prose(rng, 80) for _ in range(3))
+    d = spark.createDataFrame([(1, a), (2, f"{x} {a} {y}"), (3, f"{x} {a} {y}")], "doc_id long, text string").coalesce(1)
+    runs = substring.op5(d).collect()
+    assert {(r.doc_id, r.first_doc_id, r.is_first) for r in runs} == {
+        (1, 1, True), (2, 2, True), (2, 1, False), (3, 2, False), (3, 1, False)}
+    texts = {r.doc_id: r.text for r in substring.drop_repeats(d).collect()}
+    assert texts[1] == a and texts[3] == ""
+    # row 2 keeps what stands nowhere before; of the copy only its ends, less than a few chunks, may stay
+    assert x in texts[2] and y in texts[2]
+    assert len(x) + len(y) <= len(texts[2]) < len(x) + len(y) + 2 * substring.MAX_CHUNK
+
+
 # --- 7: neighbours -----------------------------------------------------------------
 
 def brute_neighbours(rows, q, top=10):
