@@ -68,7 +68,9 @@ def encoder(tokenizer: str):
     def one(text):
         try:
             return fast.encode_ordinary(text)
-        except Exception:  # its pattern gives up on some very long runs of one class
+        except (KeyboardInterrupt, SystemExit, GeneratorExit):
+            raise
+        except BaseException:  # its pattern gives up on some very long runs of one class, by a Rust panic
             return by_file(text)
     return lambda texts: [one(t) for t in texts]
 

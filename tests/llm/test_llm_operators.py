@@ -147,6 +147,20 @@ def test_packing_odd_rows(spark):
     assert packing.op3(no_documents(spark)).count() == 0
 
 
+def test_packing_of_very_long_runs_of_white_space(spark):
+    texts = [" " * 2_000_000, "\n" * 2_000_000, "a few words"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = collections.defaultdict(dict)
+    for r in packing.op3(d).collect():
+        got[r.doc_id][r.start] = (r.length, r.ids_crc32)
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    for i, text in enumerate(texts):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, packing.SEPARATOR], "<u4")
+        assert sum(n for n, _ in got[i].values()) == len(ids)
+        assert all(zlib.crc32(ids[a:a + n].tobytes()) == crc for a, (n, crc) in got[i].items())
+
+
 def test_program_packs_every_piece_near_the_bound():
     rng = np.random.default_rng(0)
     hist = collections.Counter(np.minimum(rng.exponential(300, 20_000).astype(int) + 1, 1024).tolist())
