@@ -8,10 +8,12 @@ without one, from at most MAX_DOCS documents (chosen by a hash), half of them wi
 span disguised (spaces around separators, ``(at)``, ``(dot)``), so that the
 tagger learns contexts and shapes that the patterns miss.
 
-Tagging covers every stretch that can hold such data: a span has a digit or an
-``@``, so overlapping windows of SIZE characters are placed over all digits
-and ``@`` of a text with CONTEXT characters on each side; text farther away
-needs none. Each window is decoded by Viterbi; a character takes its tag from
+Tagging covers every stretch that can hold such data: a span has a digit, an
+``@`` or a spelled mark (``(at)``, ``[dot]``, `` at ``), so overlapping windows
+of SIZE characters are placed over all of these in a text with CONTEXT
+characters on each side; around ``@`` and spelled marks the words beside them
+(REACH characters at most, as long as the local part of an address may be) are
+covered too. Text farther away needs none. Each window is decoded by Viterbi; a character takes its tag from
 the window in whose middle it lies most, spans are joined across windows, and
 those that overlap base spans, or fail the shape test of their kind, are
 dropped. Base spans always stay.
@@ -35,7 +37,7 @@ from .common import with_columns_of
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_DOCS, WINDOWS = 4000, 320
-SIZE, CONTEXT = 96, 24
+SIZE, CONTEXT, REACH = 96, 24, 64
 HIDDEN, EMBED, EPOCHS, RATE = 16, 8, 14, 0.02
 
 # --- base spans -------------------------------------------------------------
@@ -47,6 +49,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
 _DIGIT = re.compile(r"[0-9]")
+#: What a span of the tagger holds at least one of; a spelled mark stands in brackets or alone.
+_MARK = re.compile(r"[0-9@]|[(\[{<]\s{0,2}(?:at|dot)\s{0,2}[)\]}>]|(?<!\S)(?:at|dot)(?!\S)", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -261,14 +265,14 @@ def _disguise(kind: int, s: str, r: np.random.Generator) -> str:
 
 def training_windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Classes and tags of windows around base spans (every other one disguised) and of windows
-    with digits but no span; the same for the same texts in any order."""
+    with digits or marks but no span; the same for the same texts in any order."""
     r = np.random.default_rng(3)
     hits, plain = [], []
     for t in sorted(texts):
         spans = base_spans(t)
         hits += [(t, s) for s in spans]
         held = [(a, b) for _, a, b in spans]
-        for d in list(_HINT.finditer(t))[::40]:
+        for d in list(_MARK.finditer(t))[::40]:
             if not any(a - SIZE < d.start() < b + SIZE for a, b in held):
                 plain.append((t, d.start()))
     by_kind = [[h for h in hits if h[1][0] == k] for k in range(len(KINDS))]
@@ -308,16 +312,24 @@ _NO_DATA = {**{ord(c): "x" for c in "0123456789"}, ord("@"): " ", ord("+"): " "}
 
 # --- finding ------------------------------------------------------------------
 
+_WORD = re.compile(r"\s*\S*")
+
+
 def _windows(text: str) -> np.ndarray:
-    """Starts of windows over all digits and @ with context on both sides."""
+    """Starts of windows over all digits, @ and spelled marks with context on both sides."""
+    cover = []
+    for m in _MARK.finditer(text):
+        a, b = m.span()
+        if not "0" <= m[0] <= "9":  # the words on both sides
+            a -= _WORD.match(text[max(0, a - REACH):a][::-1]).end()
+            b = _WORD.match(text, b, b + REACH).end()
+        cover.append((a - CONTEXT, b + CONTEXT))
     starts, end = [], -1
-    for m in _HINT.finditer(text):
-        at = m.start()
-        if at + CONTEXT < end:  # inside the middle of the last window
-            continue
-        first = max(0, at - CONTEXT) if at - CONTEXT > end - CONTEXT else end - CONTEXT
-        starts.append(max(0, first))
-        end = starts[-1] + SIZE
+    for first, last in sorted(cover):
+        first = max(0, first)
+        while last > end:
+            starts.append(max(first, end - CONTEXT))
+            end = starts[-1] + SIZE
     return np.array(starts, np.int64)
 
 
@@ -325,6 +337,7 @@ def _plausible(kind: int, s: str) -> bool:
     """The shape that a tagged span must have."""
     n = len(_DIGIT.findall(s))
     if kind == 0:
+        s = s.lower()
         return ("@" in s or "at" in s) and ("." in s or "dot" in s) and len(s) >= 6
     return {1: 4 <= n <= 12, 2: 13 <= n <= 19, 3: 8 <= n <= 15}[kind]
 

@@ -399,6 +399,34 @@ def test_tagger_learns_spans():
     assert hit >= 0.8 * sum(map(len, want))
 
 
+def test_disguised_emails_without_digits_are_found(spark):
+    rng = random.Random(6)
+    names = ["anna", "john", "maria.lopez", "peter", "kate.smith", "bernadette.featherstonehaugh"]
+    docs = [(i, f"{prose(rng, 30)} {rng.choice(names)}@{prose(rng, 1, 4)}.com {prose(rng, 30)}") for i in range(300)]
+    want = {}
+    for i in range(300, 340):
+        left, span = prose(rng, 40), f"{rng.choice(names)} (at) {prose(rng, 1, 4)} (dot) com"
+        docs.append((i, f"{left} {span} {prose(rng, 40)}"))
+        want[i] = (len(left) + 1, len(left) + 1 + len(span))
+    got = {r.doc_id: r.spans for r in pii.op4(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    found = {i: [tuple(map(int, x.split(":")[1:])) for x in got[i].split(",") if x.startswith("email")] for i in want}
+    hit = sum(any(a < y and x < b for x, y in found[i]) for i, (a, b) in want.items())
+    assert hit >= 0.8 * len(want)
+
+
+def test_windows_cover_marks_and_the_words_beside_them():
+    for left in ("", "x " * 50):
+        for span in ("john (at) example (dot) com", "john [AT] example.com", "john at example dot com",
+                     "a" * 60 + " (at) " + "b" * 60 + " (dot) com", "firstname.middlename.lastname @ example.com", "x7"):
+            for right in ("", " y" * 50):
+                text = left + span + right
+                seen = np.zeros(len(text) + pii.SIZE, bool)
+                for a in pii._windows(text).tolist():
+                    seen[a:a + pii.SIZE] = True
+                assert seen[len(left):len(left) + len(span)].all(), text
+    assert len(pii._windows("no data in this text, but that dotted attic")) == 0
+
+
 # --- 5: substring dedup ----------------------------------------------------------
 
 def test_repeated_passages_are_found(spark, docs):
