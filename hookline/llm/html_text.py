@@ -14,10 +14,17 @@ one. The pages of a host are then merged by path:
 * presentation importance of an element: the entropy, to the base of its
   pages, of the sequences of child elements it appears with.
 
-Blocks of a node that is low in both are removed (hosts with at least
-MIN_PAGES different pages; fewer tell nothing). Host statistics are partial
-aggregates by (host, node, text), so a host with a third of all pages is no
-group of rows anywhere.
+Of a node that is low in both, the blocks are removed whose own text repeats,
+that is, stands on more than the square root of the host's pages (hosts with at
+least MIN_PAGES different pages; fewer tell nothing); other texts there stay.
+There are fewer than blocks / sqrt(pages) such texts.
+
+Pages count once for all their copies and near copies, as a much copied article
+is no frame: pages of which at most OWN of the text does not repeat are one
+page if they have the same longest repeating text.
+
+Host statistics are partial aggregates by (host, node, text), so a host with a
+third of all pages is no group of rows anywhere.
 
 Rows: null html is empty and gives an empty text; a null or odd url is a host
 of its own kind (''). Repeated rows give repeated results. Extra columns are
@@ -38,6 +45,7 @@ from .common import join_skewed, materialise, slices, with_columns_of
 
 MIN_PAGES = 8
 LOW_CONTENT, LOW_MAIN, LOW_STYLE = 0.2, 0.1, 0.5
+OWN = 0.2
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^'">])*+)>""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -207,18 +215,46 @@ def _parsed():
     return run
 
 
+def _page_counts(parsed: DataFrame) -> DataFrame:
+    """(host, m): hosts with enough different pages."""
+    return parsed.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("m")).where(
+        f"m >= {MIN_PAGES}")
+
+
+def _once(parsed: DataFrame) -> DataFrame:
+    """(host, page, blocks, styles) with texts as (hash, length), where near copies have the same page."""
+    d = parsed.select("row", "host", "page", "styles", F.transform("blocks", lambda b: F.struct(
+        b["path"].alias("path"), b["parent"].alias("parent"), b["main"].alias("main"),
+        F.xxhash64(b["text"]).alias("seen"), F.length(b["text"]).alias("size"))).alias("blocks"))
+    texts = d.select("host", "page", F.explode(F.array_distinct("blocks.seen")).alias("seen")).distinct()
+    n = texts.groupBy("host", "seen").agg(F.count("*").alias("n"))
+    common = n.join(_page_counts(d), "host").where("n * n > m").groupBy("host").agg(
+        F.collect_list("seen").alias("common"))
+    common = common.join(d.groupBy("host").agg(F.count("*").alias("rows")), "host")
+    x = join_skewed(d, materialise(common, "html-common"), "host", "rows", max(1, d.count()), "row")
+    own = F.filter("blocks", lambda b: ~F.array_contains("common", b["seen"]))
+    shared = F.filter("blocks", lambda b: F.array_contains("common", b["seen"]))
+
+    def size(c):
+        return F.aggregate(c, F.lit(0).cast("long"), lambda s, b: s + b["size"])
+    longest = F.array_max(F.transform("shared", lambda b: F.struct(b["size"], b["seen"])))["seen"]
+    near = F.col("common").isNotNull() & (F.size("shared") > 0) & (
+        size(F.col("own")) <= OWN * (size(F.col("own")) + size(F.col("shared"))))
+    x = x.withColumn("own", own).withColumn("shared", shared)
+    return x.select("host", F.when(near, longest).otherwise(F.col("page")).alias("page"), "blocks", "styles")
+
+
 def unimportant(parsed: DataFrame) -> DataFrame:
-    """(host, paths): the style-tree nodes of each host whose blocks are to go."""
-    # pages with the same blocks are one page: copies say nothing about a site's frame
-    per_page = parsed.groupBy("host", "page").agg(F.count("*").alias("copies"))
-    hosts = per_page.groupBy("host").agg(F.count("*").alias("m")).where(f"m >= {MIN_PAGES}")
+    """(host, gone): hashes of node and text of the blocks of each host that are to go."""
+    # near copies are one page: they say nothing about a site's frame
+    parsed = materialise(_once(parsed), "html-once")
+    hosts = _page_counts(parsed)
     blocks = parsed.select("host", "page", F.explode("blocks").alias("b")).select(
-        "host", "page", F.col("b.path").alias("path"), F.col("b.parent").alias("parent"),
-        F.col("b.main").alias("main"), F.xxhash64("b.text").alias("seen"))
+        "host", "page", "b.path", "b.parent", "b.main", "b.seen")
     texts = blocks.distinct().groupBy("host", "path", "parent", "main", "seen").agg(F.count("*").alias("n"))
     nodes = texts.join(hosts, "host").groupBy("host", "path", "parent", "main", "m").agg(
         F.sum(F.col("n") * F.log("n")).alias("s"), F.sum("n").alias("blocks")).select(
-        "host", "path", "parent", "main", (1 - F.col("s") / F.col("blocks") / F.log("m")).alias("content"))
+        "host", "path", "parent", "main", "m", (1 - F.col("s") / F.col("blocks") / F.log("m")).alias("content"))
     styles = parsed.select("host", "page", F.explode("styles").alias("s")).select(
         "host", "page", F.col("s.path").alias("parent"), F.col("s.seen").alias("seen")).distinct()
     # entropy to the base of the pages: log(N) - sum(n log n) / N, over log(N)
@@ -226,8 +262,10 @@ def unimportant(parsed: DataFrame) -> DataFrame:
         F.sum(F.col("n") * F.log("n")).alias("s"), F.sum("n").alias("pages"))
     style = F.when(F.col("pages") > 1, 1 - F.col("s") / F.col("pages") / F.log("pages")).otherwise(1)
     low = F.col("content") < F.when(F.col("main"), LOW_MAIN).otherwise(LOW_CONTENT)
-    return nodes.where(low).join(shapes.select("host", "parent", style.alias("style")), ["host", "parent"], "left").where(
-        F.coalesce("style", F.lit(0.0)) < LOW_STYLE).groupBy("host").agg(F.collect_set("path").alias("paths"))
+    nodes = nodes.where(low).join(shapes.select("host", "parent", style.alias("style")), ["host", "parent"],
+                                  "left").where(F.coalesce("style", F.lit(0.0)) < LOW_STYLE)
+    return texts.where("n > 1").join(nodes.select("host", "path", "main", "m"), ["host", "path", "main"]).where(
+        "n * n > m").groupBy("host").agg(F.collect_set(F.xxhash64("path", "seen")).alias("gone"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -241,8 +279,8 @@ def extract(pages: DataFrame) -> DataFrame:
     gone = unimportant(parsed).join(parsed.groupBy("host").agg(F.count("*").alias("pages")), "host")
     x = join_skewed(parsed.select("row", "page_id", "url", "host", "blocks"), materialise(gone, "html-gone"),
                     "host", "pages", max(1, parsed.count()), "row")
-    kept = F.when(F.col("paths").isNull(), F.col("blocks")).otherwise(
-        F.filter("blocks", lambda b: ~F.array_contains("paths", b["path"])))
+    kept = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.filter(
+        "blocks", lambda b: ~F.array_contains("gone", F.xxhash64(b["path"], F.xxhash64(b["text"])))))
     return x.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), " ").alias("text"))
 
 

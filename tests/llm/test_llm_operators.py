@@ -654,6 +654,33 @@ def test_site_frame_is_removed_by_its_entropy(spark):
     assert html_text.op2(d.limit(0)).count() == 0
 
 
+def test_near_copies_of_a_page_keep_their_text(spark):
+    rng = random.Random(9)
+
+    def page(paras, frame="", wrap="article"):
+        return f"<html><body>{frame}<{wrap}>{''.join(f'<p>{p}</p>' for p in paras)}</{wrap}></body></html>"
+
+    def copies(host, n, paras, **more):
+        out = []
+        for i in range(n):
+            own = list(paras)
+            own[rng.randrange(len(own))] = f"counter {prose(rng, 3)}"
+            out.append((f"http://{host}/{i}", page(own, **more), own, more.get("frame")))
+        return out
+    frame = f"<div class='bar'><p>{prose(rng, 6)}</p><p>{prose(rng, 6)}</p></div>"
+    article = [prose(rng, 12) for _ in range(20)]
+    rows = copies("copies.example", 8, article) + copies("many.example", 90, article, frame=frame, wrap="div")
+    for i in range(12):
+        own = [prose(rng, 12) for _ in range(20)]
+        rows.append((f"http://many.example/u{i}", page(own, frame, "div"), own, frame))
+    d = spark.createDataFrame([(i, u, h) for i, (u, h, _, _) in enumerate(rows)], "page_id long, url string, html string")
+    for r in html_text.op2(d).collect():
+        _, _, own, bar = rows[r.page_id]
+        assert all(p in r.text for p in own), r.url
+        for p in re.findall("<p>(.*?)</p>", bar or ""):
+            assert p not in r.text
+
+
 # --- pipeline ------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, docs):
