@@ -17,14 +17,17 @@ share is one entry.
 A query that finds fewer than TOP neighbours (small tables) visits all buckets
 of the first table, which is an exact search.
 
-Vectors that are null, zero, of another dimension than the first by id, or hold
-null or non-finite components take no part, and neither do null ids. Of
+Vectors that are null, zero, or hold null or non-finite components take no
+part, and neither do null ids. Vectors of different dimensions are no neighbours
+of each other; each dimension that queries have is searched on its own. Of
 repeated ids each different vector takes part; a query's own id is no candidate
 for it. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -142,10 +145,22 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, probes: int =
         F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     vectors, queries = vectors.where(ok), queries.where(ok)
     empty = "query_id long, rank int, vec_id long, score double"
-    one = vectors.agg(F.min(F.struct("id", F.size("v").alias("n"))).alias("f")).first()["f"]
-    if one is None:
+    sizes = [r["n"] for r in queries.select(F.size("v").alias("n")).distinct().orderBy("n").collect()]
+    found = [_search_size(vectors.where(F.size("v") == n), queries.where(F.size("v") == n), top, probes)
+             for n in sizes if vectors.where(F.size("v") == n).limit(1).count()]
+    if not found:
         return vectors.sparkSession.createDataFrame([], empty)
-    vectors, queries = (x.where(F.size("v") == one["n"]) for x in (vectors, queries))
+    if len(found) == 1:
+        return found[0]
+    both = materialise(reduce(DataFrame.unionByName, found), "ann-sizes")  # an id may have vectors of several sizes
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return both.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn(
+        "rank", F.row_number().over(order)).where(F.col("rank") <= top).select(
+        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _search_size(vectors: DataFrame, queries: DataFrame, top: int, probes: int) -> DataFrame:
+    """``search`` among vectors of one size."""
     # Equal vectors are one entry. Ids meet in 64 parts first, so a vector that very many rows
     # share is no large group; of each part and then of all the smallest top + 1 ids are kept.
     e = vectors.select("id", "v").distinct().withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64)))

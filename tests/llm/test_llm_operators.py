@@ -550,6 +550,25 @@ def test_neighbours_odd_rows(spark):
     assert neighbours.op7(d.limit(0)).count() == 0
 
 
+def test_neighbours_of_every_vector_size(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(301, 8)))]
+    rows += [(i, v.tolist()) for i, v in zip(range(1000, 1031), rng.normal(size=(31, 5)))]
+    rows += [(-1, [1.0, 2.0, 3.0]), (2000, [1.0]), (200, [1.0, 2.0, 2.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in neighbours.op7(d).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert set(got) == {0, 100, 200, 300, 1000}
+    assert all([r for r, _, _ in x] == list(range(1, 11)) for x in got.values())
+    assert {i for _, i, _ in got[1000]} <= set(range(1001, 1031))
+    assert got[200][0][1:] == (-1, 1.0)
+    x = dict(rows[:301])
+    want = brute_neighbours(rows[:301], 0)
+    assert len({i for _, i in want} & {i for _, i, _ in got[0]}) >= 9
+    assert all(s == pytest.approx(float(np.linalg.norm(np.array(x[i]) - np.array(x[0])))) for _, i, s in got[0])
+
+
 # --- 1: WARC -------------------------------------------------------------------------
 
 def odd_pages(spark):
