@@ -56,8 +56,9 @@ def _bits(h: np.ndarray) -> np.ndarray:
 
 
 def _simhash(h: np.ndarray, w: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(windows, BITS) bools: the signs of the weighted sums from each start in ``at``."""
-    return np.add.reduceat(_bits(h) * w[:, None].astype(np.float32), at, 0) > 0
+    """(windows, BITS) bools: the signs of the weighted sums from each start in ``at``. The angle goes
+    by squared weights, so their roots make it follow the weighted Jaccard similarity."""
+    return np.add.reduceat(_bits(h) * np.sqrt(w)[:, None].astype(np.float32), at, 0) > 0
 
 
 def _block_keys(fp: np.ndarray, n: np.ndarray) -> np.ndarray:

@@ -273,6 +273,16 @@ def test_near_leaks_and_odd_rows(spark):
     assert decontaminate.find_leaks(d.limit(0), bench).count() == 0
 
 
+def test_leaks_of_items_that_share_a_template(spark):
+    template = " ".join(f"t{i}" for i in range(104))
+    bench = spark.createDataFrame([(i, f"{template} unique{i}") for i in range(300)], "item_id long, text string")
+    d = spark.createDataFrame([(1, f"{template} other")], "doc_id long, text string")
+    got = decontaminate.find_leaks(d, bench).collect()
+    # 100 shingles of weight log 2 shared, one of weight log 301 on either side: similarity 0.86
+    assert {r.item_id for r in got} == set(range(300))
+    assert all(r.similarity == pytest.approx(100 * np.log(2) / (100 * np.log(2) + 2 * np.log(301))) for r in got)
+
+
 def test_hamming_index_finds_all_within_radius():
     rng = np.random.default_rng(3)
     a = rng.random((50, decontaminate.BITS)) < 0.5
