@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (decontaminate, html_text, minhash, neighbours, packing, pii, secrets, substring,
-               toxicity, warc)
+from . import (decontaminate, html_text, infill, minhash, neighbours, packing, pii, quality, secrets,
+               substring, toxicity, warc)
 from .common import table
 
 
@@ -55,6 +55,14 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op4(table(spark, sf_dir, "documents"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op11(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.op12(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_html": op2_html,
@@ -66,6 +74,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_minhash": op9_minhash,
     "op10_toxicity": op10_toxicity,
+    "op11_quality": op11_quality,
+    "op12_infill": op12_infill,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op12_infill": infill.OP12_SQL,
+}
