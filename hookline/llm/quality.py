@@ -1,6 +1,6 @@
 """Quality scoring (operator 11): a support vector machine on naive Bayes features.
 
-Terms are indicators of n-grams: 1 to 4 bytes; 2 to 4 signs of the text's shape
+Terms are indicators of n-grams: 1 to 3 bytes; 2 to 4 signs of the text's shape
 (letters, digits and white space folded to one sign each and runs to one, other
 signs as they are); words and word pairs; and up to three answers to "is this word
 the one before?". An indicator is scaled by its log-count ratio
@@ -45,8 +45,9 @@ MIN_ROWS = 5
 MIN_Z = 3.0
 PENALTY = 1.0
 HALVES = 2
-#: Bytes of a text that are hashed at a time.
+#: Bytes of a text that are hashed at a time, and counts that a task keeps before it sends them on.
 WINDOW = 1 << 20
+HELD = 2_000_000
 
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[128:] = ord("a")
@@ -56,20 +57,20 @@ _SHAPE[[9, 10, 11, 12, 13, 32]] = 32
 
 
 def byte_grams(buf: np.ndarray, off: np.ndarray, sizes: range, tag: int):
-    """(hashes, rows) of all runs of so many bytes inside a row, window by window; the
-    windows of a long text overlap by what a run needs, so a run may come twice."""
+    """(hashes, rows, which count) of all runs of so many bytes inside a row, window by window;
+    the windows of a long text overlap by what a run needs, so a run may come twice."""
     for at in range(0, max(len(buf), 1), WINDOW):
         part = buf[at:at + WINDOW + sizes[-1] - 1]
         n = len(part)
-        i = np.arange(at, at + n)
-        row = np.searchsorted(off, i, "right") - 1
-        left = np.minimum(off[row + 1], at + n) - i  # bytes from here to the end of the row or window
+        ends = np.clip(off[1:], at, at + n) - at
+        starts = np.clip(off[:-1], at, at + n) - at
+        row = np.repeat(np.arange(len(ends), dtype=np.int32), ends - starts)
+        left = np.repeat(ends, ends - starts) - np.arange(n)  # bytes from here to the end of the row or window
         gram = np.zeros(n, np.uint64)
         for k in range(1, min(sizes[-1], n) + 1):
             gram[:n - k + 1] |= part[k - 1:].astype(np.uint64) << np.uint64(8 * (k - 1))
             if k in sizes:
-                ok = np.flatnonzero(left >= k)
-                yield mix(gram[ok] + np.uint64((tag + k) << 40)), row[ok]
+                yield mix(gram + np.uint64((tag + k) << 40)), row, left >= k
 
 
 def shapes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,45 +97,52 @@ def word_grams(buf: np.ndarray, off: np.ndarray):
     low = ascii_lower(buf)
     start, end, row = word_spans(low, off)
     h = word_hashes(low, start, end)
-    yield mix(h + np.uint64(1)), row
+    yield mix(h + np.uint64(1)), row, None
     pair = np.flatnonzero(row[1:] == row[:-1])
-    yield mix(mix(h[pair]) + h[pair + 1]), row[pair]
+    yield mix(mix(h[pair]) + h[pair + 1]), row[pair], None
     # is the word the one before? asked of one, two and three words in a row
     answer, of = (h[pair] == h[pair + 1]).astype(np.uint64), row[pair]
     code, last = answer, np.arange(len(pair))
     for k in range(3):
-        yield mix(code + np.uint64((k + 1) << 50)), of[last]
+        yield mix(code + np.uint64((k + 1) << 50)), of[last], None
         more = np.flatnonzero(last + 1 < len(pair))
         more = more[of[last[more] + 1] == of[last[more]]]
         code, last = code[more] * np.uint64(2) + answer[last[more] + 1], last[more] + 1
 
 
-def families(col: pa.Array) -> Iterator[Iterator[tuple[np.ndarray, np.ndarray]]]:
-    """The terms of all rows, family by family, as pieces of (hashes, rows); within a
-    family a term may come more than once a row."""
+def families(col: pa.Array) -> Iterator[Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]]:
+    """The terms of all rows, family by family, as pieces of (hashes, rows, which of them count;
+    None: all); within a family a term may come more than once a row."""
     buf, off = utf8(col)
-    yield byte_grams(buf, off, range(1, 5), 0)
+    yield byte_grams(buf, off, range(1, 4), 0)
     yield byte_grams(*shapes(buf, off), range(2, 5), 16)
     yield word_grams(buf, off)
 
 
-def distinct(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((row, h))
-    h, row = h[order], row[order]
-    once = np.ones(len(h), bool)
-    once[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    return h[once], row[once]
-
-
 class Vocabulary:
-    """Sorted term hashes with a bitmap in front."""
+    """Sorted term hashes behind a table of their top bits; a hash whose place is taken is looked up by search."""
 
-    BITS = np.uint64((1 << 20) - 1)
+    SHIFT = np.uint64(44)
 
     def __init__(self, keys: np.ndarray):
         self.keys = np.sort(np.asarray(keys, np.uint64))
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[self.keys & self.BITS] = True
+        n = len(self.keys)
+        place = (self.keys >> self.SHIFT).astype(np.intp)
+        self.first = np.full(1 << 20, n, np.int32)
+        self.first[place[::-1]] = np.arange(n, dtype=np.int32)[::-1]  # the smallest key of a place stays
+        self.more = np.zeros(1 << 20, bool)
+        self.more[place[1:][place[1:] == place[:-1]]] = True
+        self.wall = np.append(self.keys, ~np.uint64(0))  # what no place holds equals no hash
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are terms, and which terms."""
+        place = (h >> self.SHIFT).astype(np.intp)
+        at = self.first[place]
+        hit = np.flatnonzero((self.wall[at] == h) & (at < len(self.keys)))
+        rest = np.flatnonzero(self.more[place])
+        to = np.minimum(np.searchsorted(self.keys, h[rest]), len(self.keys) - 1)
+        ok = (self.keys[to] == h[rest]) & (to != at[rest])
+        return np.concatenate([hit, rest[ok]]), np.concatenate([at[hit], to[ok]])
 
     def held(self, col: pa.Array) -> np.ndarray:
         """(rows, terms) indicators."""
@@ -142,11 +150,11 @@ class Vocabulary:
         if not len(self.keys):
             return out
         for family in families(col):
-            for h, row in family:
-                maybe = np.flatnonzero(self.bits[h & self.BITS])
-                at = np.minimum(np.searchsorted(self.keys, h[maybe]), len(self.keys) - 1)
-                ok = self.keys[at] == h[maybe]
-                out[row[maybe[ok]], at[ok]] = True
+            for h, row, ok in family:
+                hit, term = self.find(h)
+                if ok is not None:
+                    hit, term = hit[ok[hit]], term[ok[hit]]
+                out[row[hit], term] = True
         return out
 
 
@@ -225,25 +233,51 @@ def chosen(good: np.ndarray, bad: np.ndarray, n_good: float, n_bad: float) -> np
 
 # --- learning -----------------------------------------------------------------
 
+def distinct(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs, by hash and row."""
+    order = np.lexsort((row, h)) if len(row) and (np.diff(row) < 0).any() else np.argsort(h, kind="stable")
+    h, row = h[order], row[order]
+    once = np.ones(len(h), bool)
+    once[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[once], row[once]
+
+
+def added(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of equal hashes summed: (hashes, one row of cells each)."""
+    keys, at = np.unique(h, return_inverse=True)
+    return keys, np.stack([np.bincount(at, c, len(keys)) for c in n.T], 1)
+
+
 def _term_counts(batches):
-    """(text, good, half) -> rows that hold each term, by half and class, summed within a slice."""
+    """(text, good, half) -> rows that hold each term, by half and class, summed within a task
+    as far as ``HELD`` counts go."""
+    hs, ns, held = [], [], 0
+    cells = 2 * HALVES
+
+    def out():
+        h, n = added(np.concatenate(hs), np.concatenate(ns))
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *[pa.array(c) for c in n.T]],
+                                          ["term", *[f"c{i}" for i in range(cells)]])
     for batch in batches:
         for part in slices(batch, "text"):
-            cell = (part.column("half").to_numpy() * 2 + part.column("good").to_numpy())
+            cell = part.column("half").to_numpy() * 2 + part.column("good").to_numpy()
             for family in families(part.column("text")):
-                pieces = [distinct(h, row) for h, row in family]
-                h, row = distinct(*[np.concatenate(x) for x in zip(*pieces)]) if pieces else (np.zeros(0, np.uint64),
-                                                                                              np.zeros(0, np.int64))
-                # one row a term and cell: cells take the place of rows, now with repeats
-                of = cell[row]
-                order = np.lexsort((of, h))
-                h, of = h[order], of[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-                first = np.flatnonzero(new)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[first].view(np.int64)), pa.array(of[first].astype(np.int64)),
-                     pa.array(np.diff(np.append(first, len(h))))], ["term", "cell", "n"])
+                pieces = [distinct(h, row) if ok is None else distinct(h[ok], row[ok]) for h, row, ok in family]
+                if not pieces:
+                    continue
+                h, row = distinct(*[np.concatenate(x) for x in zip(*pieces)])
+                if not len(h):
+                    continue
+                at = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))
+                n = np.bincount(at * cells + cell[row], minlength=(at[-1] + 1) * cells).reshape(-1, cells)
+                hs.append(h[np.flatnonzero(np.diff(at, prepend=-1))])
+                ns.append(n.astype(np.float64))
+                held += len(n)
+            if held > HELD:
+                yield out()
+                hs, ns, held = [], [], 0
+    if hs:
+        yield out()
 
 
 def _term_rows(vocabulary: Vocabulary):
@@ -284,8 +318,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
         return {"share": share}
     cells = [f"c{i}" for i in range(2 * HALVES)]
     counts = train.select("text", "good", "half").mapInArrow(
-        _term_counts, "term long, cell long, n long").groupBy("term").agg(
-        *[F.sum(F.when(F.col("cell") == i, F.col("n")).otherwise(0)).cast("double").alias(c) for i, c in enumerate(cells)])
+        _term_counts, ", ".join(["term long", *[f"{c} double" for c in cells]])).groupBy("term").agg(
+        *[F.sum(c).alias(c) for c in cells])
     good, bad = sum(F.col(c) for c in cells[1::2]), sum(F.col(c) for c in cells[::2])
     z = (F.abs(F.log((good + 1) / float(n[:, 1].sum() + 2)) - F.log((bad + 1) / float(n[:, 0].sum() + 2)))
          / F.sqrt(1 / (good + 1) + 1 / (bad + 1)))
@@ -320,12 +354,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
 def score_column(model: dict, col: pa.Array) -> np.ndarray:
     if "weights" not in model:
         return np.full(len(col), model["share"])
-    held = model["vocabulary"].held(col)
-    value = model["value"].astype(np.float32)
-    length = np.sqrt(held @ (value * value))
-    s = (held @ (model["weights"] * model["value"]).astype(np.float32)) / np.maximum(length, 1e-12) + model["intercept"]
+    rows, terms = np.nonzero(model["vocabulary"].held(col))
+    value = model["value"]
+    length = np.sqrt(np.bincount(rows, (value * value)[terms], len(col)))
+    s = np.bincount(rows, (model["weights"] * value)[terms], len(col)) / np.maximum(length, 1e-12) + model["intercept"]
     a, b = model["curve"]
-    return 1 / (1 + np.exp(-np.clip(a * s.astype(np.float64) + b, -500, 500)))
+    return 1 / (1 + np.exp(-np.clip(a * s + b, -500, 500)))
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (decontaminate, html_text, infill, minhash, neighbours, packing, pii, quality, secrets,
-               substring, toxicity, warc)
+               substring, toxicity, trie, warc)
 from .common import table
 
 
@@ -63,6 +63,10 @@ def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.op12(table(spark, sf_dir, "documents"))
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.op13(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_html": op2_html,
@@ -76,8 +80,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_quality": op11_quality,
     "op12_infill": op12_infill,
+    "op13_trie": op13_trie,
 }
 
 SQL: dict[str, str] = {
     "op12_infill": infill.OP12_SQL,
+    "op13_trie": trie.OP13_SQL,
 }
