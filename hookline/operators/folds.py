@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import CAL_SHARE, N_FOLDS, SEED
-from .rank import hash_rank
+from .rank import hash_order, hash_rank
 
 
 def stratified_folds(df: DataFrame, key: str = "email_id", label: str = "y",
@@ -42,15 +42,72 @@ def fold_complement_by_filter(df: DataFrame, k: int = N_FOLDS) -> DataFrame:
     return out
 
 
+#: Hash buckets of the cut search: a crossing bucket holds about 1 / 65,536 of a training set.
+CUT_DIGITS = 4
+
+
+def _cut_order(key: str, train_fold: Column, seed: int) -> Column:
+    return hash_order(F.lit(seed) + train_fold, F.col(key))[0]
+
+
+def holdout_cuts(df: DataFrame, key: str = "email_id", k: int = N_FOLDS,
+                 share: float = CAL_SHARE, seed: int = SEED) -> DataFrame:
+    """``(train_fold, n_train, n_cal, cut_hash, cut_key)``: one row per training fold.
+
+    The calibration rows of training fold t are the first floor(share * n_t) rows in
+    order of md5((seed + t):key), that is all up to a cut; the cut is null if there are
+    none. It is selected without ranking any row: a histogram of the hash (k - 1 bucket
+    numbers a row, summed before they leave the task, at most k x 65,536 rows
+    after) tells the bucket in which the count crosses, and only that bucket's rows are ordered.
+    Rows with the cut's own key fall on one side together.
+    """
+    shift = 4 * (15 - CUT_DIGITS)
+    marks = F.array(*[F.struct(F.lit(t).alias("train_fold"), _cut_order(key, F.lit(t), seed).alias("h"))
+                      for t in range(1, k + 1)])
+    rows = df.select("fold", key, F.inline(marks)).where((F.col("fold") != F.col("train_fold")) & F.col("h").isNotNull()) \
+             .select("train_fold", key, "h", F.shiftright("h", shift).alias("_b"))
+    counts = rows.groupBy("train_fold", "_b").agg(F.count(F.lit(1)).alias("n"))
+    upto, whole = Window.partitionBy("train_fold").orderBy("_b"), Window.partitionBy("train_fold")
+    n_cal = F.floor(F.lit(share) * F.col("n_train"))
+    run = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("n_train", F.sum("n").over(whole)) \
+                .withColumn("n_cal", n_cal)
+    sizes = run.groupBy("train_fold").agg(F.max("n_train").alias("n_train"), F.max("n_cal").alias("n_cal"))
+    crossing = run.where((F.col("upto") >= F.col("n_cal")) & (F.col("upto") - F.col("n") < F.col("n_cal"))) \
+                  .select("train_fold", "_b", (F.col("n_cal") - F.col("upto") + F.col("n")).alias("_need"))   # k rows
+    inside = rows.join(F.broadcast(crossing), ["train_fold", "_b"])
+    place = F.row_number().over(Window.partitionBy("train_fold").orderBy("h", key))
+    cut = inside.withColumn("_r", place).where(F.col("_r") == F.col("_need")) \
+                .select("train_fold", F.col("h").alias("cut_hash"), F.col(key).alias("cut_key"))
+    return sizes.join(F.broadcast(cut), "train_fold", "left")
+
+
+def before_cut(key: str, train_fold: Column, cut_hash: Column, cut_key: Column, seed: int = SEED) -> Column:
+    """Whether a row of ``train_fold``'s training set calibrates."""
+    h = _cut_order(key, train_fold, seed)
+    return F.coalesce((h < cut_hash) | ((h == cut_hash) & (F.col(key) <= cut_key)), F.lit(False))
+
+
 def holdout_split(df: DataFrame, key: str = "email_id", k: int = N_FOLDS,
                   share: float = CAL_SHARE, seed: int = SEED) -> DataFrame:
-    """For each training fold t: exactly floor(share * n_t) rows flagged ``is_cal``.
+    """For each training fold t: floor(share * n_t) rows flagged ``is_cal``, the rest fit the models.
 
-    Rows are ranked by md5((seed + t):key) inside each training set; the first
-    floor(share * n_t) are the calibration rows, the rest fit the models.
+    The flag is a comparison with the fold's cut: no rank, no window over the rows.
     """
-    train = fold_complement(df, k)
-    r = hash_rank(train, ["train_fold"], key, F.lit(seed) + F.col("train_fold"), out="_r", totals=True,
-                  max_groups=k)
-    n_cal = F.floor(F.lit(share) * F.col("total__r"))
-    return r.withColumn("is_cal", F.col("_r") <= n_cal).drop("_r", "total__r")
+    cuts = holdout_cuts(df, key, k, share, seed).select("train_fold", "cut_hash", "cut_key")   # k rows
+    j = fold_complement(df, k).join(F.broadcast(cuts), "train_fold", "left")
+    flag = before_cut(key, F.col("train_fold"), F.col("cut_hash"), F.col("cut_key"), seed)
+    return j.select(*df.columns, "train_fold", flag.alias("is_cal"))
+
+
+def calibration_flags(df: DataFrame, key: str = "email_id", k: int = N_FOLDS,
+                      share: float = CAL_SHARE, seed: int = SEED) -> dict[int, Column]:
+    """Per fold t a column of ``df``: whether a row calibrates t, null on t's test rows. The k cuts
+    are collected, so the flags are comparisons within the row."""
+    cuts = {r["train_fold"]: r for r in holdout_cuts(df, key, k, share, seed).collect()}
+    out = {}
+    for t in range(1, k + 1):
+        r = cuts.get(t)
+        flag = F.lit(False) if r is None or r["cut_hash"] is None else \
+            before_cut(key, F.lit(t), F.lit(r["cut_hash"]), F.lit(r["cut_key"]), seed)
+        out[t] = F.when(F.col("fold") != t, flag)
+    return out

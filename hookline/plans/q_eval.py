@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.constants import ALPHA
-from ..operators.folds import fold_complement, fold_complement_by_filter, holdout_split, stratified_folds
+from ..operators.folds import fold_complement, fold_complement_by_filter, holdout_cuts, holdout_split, stratified_folds
 from ..operators.metrics import confusion, cv_pooled, cv_summary, rates
 from ..operators.policy import late_fusion
 from ..operators.rank import prefix_sums
@@ -126,10 +126,9 @@ FROM h JOIN (SELECT fold, count(*) AS n FROM f GROUP BY fold) tst ON tst.fold =
 GROUP BY h.train_fold""")
 def agg_split_sizes(spark, sf_dir):
     folded = stratified_folds(scored(spark, sf_dir))
-    hold = holdout_split(folded)
-    sizes = hold.groupBy(F.col("train_fold").alias("fold")).agg(
-        F.sum(F.when(~F.col("is_cal"), 1).otherwise(0)).cast("bigint").alias("n_fit"),
-        F.sum(F.when(F.col("is_cal"), 1).otherwise(0)).cast("bigint").alias("n_cal"))
+    sizes = holdout_cuts(folded).select(F.col("train_fold").alias("fold"),
+                                        (F.col("n_train") - F.col("n_cal")).cast("bigint").alias("n_fit"),
+                                        F.col("n_cal").cast("bigint").alias("n_cal"))
     tests = folded.groupBy("fold").agg(F.count(F.lit(1)).cast("bigint").alias("n_test"))
     return sizes.join(tests, "fold")
 

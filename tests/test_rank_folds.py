@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import hookline.operators.rank as R
-from hookline.operators.folds import fold_complement, fold_complement_by_filter, holdout_split, stratified_folds
+from hookline.operators.folds import calibration_flags, fold_complement, fold_complement_by_filter, holdout_split, stratified_folds
 
 
 def test_prefix_sums_equal_naive_window(spark, monkeypatch):
@@ -42,3 +42,23 @@ def test_fold_complement_forms_agree_and_holdout_is_exact(spark):
     for k in range(1, 5):
         n = sum(1 for r in h if r["train_fold"] == k)
         assert sum(1 for r in h if r["train_fold"] == k and r["is_cal"]) == int(0.2 * n)
+
+
+def test_holdout_is_the_hash_order_and_ranks_nothing(spark):
+    """The cut equals the first rows of a full sort, whatever the size; no row is copied or ranked."""
+    import hashlib
+    for n in (0, 3, 6, 50, 2000):
+        df = spark.createDataFrame([(i * 7, i % 4 + 1) for i in range(n)], "email_id long, fold int")
+        got = {(r["train_fold"], r["email_id"]) for r in holdout_split(df).where("is_cal").collect()}
+        want = set()
+        for t in range(1, 5):
+            train = sorted((hashlib.md5(f"{42 + t}:{i * 7}".encode()).hexdigest()[:15], i * 7) for i in range(n) if i % 4 + 1 != t)
+            want |= {(t, i) for _, i in train[:int(0.2 * len(train))]}
+        assert got == want
+        flags = calibration_flags(df)
+        rows = df.select("email_id", "fold", *[c.alias(f"c{t}") for t, c in flags.items()]).collect()
+        assert {(t, r["email_id"]) for r in rows for t in range(1, 5) if r[f"c{t}"]} == want
+        assert all((r[f"c{t}"] is None) == (r["fold"] == t) for r in rows for t in range(1, 5))
+    plan = holdout_split(df)._jdf.queryExecution().executedPlan().toString()
+    # the one rank is below the join with the crossing buckets, on 1/65,536 of the rows
+    assert plan.count("row_number()") <= 2 and "RoundRobin" not in plan
