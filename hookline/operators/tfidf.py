@@ -7,11 +7,16 @@ without the +1, so the vector form rescales term counts by (idf + 1).
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, IDF, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..functions.constants import TFIDF_MAX_TERMS
 from ..functions.text import with_bigrams, word_tokens
@@ -23,43 +28,87 @@ def doc_terms(df: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
     return toks.select(key, *keep, with_bigrams(F.col("_t")).alias("terms"))
 
 
-def term_rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, term)``: one row per unigram and per adjacent pair.
+def corpus_terms(df: DataFrame, text: str) -> DataFrame:
+    """``(term, n, df)``: occurrences and documents of every unigram and adjacent pair, and one
+    row with a null term whose ``df`` is the number of documents.
 
-    Built with ``posexplode`` + ``element_at`` (whole-stage codegen) rather than
-    exploding a lambda-built array, which the generator re-evaluates per element.
+    A document is one row, so its terms are counted in the row: they are sorted, and the
+    last of each run of equal terms is marked. Occurrences and marks are summed
+    by term in the task before anything moves; no exchange is keyed by document.
+    Terms are structs (word, next word or null) until then: no lambda, so the
+    generator's input is computed once per row.
     """
-    toks = df.select(key, word_tokens(text).alias("_t"))
-    pos = toks.select(key, "_t", F.posexplode("_t").alias("_i", "_w"))
-    nxt = F.element_at(F.col("_t"), (F.col("_i") + 2).cast("int"))
-    pair = F.when(F.col("_i") < F.size("_t") - 1, F.concat_ws(" ", F.col("_w"), nxt))
-    both = pos.select(key, F.explode(F.array(F.col("_w"), pair)).alias("term"))
-    return both.where(F.col("term").isNotNull())
+    t, n = F.col("_t"), F.size("_t")
+    none = F.array().cast("array<string>")
+    pairs = F.arrays_zip(F.slice(t, 1, F.greatest(n - 1, F.lit(0))).alias("a"),
+                         F.slice(t, 2, F.greatest(n - 1, F.lit(0))).alias("b"))
+    words = F.arrays_zip(t.alias("a"), none.alias("b"))
+    document = F.array(F.struct(F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b")))
+    kind = "array<struct<a:string,b:string>>"
+    rows = df.select(F.coalesce(word_tokens(text), none).alias("_t"))
+    sorted_ = rows.select(F.sort_array(F.concat(document.cast(kind), words.cast(kind), pairs.cast(kind))).alias("_s"))
+    runs = sorted_.select(F.inline(F.arrays_zip(F.col("_s").alias("x"), F.slice("_s", 2, F.size("_s")).alias("next"))))
+    term = F.when(F.col("x.b").isNull(), F.col("x.a")).otherwise(F.concat(F.col("x.a"), F.lit(" "), F.col("x.b")))
+    last = F.col("next").isNull() | ~F.col("next").eqNullSafe(F.col("x"))
+    return runs.select(term.alias("term"), last.cast("long").alias("_last")) \
+               .groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("_last").alias("df"))
+
+
+def top_terms(corpus: DataFrame, k: int = TFIDF_MAX_TERMS) -> DataFrame:
+    """The k terms with the highest corpus count (ties by term), with their document frequency."""
+    return corpus.where(F.col("term").isNotNull()).orderBy(F.col("n").desc(), F.col("term")).limit(k)
 
 
-def term_counts(rows: DataFrame, key: str) -> DataFrame:
-    """``(key, term, tf)`` long form from term rows."""
-    return rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+def with_idf(top: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Adds ``idf`` = ln((1 + documents) / (1 + df)) + 1; the document count is the corpus's null row."""
+    docs = corpus.where(F.col("term").isNull()).select(F.col("df").alias("_docs"))   # one row
+    return top.join(F.broadcast(docs)).withColumn("idf", F.log((F.lit(1.0) + F.col("_docs")) / (F.col("df") + 1.0)) + 1.0) \
+              .drop("_docs")
 
 
-def top_terms(tf: DataFrame, k: int = TFIDF_MAX_TERMS) -> DataFrame:
-    """The k terms with the highest corpus count (ties by term), with their document frequency."""
-    corpus = tf.groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
-    return corpus.orderBy(F.col("n").desc(), F.col("term")).limit(k)
+#: Tokens that a task looks up at a time.
+SLICE_TOKENS = 1 << 20
 
 
-def tfidf_long(rows: DataFrame, key: str, n_docs: int, vocab: DataFrame) -> DataFrame:
-    """``(key, term, weight)`` from term rows: tf * (ln((1+n)/(1+df)) + 1), L2-normalised per document.
+def tfidf_long(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
+    """``(key, term, weight)``: tf * idf, L2-normalised per document, for the terms of ``vocab`` (term, idf).
 
-    Terms outside the vocabulary are dropped by the broadcast join before any
-    row moves. Rows are dealt by document once; the counts and the norm window
-    both use that partitioning.
+    The vocabulary has at most TFIDF_MAX_TERMS rows (checked) and goes to the tasks; a
+    document is counted, weighted and normalised within its row, so nothing is shuffled.
     """
-    v = vocab.select("term", (F.log((F.lit(1.0) + n_docs) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
-    known = rows.join(F.broadcast(v), "term").repartition(key)   # the vocabulary has at most TFIDF_MAX_TERMS rows
-    raw = known.groupBy(key, "term").agg((F.count(F.lit(1)) * F.first("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", (F.col("w") / norm).alias("weight"))
+    rows = vocab.select("term", "idf").limit(TFIDF_MAX_TERMS + 1).collect()   # at most bound + 1 rows
+    if len(rows) > TFIDF_MAX_TERMS:
+        raise ValueError(f"vocabulary exceeds the bound {TFIDF_MAX_TERMS}")
+    terms = pa.array([r["term"] for r in rows], pa.string())
+    idf = np.array([r["idf"] for r in rows], np.float64)
+
+    def known(flat: pa.Array) -> np.ndarray:
+        return pc.index_in(flat, value_set=terms).fill_null(-1).to_numpy(zero_copy_only=False)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_t")
+            off = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))])
+            at = 0
+            while at < batch.num_rows:
+                to = max(int(np.searchsorted(off, off[at] + SLICE_TOKENS, "right")) - 1, at + 1)
+                flat = lists.slice(at, to - at).flatten().cast(pa.string())
+                row = np.repeat(np.arange(at, to), np.diff(off[at:to + 1]))
+                inside = np.flatnonzero(row[1:] == row[:-1])   # pairs that stay within a document
+                pairs = pc.binary_join_element_wise(flat.take(pa.array(inside)), flat.take(pa.array(inside + 1)), " ")
+                ids = np.concatenate([known(flat), known(pairs)])
+                of = np.concatenate([row, row[inside]])
+                code, tf = np.unique((of * np.int64(len(idf) + 1) + ids)[ids >= 0], return_counts=True)
+                of, ids = code // (len(idf) + 1), code % (len(idf) + 1)
+                w = tf * idf[ids]
+                norm = np.sqrt(np.bincount(of - at, w * w, to - at))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(key).take(pa.array(of)), terms.take(pa.array(ids)), pa.array(w / norm[of - at])],
+                    [key, "term", "weight"])
+                at = to
+    t = df.select(key, word_tokens(text).alias("_t"))
+    schema = StructType([df.schema[key], StructField("term", StringType()), StructField("weight", DoubleType())])
+    return t.mapInArrow(weigh, schema)
 
 
 def fit_tfidf_vectors(terms: DataFrame, col: str = "terms", out: str = "tfidf", k: int = TFIDF_MAX_TERMS):

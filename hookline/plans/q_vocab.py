@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import SEQ_LEN, TFIDF_MAX_TERMS, VOCAB_MAX, VOCAB_MIN_FREQ
 from ..functions.text import clean_tokens
-from ..operators.tfidf import term_counts, term_rows, tfidf_long, top_terms
+from ..operators.tfidf import corpus_terms, tfidf_long, top_terms, with_idf
 from ..operators.vocab import encode_sequences, lookup_counts, pad_to, text_token_freq, top_vocab, vocab_ids
 from ..session import scratch_path
 from ..sources.tables import emails, table
@@ -93,29 +93,26 @@ topt AS (SELECT * FROM corpus ORDER BY n DESC, term LIMIT {TFIDF_MAX_TERMS}),
 nd AS (SELECT count(*) AS n_docs FROM emails)"""
 
 
-def _tf(spark, sf_dir):
-    return term_counts(term_rows(emails(spark, sf_dir), "email_id", "raw_text"), "email_id")
+def _corpus(spark, sf_dir):
+    return corpus_terms(emails(spark, sf_dir), "raw_text")
 
 
 @register("agg_tf", O.with_ctes(TERMS_CTE) + "SELECT term, CAST(n AS BIGINT) AS n, CAST(df AS BIGINT) AS df FROM corpus")
 def agg_tf(spark, sf_dir):
-    tf = _tf(spark, sf_dir)
-    return tf.groupBy("term").agg(F.sum("tf").cast("bigint").alias("n"), F.count(F.lit(1)).cast("bigint").alias("df"))
+    return _corpus(spark, sf_dir).where(F.col("term").isNotNull()).select(
+        "term", F.col("n").cast("bigint").alias("n"), F.col("df").cast("bigint").alias("df"))
 
 
 @register("topk_tfidf_terms", O.with_ctes(TERMS_CTE) + "SELECT term, CAST(n AS BIGINT) AS n FROM topt")
 def topk_tfidf_terms(spark, sf_dir):
-    return top_terms(_tf(spark, sf_dir)).select("term", F.col("n").cast("bigint").alias("n"))
+    return top_terms(_corpus(spark, sf_dir)).select("term", F.col("n").cast("bigint").alias("n"))
 
 
 @register("agg_df_idf", O.with_ctes(TERMS_CTE) + """
 SELECT term, CAST(df AS BIGINT) AS df, round(ln((1.0 + n_docs) / (1.0 + df)) + 1.0, 6) AS idf FROM topt, nd""")
 def agg_df_idf(spark, sf_dir):
-    e = emails(spark, sf_dir)
-    n = e.count()
-    top = top_terms(term_counts(term_rows(e, "email_id", "raw_text"), "email_id"))
-    return top.select("term", F.col("df").cast("bigint").alias("df"),
-                      F.round(F.log((F.lit(1.0) + n) / (F.col("df") + 1.0)) + 1.0, 6).alias("idf"))
+    corpus = _corpus(spark, sf_dir)
+    return with_idf(top_terms(corpus), corpus).select("term", F.col("df").cast("bigint").alias("df"), F.round("idf", 6).alias("idf"))
 
 
 @register("ml_surface_tfidf", O.with_ctes(TERMS_CTE) + """,
@@ -124,8 +121,8 @@ nrm AS (SELECT email_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY email_id)
 SELECT w.email_id, w.term, round(w.w / nrm.norm, 6) AS weight FROM w JOIN nrm ON w.email_id = nrm.email_id""")
 def ml_surface_tfidf(spark, sf_dir):
     e = emails(spark, sf_dir)
-    rows = term_rows(e, "email_id", "raw_text")
+    corpus = corpus_terms(e, "raw_text")
     path = scratch_path(spark, "tfidf-terms")
-    top_terms(term_counts(rows, "email_id")).write.parquet(path)   # at most 8,000 rows
-    out = tfidf_long(rows, "email_id", e.count(), spark.read.parquet(path))
+    with_idf(top_terms(corpus), corpus).write.parquet(path)   # at most 8,000 rows
+    out = tfidf_long(e, "email_id", "raw_text", spark.read.parquet(path))
     return out.select("email_id", "term", F.round("weight", 6).alias("weight"))
