@@ -33,7 +33,7 @@ from ..session import drop_path, scratch_path
 PROB = "p"
 
 
-def _write_meta(path: str, meta: dict) -> None:
+def write_meta(path: str, meta: dict) -> None:
     from pyspark.sql import SparkSession
     spark = SparkSession.active()
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
@@ -131,7 +131,7 @@ class LinearAgent:
 
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/model")
-        _write_meta(path, {"cols": self.cols, "scale": self.scale, "C": self.C, "stats": self.stats})
+        write_meta(path, {"cols": self.cols, "scale": self.scale, "C": self.C, "stats": self.stats})
 
     @classmethod
     def load(cls, spark, path: str) -> LinearAgent:
@@ -179,7 +179,7 @@ class EmbeddingAgent:
     def save(self, path: str) -> None:
         if self.model is not None:
             self.model.write().overwrite().save(f"{path}/model")
-        _write_meta(path, {"C": self.C, "prior": self.prior, "dim": self.dim})
+        write_meta(path, {"C": self.C, "prior": self.prior, "dim": self.dim})
 
     @classmethod
     def load(cls, spark, path: str) -> EmbeddingAgent:
@@ -276,7 +276,7 @@ class TfidfAgent:
     def save(self, path: str) -> None:
         self.features.write().overwrite().save(f"{path}/features")
         self.model.write().overwrite().save(f"{path}/model")
-        _write_meta(path, {"C": self.C})
+        write_meta(path, {"C": self.C})
 
     @classmethod
     def load(cls, spark, path: str) -> TfidfAgent:

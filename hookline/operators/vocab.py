@@ -19,6 +19,24 @@ def token_freq(tokens: DataFrame, key: str, col: str = "tokens") -> DataFrame:
     return tokens.select(F.explode(col).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
 
 
+def fold_token_freq(tokens: DataFrame, outside: dict[int, Column], col: str = "tokens") -> DataFrame:
+    """``(token, freq_<t>, ...)``: word counts of every fold's fit rows from one pass.
+
+    ``outside[t]`` tells whether a row is not a fit row of fold t (its test and calibration
+    rows). Counts are additive, so a fold's are those of all rows less those of the rows
+    outside it; each token moves once, with its total and k small counts, whatever k is.
+    """
+    rows = tokens.select(F.explode(col).alias("token"), *[c.cast("int").alias(f"_o{t}") for t, c in outside.items()])
+    counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(f"_o{t}").alias(f"_o{t}") for t in outside])
+    return counts.select("token", *[(F.col("_n") - F.col(f"_o{t}")).alias(f"freq_{t}") for t in outside])
+
+
+def fold_vocab(freq: DataFrame, fold: int) -> DataFrame:
+    """The id vocabulary of one fold from ``fold_token_freq``."""
+    own = freq.select("token", F.col(f"freq_{fold}").alias("freq")).where("freq > 0")
+    return vocab_ids(top_vocab(own))
+
+
 def text_token_freq(df: DataFrame, text: str) -> DataFrame:
     """``(token, freq)`` of the cleaned tokens of a text column.
 

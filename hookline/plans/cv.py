@@ -18,10 +18,11 @@ from ..functions.constants import ALPHA, FUSION_WEIGHTS, N_FOLDS, SEED
 from ..functions.text import clean_tokens
 from ..functions.urls import FEATURES_54
 from ..operators.email_urls import agg_names, email_url_features_inrow
-from ..operators.folds import holdout_split, stratified_folds
+from ..operators.folds import calibration_flags, stratified_folds
 from ..operators.metrics import cv_pooled, cv_summary
-from ..operators.models import EmbeddingAgent, LinearAgent, SequenceAgent
-from ..operators.vocab import attach_sequences, token_freq, top_vocab, vocab_ids
+from ..operators.models import EmbeddingAgent, SequenceAgent
+from ..operators.newton import NewtonAgent, fit_folds
+from ..operators.vocab import attach_sequences, fold_token_freq, fold_vocab
 from ..session import scratch_path
 from ..sources.tables import emails, table, urls
 from .evaluate import decide, fold_metrics, fuse, thresholds
@@ -41,27 +42,25 @@ def feature_tables(spark: SparkSession, sf_dir: str, k: int = N_FOLDS, seed: int
 
     Features are materialised before folds are ranked: the rank's bucket-count
     and size-check passes then read two pruned parquet columns instead of
-    re-running URL extraction and the 108 aggregates. The calibration flag of
-    every training fold goes onto the row as well, so a fold is a filter, not a
-    join of the widest table.
+    re-running URL extraction and the 108 aggregates. Calibration flags are
+    comparisons with k cut values, so a fold is a filter on the row.
     """
     lex = featurise(emails(spark, sf_dir), ("email_id", "y"))
     emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("email_id"), "embedding")
     u = urls(spark, sf_dir).select("url_id", "y", F.col("url").alias("raw_text"))
     ulex = email_url_features_inrow(u, FEATURES_54, keep=("url_id", "y"))
-    paths = {n: scratch_path(spark, f"cv-{n}") for n in ("emails0", "urls0", "folded", "emails", "urls")}
-    lex.join(emb, "email_id", "left").write.mode("overwrite").parquet(paths["emails0"])
-    ulex.write.mode("overwrite").parquet(paths["urls0"])
-    stratified_folds(spark.read.parquet(paths["emails0"]), "email_id", "y", k, seed) \
-        .write.mode("overwrite").parquet(paths["folded"])
-    stratified_folds(spark.read.parquet(paths["urls0"]), "url_id", "y", k, seed) \
-        .write.mode("overwrite").parquet(paths["urls"])
-    folded = spark.read.parquet(paths["folded"])
-    hold = holdout_split(folded.select("email_id", "fold"), "email_id", k, seed=seed)
-    flags = hold.groupBy("email_id").agg(*[F.max(F.when(F.col("train_fold") == f, F.col("is_cal"))).alias(cal_flag(f))
-                                           for f in range(1, k + 1)])
-    folded.join(flags, "email_id").write.mode("overwrite").parquet(paths["emails"])
-    return {"emails": spark.read.parquet(paths["emails"]), "urls": spark.read.parquet(paths["urls"])}
+    paths = {n: scratch_path(spark, f"cv-{n}") for n in ("emails0", "urls0", "emails", "urls")}
+
+    def folded(rows: DataFrame, key: str, name: str) -> DataFrame:
+        rows.write.mode("overwrite").parquet(paths[f"{name}0"])
+        stratified_folds(spark.read.parquet(paths[f"{name}0"]), key, "y", k, seed).write.mode("overwrite").parquet(paths[name])
+        return spark.read.parquet(paths[name])
+    with ThreadPoolExecutor(2) as pool:
+        both = pool.submit(folded, lex.join(emb, "email_id", "left"), "email_id", "emails"), \
+            pool.submit(folded, ulex, "url_id", "urls")
+        e, u = (f.result() for f in both)
+    flags = calibration_flags(e.select("email_id", "fold"), "email_id", k, seed=seed)
+    return {"emails": e.withColumns({cal_flag(t): c for t, c in flags.items()}), "urls": u}
 
 
 def cal_flag(fold: int) -> str:
@@ -69,21 +68,39 @@ def cal_flag(fold: int) -> str:
     return f"cal_{fold}"
 
 
-def fit_fold(t: dict[str, DataFrame], fold: int) -> dict:
-    """Fit the three agents for one fold: lexical on the URL table, the others on the fit rows."""
+def fold_vocabularies(t: dict[str, DataFrame], folds: list[int]) -> dict[int, DataFrame]:
+    """Every fold's id vocabulary from one count of all tokens."""
+    ef, spark = t["emails"], t["emails"].sparkSession
+    outside = {f: F.coalesce(F.col(cal_flag(f)), F.lit(True)) for f in folds}   # null on the fold's test rows
+    path = scratch_path(spark, "cv-vocab")
+    fold_token_freq(ef, outside).write.parquet(f"{path}/freq")
+    freq = spark.read.parquet(f"{path}/freq")
+    for f in folds:
+        fold_vocab(freq, f).write.parquet(f"{path}/fold={f}")
+    return {f: spark.read.parquet(f"{path}/fold={f}") for f in folds}
+
+
+def fit_agents(t: dict[str, DataFrame], folds: list[int]) -> dict[int, dict]:
+    """The three agents of every fold: lexical on the URL table, the others on the fit rows.
+
+    Vocabularies and lexical models of all folds come from common passes; the other
+    fits know nothing of each other, so their iterations run side by side.
+    """
     ef = t["emails"]
-    fit_rows = ef.where(~F.col(cal_flag(fold)))
-    vocab = vocab_ids(top_vocab(token_freq(fit_rows, "email_id")))   # tokens already materialised in parquet
-    vocab_path = scratch_path(ef.sparkSession, f"vocab-f{fold}")
-    vocab.write.mode("overwrite").parquet(vocab_path)
-    vocab = ef.sparkSession.read.parquet(vocab_path)
-    fits = {"lexical": lambda: LinearAgent(LEX_COLS).fit(t["urls"].where(F.col("fold") != fold)),
-            "semantic": lambda: EmbeddingAgent().fit(fit_rows),
-            "textual": lambda: SequenceAgent().fit(attach_sequences(fit_rows, vocab))}
-    # the agents know nothing of each other; their iterations run side by side
-    with ThreadPoolExecutor(len(fits)) as pool:
-        running = {name: pool.submit(fit) for name, fit in fits.items()}
-        return {"fold": fold, "vocab": vocab, **{name: r.result() for name, r in running.items()}}
+
+    def semantic(f: int) -> EmbeddingAgent:
+        return EmbeddingAgent().fit(ef.where(~F.col(cal_flag(f))))
+
+    def textual(f: int, vocab: DataFrame) -> SequenceAgent:
+        return SequenceAgent().fit(attach_sequences(ef.where(~F.col(cal_flag(f))), vocab))
+    with ThreadPoolExecutor(2 * len(folds) + 2) as pool:
+        lexical = pool.submit(fit_folds, t["urls"], LEX_COLS, "fold", folds)
+        sem = {f: pool.submit(semantic, f) for f in folds}
+        vocab = fold_vocabularies(t, folds)
+        txt = {f: pool.submit(textual, f, vocab[f]) for f in folds}
+        lex = lexical.result()
+        return {f: {"fold": f, "vocab": vocab[f], "lexical": lex[f], "semantic": sem[f].result(), "textual": txt[f].result()}
+                for f in folds}
 
 
 def score_agents(df: DataFrame, m: dict, weights=FUSION_WEIGHTS) -> DataFrame:
@@ -94,9 +111,10 @@ def score_agents(df: DataFrame, m: dict, weights=FUSION_WEIGHTS) -> DataFrame:
     return fuse(s, weights)
 
 
-def run_fold(t: dict[str, DataFrame], fold: int, alpha: float = ALPHA, weights=FUSION_WEIGHTS,
+def run_fold(t: dict[str, DataFrame], m: dict, alpha: float = ALPHA, weights=FUSION_WEIGHTS,
              save_dir: str | None = None) -> dict[str, DataFrame]:
-    m = fit_fold(t, fold)
+    """Calibrate, decide and evaluate one fold with its fitted agents; save them if asked."""
+    fold = m["fold"]
     ef = t["emails"]
     cal_rows = ef.where(F.col(cal_flag(fold)))
     test_rows = ef.where(F.col("fold") == fold)
@@ -126,15 +144,16 @@ def train_and_save(spark: SparkSession, sf_dir: str, fold: int) -> tuple[dict, s
     """One fold trained and saved under a fresh folder: (its run, the folder, the feature tables)."""
     save = scratch_path(spark, "cv-models")
     t = feature_tables(spark, sf_dir)
-    return run_fold(t, fold, save_dir=save), save, t
+    return run_fold(t, fit_agents(t, [fold])[fold], save_dir=save), save, t
 
 
 def cross_validate(spark: SparkSession, sf_dir: str, k: int = N_FOLDS, seed: int = SEED,
                    alpha: float = ALPHA, weights=FUSION_WEIGHTS, save_dir: str | None = None) -> dict[str, DataFrame]:
     t = feature_tables(spark, sf_dir, k, seed)
-    # folds are independent groups of jobs; their small iterative jobs fill each other's gaps
+    models = fit_agents(t, list(range(1, k + 1)))
+    # folds are independent groups of jobs; their small jobs fill each other's gaps
     with ThreadPoolExecutor(k) as pool:
-        runs = list(pool.map(lambda f: run_fold(t, f, alpha, weights, save_dir), range(1, k + 1)))
+        runs = list(pool.map(lambda m: run_fold(t, m, alpha, weights, save_dir), models.values()))
     fm = reduce(DataFrame.unionByName, [r["fold_metrics"] for r in runs])
     th = reduce(DataFrame.unionByName, [r["thresholds"] for r in runs])
     dec = reduce(DataFrame.unionByName, [r["decided"] for r in runs])
@@ -146,6 +165,6 @@ def load_fold(spark: SparkSession, save_dir: str, fold: int = 1) -> dict:
     base = f"{save_dir}/fold={fold}"
     return {"semantic": EmbeddingAgent.load(spark, f"{base}/semantic"),
             "textual": SequenceAgent.load(spark, f"{base}/textual"),
-            "lexical": LinearAgent.load(spark, f"{base}/lexical"),
+            "lexical": NewtonAgent.load(spark, f"{base}/lexical"),
             "vocab": spark.read.parquet(f"{base}/vocab"),
             "thresholds": spark.read.parquet(f"{base}/thresholds")}

@@ -13,6 +13,7 @@ from ..functions.text import clean_tokens, with_bigrams, word_tokens
 from ..functions.urls import FEATURES_5_V0, FEATURES_54
 from ..operators.email_urls import agg_names, email_url_features_inrow
 from ..operators.models import EmbeddingAgent, LinearAgent, SequenceAgent, StackedAgent, TfidfAgent, scaler_table
+from ..operators.newton import NewtonAgent
 from ..operators.policy import policy_v0
 from ..operators.tfidf import doc_terms
 from ..operators.vocab import token_freq, top_vocab, vocab_ids, attach_sequences
@@ -51,13 +52,13 @@ def agg_scaler_fit(spark, sf_dir):
 
 @register("ml_lexical_score")
 def ml_lexical_score(spark, sf_dir):
-    agent = LinearAgent(LEX).fit(url_training_table(spark, sf_dir))
+    agent = NewtonAgent(LEX).fit(url_training_table(spark, sf_dir))
     return agent.score(email_url_features_inrow(mail(spark, sf_dir)), "p_lexical").select("email_id", "y", "p_lexical")
 
 
 @register("ml_lexical_score_v0")
 def ml_lexical_score_v0(spark, sf_dir):
-    agent = LinearAgent(LEX_V0, scale=False).fit(url_training_table(spark, sf_dir, FEATURES_5_V0))
+    agent = NewtonAgent(LEX_V0, scale=False).fit(url_training_table(spark, sf_dir, FEATURES_5_V0))
     feats = email_url_features_inrow(mail(spark, sf_dir), FEATURES_5_V0)
     return agent.score(feats, "p_lexical").select("email_id", "y", "p_lexical")
 
@@ -66,7 +67,7 @@ def ml_lexical_score_v0(spark, sf_dir):
 def ml_lexical_feature_table(spark, sf_dir):
     ft = C.load_feature_table(spark, X.write_feature_table(spark, sf_dir))
     cols = [c for c in ft.columns if c != "y"]
-    agent = LinearAgent(cols).fit(ft)
+    agent = NewtonAgent(cols).fit(ft)
     return agent.score(ft, "p_lexical")
 
 

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from hookline.functions.constants import CAL_SHARE
@@ -149,3 +151,20 @@ def test_cross_validation_counts_decisions_and_reload(spark, tmp_path):
     want = {x["email_id"]: x["p_fused"] for x in dec if x["fold"] == 2}
     again = score_agents(ef.where("fold = 2"), load_fold(spark, str(tmp_path / "cv"), 2))
     assert {x.email_id: x.p_fused for x in again.collect()} == want
+
+
+def test_fold_run_query(spark):
+    """One row a fold whose counts cover the fold's test rows and whose rates follow from them."""
+    import __spark_entry__ as entry
+    from conftest import SF001
+    from hookline.operators.folds import stratified_folds
+    from hookline.sources.tables import emails
+    sizes = {(r["fold"], r["y"]): r["count"] for r in stratified_folds(emails(spark, SF001)).groupBy("fold", "y").count().collect()}
+    got = {r["fold"]: r for r in entry.queries()["ml_fold_run"](spark, SF001).collect()}
+    assert sorted(got) == [1, 2, 3, 4]
+    for f, r in got.items():
+        assert r["TP"] + r["FN"] == sizes[f, 1] and r["FP"] + r["TN"] == sizes[f, 0]
+        n, flagged = sizes[f, 0] + sizes[f, 1], r["TP"] + r["FP"]
+        assert r["accuracy"] == pytest.approx((r["TP"] + r["TN"]) / n, abs=1e-4)
+        assert r["precision"] == pytest.approx(r["TP"] / flagged if flagged else 0, abs=1e-4)
+        assert r["recall"] == pytest.approx(r["TP"] / sizes[f, 1], abs=1e-4) and 0 <= r["auc"] <= 1
