@@ -193,15 +193,19 @@ class EmbeddingAgent:
 
 @dataclass
 class SequenceAgent:
-    """Word2Vec over the first 256 vocabulary ids (mean of word vectors) -> MLP(128, 128, 2).
+    """Word2Vec over the words and word pairs of the first 256 vocabulary ids (mean of their
+    vectors) -> MLP(128, 128, 2).
 
     Input column ``ids``: the fixed-length id sequence (0 = padding, 1 = unknown).
-    Ids are turned into word strings so Word2Vec's own vocabulary is bounded by
-    the id vocabulary (at most 30,002 words), whatever the corpus size.
+    Ids are turned into word strings, and adjacent ids into one of ``pair_buckets``
+    strings by a hash of the ordered pair, so the vocabulary is bounded (at
+    most 30,002 words and the buckets) whatever the corpus size, and texts of the same words
+    in another order have other vectors.
 
+    The fit sees at most about ``max_rows`` rows, chosen by a hash of the row; scoring covers all.
     Word2Vec averages one model per training partition, so ``partitions`` is
     part of the model: a fixed argument, never derived from rows or cores.
-    Training rows are dealt to that many partitions by a hash of the row and
+    The chosen rows are dealt to that many partitions by the hash and
     sorted, so the fit does not depend on how the input was partitioned. The
     network trains to ``tol`` or for ``max_iter`` L-BFGS iterations.
     """
@@ -212,22 +216,31 @@ class SequenceAgent:
     tol: float = 1e-6
     seed: int = SEED
     partitions: int = 4
+    pair_buckets: int = 1 << 15
+    max_rows: int = 200_000
     model: PipelineModel | None = None
 
-    @staticmethod
-    def _words(df: DataFrame) -> DataFrame:
-        words = F.transform(F.filter(F.slice("ids", 1, SEQ_LEN), lambda i: i != 0), lambda i: F.concat(F.lit("w"), i.cast("string")))
-        return df.withColumn("_words", words)
+    def _words(self, df: DataFrame) -> DataFrame:
+        ids = F.filter(F.slice("ids", 1, SEQ_LEN), lambda i: i != 0)
+        n = F.greatest(F.size("_ids") - 1, F.lit(0))
+        pairs = F.zip_with(F.slice("_ids", 1, n), F.slice("_ids", 2, n), lambda a, b: F.concat(
+            F.lit("p"), F.pmod(F.xxhash64(a, b), F.lit(self.pair_buckets)).cast("string")))
+        return df.withColumn("_ids", ids).withColumn("_words", F.concat(
+            F.transform("_ids", lambda i: F.concat(F.lit("w"), i.cast("string"))), pairs)).drop("_ids")
 
     def fit(self, df: DataFrame, label: str = "y") -> SequenceAgent:
         train = self._words(df).select("_words", F.col(label).cast("double").alias("label"))
         w2v = Word2Vec(vectorSize=self.dim, minCount=self.min_count, inputCol="_words", outputCol="features",
-                       seed=self.seed, maxSentenceLength=SEQ_LEN, numPartitions=self.partitions)
+                       seed=self.seed, maxSentenceLength=2 * SEQ_LEN, numPartitions=self.partitions)
         mlp = MultilayerPerceptronClassifier(layers=[self.dim, self.hidden, 2], maxIter=self.max_iter,
                                              tol=self.tol, seed=self.seed, featuresCol="features", labelCol="label")
         with training_rows(train) as train:
-            dealt = train.withColumn("_h", F.xxhash64("_words", "label")).repartition(self.partitions, "_h") \
-                         .sortWithinPartitions("_h").drop("_h").persist(StorageLevel.MEMORY_AND_DISK)
+            share = self.max_rows / max(train.count(), 1)
+            chosen = train.withColumn("_h", F.xxhash64("_words", "label"))
+            if share < 1:
+                chosen = chosen.where(F.pmod(F.xxhash64("_h", F.lit(self.seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
+            dealt = chosen.repartition(self.partitions, "_h") \
+                          .sortWithinPartitions("_h").drop("_h").persist(StorageLevel.MEMORY_AND_DISK)
             try:
                 self.model = Pipeline(stages=[w2v, mlp]).fit(dealt)
             finally:
@@ -240,10 +253,11 @@ class SequenceAgent:
 
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/model")
+        write_meta(path, {"pair_buckets": self.pair_buckets})
 
     @classmethod
     def load(cls, spark, path: str) -> SequenceAgent:
-        a = cls()
+        a = cls(**json.loads(spark.read.text(f"{path}/meta").first()[0]))
         a.model = PipelineModel.load(f"{path}/model")
         return a
 

@@ -168,3 +168,27 @@ def test_fold_run_query(spark):
         assert r["accuracy"] == pytest.approx((r["TP"] + r["TN"]) / n, abs=1e-4)
         assert r["precision"] == pytest.approx(r["TP"] / flagged if flagged else 0, abs=1e-4)
         assert r["recall"] == pytest.approx(r["TP"] / sizes[f, 1], abs=1e-4) and 0 <= r["auc"] <= 1
+
+
+def test_classes_that_differ_in_word_order_alone_are_learned(spark):
+    import random
+    rng = random.Random(9)
+
+    def mail(i):
+        ids = []
+        for _ in range(12):
+            a = rng.randrange(2, 22, 2)
+            ids += [a, a + 1] if i % 2 else [a + 1, a]
+        return i, i % 2, ids
+    rows = [mail(i) for i in range(400)]
+    d = spark.createDataFrame(rows, "email_id long, y int, ids array<int>")
+    agent = SequenceAgent(dim=32, hidden=16).fit(d.where("email_id < 300"))
+    got = agent.score(d.where("email_id >= 300"), "p").collect()
+    assert sum((r.p >= 0.5) == (r.y == 1) for r in got) >= 0.9 * len(got)
+
+
+def test_sequence_agent_fits_on_a_bounded_choice_of_rows(spark):
+    d = _ids(spark, 300)
+    a, b = (SequenceAgent(dim=8, hidden=4, partitions=2, max_rows=60).fit(d.repartition(n)) for n in (1, 3))
+    sa, sb = ({r.email_id: r.p for r in m.score(d, "p").collect()} for m in (a, b))
+    assert len(sa) == 300 and max(abs(sa[i] - sb[i]) for i in sa) < 0.05   # ties of words in the vocabulary have no fixed order
