@@ -228,6 +228,13 @@ class SequenceAgent:
         return df.withColumn("_ids", ids).withColumn("_words", F.concat(
             F.transform("_ids", lambda i: F.concat(F.lit("w"), i.cast("string"))), pairs)).drop("_ids")
 
+    def _chosen(self, train: DataFrame) -> DataFrame:
+        """About ``max_rows`` rows (all if fewer) by a hash of the row, which is kept as ``_h``."""
+        share = self.max_rows / max(train.count(), 1)
+        rows = train.withColumn("_h", F.xxhash64("_words", "label"))
+        return rows if share >= 1 else rows.where(
+            F.pmod(F.xxhash64("_h", F.lit(self.seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
+
     def fit(self, df: DataFrame, label: str = "y") -> SequenceAgent:
         train = self._words(df).select("_words", F.col(label).cast("double").alias("label"))
         w2v = Word2Vec(vectorSize=self.dim, minCount=self.min_count, inputCol="_words", outputCol="features",
@@ -235,12 +242,8 @@ class SequenceAgent:
         mlp = MultilayerPerceptronClassifier(layers=[self.dim, self.hidden, 2], maxIter=self.max_iter,
                                              tol=self.tol, seed=self.seed, featuresCol="features", labelCol="label")
         with training_rows(train) as train:
-            share = self.max_rows / max(train.count(), 1)
-            chosen = train.withColumn("_h", F.xxhash64("_words", "label"))
-            if share < 1:
-                chosen = chosen.where(F.pmod(F.xxhash64("_h", F.lit(self.seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
-            dealt = chosen.repartition(self.partitions, "_h") \
-                          .sortWithinPartitions("_h").drop("_h").persist(StorageLevel.MEMORY_AND_DISK)
+            dealt = self._chosen(train).repartition(self.partitions, "_h") \
+                        .sortWithinPartitions("_h").drop("_h").persist(StorageLevel.MEMORY_AND_DISK)
             try:
                 self.model = Pipeline(stages=[w2v, mlp]).fit(dealt)
             finally:
