@@ -22,8 +22,10 @@ from ..operators.folds import calibration_flags, stratified_folds
 from ..operators.metrics import cv_pooled, cv_summary
 from ..operators.models import EmbeddingAgent, SequenceAgent
 from ..operators.newton import NewtonAgent, fit_folds
+from ..operators.policy import enforcement, policy_tiers
 from ..operators.vocab import attach_sequences, fold_token_freq, fold_vocab
 from ..session import scratch_path
+from ..sources.published import current, publish
 from ..sources.tables import emails, table, urls
 from .evaluate import decide, fold_metrics, fuse, thresholds
 
@@ -141,10 +143,13 @@ def run_fold(t: dict[str, DataFrame], m: dict, alpha: float = ALPHA, weights=FUS
 
 
 def train_and_save(spark: SparkSession, sf_dir: str, fold: int) -> tuple[dict, str, dict[str, DataFrame]]:
-    """One fold trained and saved under a fresh folder: (its run, the folder, the feature tables)."""
-    save = scratch_path(spark, "cv-models")
+    """One fold trained and published in a fresh model folder: (its run, the folder, the feature tables)."""
+    root = scratch_path(spark, "cv-models")
     t = feature_tables(spark, sf_dir)
-    return run_fold(t, fit_agents(t, [fold])[fold], save_dir=save), save, t
+    agents = fit_agents(t, [fold])[fold]
+    run: dict = {}
+    publish(spark, root, lambda folder: run.update(run_fold(t, agents, save_dir=folder)))
+    return run, root, t
 
 
 def cross_validate(spark: SparkSession, sf_dir: str, k: int = N_FOLDS, seed: int = SEED,
@@ -152,8 +157,14 @@ def cross_validate(spark: SparkSession, sf_dir: str, k: int = N_FOLDS, seed: int
     t = feature_tables(spark, sf_dir, k, seed)
     models = fit_agents(t, list(range(1, k + 1)))
     # folds are independent groups of jobs; their small jobs fill each other's gaps
-    with ThreadPoolExecutor(k) as pool:
-        runs = list(pool.map(lambda m: run_fold(t, m, alpha, weights, save_dir), models.values()))
+    def run(folder: str | None) -> list[dict[str, DataFrame]]:
+        with ThreadPoolExecutor(k) as pool:
+            return list(pool.map(lambda m: run_fold(t, m, alpha, weights, folder), models.values()))
+    runs: list[dict[str, DataFrame]] = []
+    if save_dir:   # all folds are published together
+        publish(spark, save_dir, lambda folder: runs.extend(run(folder)))
+    else:
+        runs = run(None)
     fm = reduce(DataFrame.unionByName, [r["fold_metrics"] for r in runs])
     th = reduce(DataFrame.unionByName, [r["thresholds"] for r in runs])
     dec = reduce(DataFrame.unionByName, [r["decided"] for r in runs])
@@ -161,10 +172,46 @@ def cross_validate(spark: SparkSession, sf_dir: str, k: int = N_FOLDS, seed: int
             "decided": dec, "tables": t}
 
 
-def load_fold(spark: SparkSession, save_dir: str, fold: int = 1) -> dict:
-    base = f"{save_dir}/fold={fold}"
-    return {"semantic": EmbeddingAgent.load(spark, f"{base}/semantic"),
+def load_fold(spark: SparkSession, root: str, fold: int = 1) -> dict:
+    """Agents, vocabulary and thresholds of the version that the model folder points to now."""
+    version = current(spark, root)
+    if version is None:
+        raise FileNotFoundError(f"no models are published in {root}")
+    base = f"{version}/fold={fold}"
+    return {"version": version,
+            "semantic": EmbeddingAgent.load(spark, f"{base}/semantic"),
             "textual": SequenceAgent.load(spark, f"{base}/textual"),
             "lexical": NewtonAgent.load(spark, f"{base}/lexical"),
             "vocab": spark.read.parquet(f"{base}/vocab"),
             "thresholds": spark.read.parquet(f"{base}/thresholds")}
+
+
+class PublishedScorer:
+    """Decisions on raw mail by the agents and thresholds of a model folder; nothing is trained.
+
+    Mail has ``email_id``, ``raw_text`` and optionally ``embedding`` and columns to
+    keep. Each call follows the folder's pointer: agents are read again when the version has
+    changed, so a stream that calls this per micro-batch takes up a new publication with its
+    next batch.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, fold: int = 1, keep: tuple[str, ...] = ("email_id",)):
+        self.spark, self.root, self.fold, self.keep = spark, root, fold, keep
+        self.models: dict | None = None
+
+    def _current(self) -> dict:
+        if self.models is None or self.models["version"] != current(self.spark, self.root):
+            self.models = load_fold(self.spark, self.root, self.fold)
+            self.models["tau"] = self.models["thresholds"].select("tau_cal", "tau_block").first()
+        return self.models
+
+    def __call__(self, mail: DataFrame) -> DataFrame:
+        m = self._current()
+        cal, block = (F.lit(m["tau"][c]) for c in ("tau_cal", "tau_block"))
+        if "embedding" not in mail.columns:
+            mail = mail.withColumn("embedding", F.lit(None).cast("array<float>"))
+        s = score_agents(featurise(mail, (*self.keep, "embedding")), m)
+        scores = [F.round(c, 6).alias(c) for c in ("p_fused", "p_semantic", "p_textual", "p_lexical")]
+        return s.select(*self.keep, *scores, F.round(cal, 6).alias("tau_cal"), F.round(block, 6).alias("tau_block"),
+                        policy_tiers(F.col("p_fused"), cal, block).alias("action")) \
+                .withColumn("sdn_action", enforcement(F.col("action")))

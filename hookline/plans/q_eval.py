@@ -11,6 +11,7 @@ from ..operators.policy import late_fusion
 from ..operators.rank import prefix_sums
 from ..operators.roc import auc, calibrate, roc_points, with_origin
 from ..session import scratch_path
+from ..sources.published import current, publish
 from ..sources.tables import agent_score, scored, table, urls
 from . import oracle_sql as O
 from .evaluate import decide, decision_record, evaluate_scored, fuse, split_scored, thresholds
@@ -318,9 +319,10 @@ def sink_fold_metrics(spark, sf_dir):
 
 @register("sink_thresholds", EVAL + "SELECT fold, tau_cal, tau_block FROM th")
 def sink_thresholds(spark, sf_dir):
-    path = scratch_path(spark, "thresholds")
-    _eval(spark, sf_dir)["thresholds"].select("fold", "tau_cal", "tau_block").write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    root = scratch_path(spark, "thresholds")
+    th = _eval(spark, sf_dir)["thresholds"].select("fold", "tau_cal", "tau_block")
+    publish(spark, root, lambda folder: th.write.parquet(f"{folder}/thresholds"))
+    return spark.read.parquet(f"{current(spark, root)}/thresholds")
 
 
 @register("sink_decisions", EVAL + RECORD.format(n=6))

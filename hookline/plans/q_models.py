@@ -22,7 +22,7 @@ from ..sources import csv as C
 from ..sources import fixtures as X
 from ..sources.tables import emails, mail, table, urls
 from . import oracle_sql as O
-from .cv import cross_validate, load_fold, score_agents, train_and_save
+from .cv import PublishedScorer, cross_validate, load_fold, score_agents, train_and_save
 from .evaluate import fuse
 from .q_eval import FOLDS_CTE, FUSED
 from .q_urls import KIND54, _email_agg_sql
@@ -170,13 +170,9 @@ def sink_models(spark, sf_dir):
 
 @register("src_reload_score")
 def src_reload_score(spark, sf_dir):
-    """Reload fold 1's agents and thresholds from storage and score every labelled email."""
-    _, save, tables = train_and_save(spark, sf_dir, 1)
-    m = load_fold(spark, save, 1)
-    s = score_agents(tables["emails"], m)
-    th = m["thresholds"].select("tau_cal", "tau_block")
-    from ..operators.policy import enforcement, policy_tiers
-    return s.crossJoin(F.broadcast(th)).select(
-        "email_id", "y", *[F.round(c, 6).alias(c) for c in ("p_fused", *AGENT_SCORES, "tau_cal", "tau_block")],
-        policy_tiers(F.col("p_fused"), F.col("tau_cal"), F.col("tau_block")).alias("action")) \
-        .withColumn("sdn_action", enforcement(F.col("action")))
+    """Score every labelled email by what a model folder holds: agents, vocabulary and thresholds
+    are read from its published version, nothing of the training run is passed on."""
+    _, folder, _ = train_and_save(spark, sf_dir, 1)
+    vec = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("email_id"), "embedding")
+    arriving = emails(spark, sf_dir).select("email_id", "y", "raw_text").join(vec, "email_id", "left")
+    return PublishedScorer(spark, folder, keep=("email_id", "y"))(arriving)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.email_urls import email_url_features_inrow
-from ..operators.policy import enforcement, policy_tiers
 from ..sources.tables import emails, table
 from ..streaming.route import run_to_completion
 from .flagship import PRIOR_FEATURES, flagship_sql, prior_decision
@@ -27,20 +26,12 @@ def stream_score_route(spark, sf_dir):
 @register("stream_score_route_fitted")
 def stream_score_route_fitted(spark, sf_dir):
     """Raw mail arrives as files and is cleaned, featurised, encoded and scored in-stream, row by
-    row, by fold 1's saved agents and thresholds."""
-    from .cv import featurise, load_fold, score_agents, train_and_save
-    _, save, _ = train_and_save(spark, sf_dir, 1)
-    m = load_fold(spark, save, 1)
-    th = m["thresholds"].select("tau_cal", "tau_block").first()
+    row, by fold 1's published agents and thresholds, which every micro-batch looks up anew."""
+    from .cv import PublishedScorer, train_and_save
+    _, folder, _ = train_and_save(spark, sf_dir, 1)
     vec = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("email_id"), "embedding")
-    mail = emails(spark, sf_dir).select("email_id", "y", "raw_text").join(vec, "email_id", "left")
-
-    def fitted_route(df):
-        s = score_agents(featurise(df, ("email_id", "y", "embedding")), m)
-        scores = [F.round(c, 6).alias(c) for c in ("p_fused", "p_semantic", "p_textual", "p_lexical")]
-        s = s.select("email_id", "y", *scores, F.lit(th["tau_cal"]).alias("tau_cal"), F.lit(th["tau_block"]).alias("tau_block"),
-                     policy_tiers(F.col("p_fused"), F.lit(th["tau_cal"]), F.lit(th["tau_block"])).alias("action"))
-        return s.withColumn("sdn_action", enforcement(F.col("action"))).withColumn("decided_at", F.current_timestamp())
-    got = run_to_completion(spark, mail, fitted_route, "route-fitted")
-    return got.drop("decided_at").select("email_id", "y", "p_fused", "p_semantic", "p_textual", "p_lexical", "tau_cal",
-                                         "tau_block", "action", "sdn_action")
+    arriving = emails(spark, sf_dir).select("email_id", "y", "raw_text").join(vec, "email_id", "left")
+    scorer = PublishedScorer(spark, folder, keep=("email_id", "y"))
+    got = run_to_completion(spark, arriving, lambda df: scorer(df).withColumn("decided_at", F.current_timestamp()), "route-fitted")
+    return got.select("email_id", "y", "p_fused", "p_semantic", "p_textual", "p_lexical", "tau_cal",
+                      "tau_block", "action", "sdn_action")
