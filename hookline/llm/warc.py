@@ -39,7 +39,6 @@ from .common import join_skewed, materialise, slices, with_columns_of
 
 CHUNK = 1 << 16
 FILE_BYTES = 1 << 30
-_HEAD_LIMIT = 1 << 20
 
 _CHUNKS = pa.schema([("record", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("chunk", pa.int32()),
                      ("data", pa.binary()), ("bytes_so_far", pa.int64()), ("digest_so_far", pa.string()),
@@ -83,7 +82,8 @@ def chunk_records(pages: DataFrame) -> DataFrame:
                             piece = whole[i * CHUNK:(i + 1) * CHUNK].to_pybytes()
                             sha.update(piece)
                             to = min(n, (i + 1) * CHUNK)
-                            yield record, page, url, i, piece, to, digest(sha), to == n
+                            # a url may be long: the first chunk has it for the header, the last for its digest
+                            yield record, page, url if not i or to == n else None, i, piece, to, digest(sha), to == n
         yield from _batches(rows(), _CHUNKS)
     return d.mapInArrow(run, CHUNK_TYPE)
 
@@ -177,7 +177,9 @@ def write_archives(pages: DataFrame, min_revisit: int = 0) -> tuple[str, DataFra
     chunks = materialise(chunk_records(pages), "warc-chunks")
     folder = scratch_path(pages.sparkSession, "warc")
     run_id = str(uuid.uuid4())
-    rows = chunks.drop("digest_so_far", "bytes_so_far").join(decide(chunks, min_revisit), "record").repartition("record").sortWithinPartitions(
+    # a revisit's payload stays behind: only what is written moves
+    rows = chunks.drop("digest_so_far", "bytes_so_far").join(decide(chunks, min_revisit), "record").withColumn(
+        "data", F.when(F.col("response").isNull(), F.col("data"))).repartition("record").sortWithinPartitions(
         "record", "chunk")
     schema = pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
 
@@ -217,8 +219,6 @@ class _Source:
             if i >= 0:
                 return self.take(i + len(mark))
             at = len(self.buf)
-            if at > _HEAD_LIMIT:
-                raise ValueError("a WARC header is too long")
             if not self._more():
                 if self.buf.strip():
                     raise ValueError("a WARC file ends within a record")
