@@ -40,7 +40,7 @@ WEAK = {
                       "(?=[A-Z0-9+/]{0,39}[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_-])"
                       "|(?<![A-Za-z0-9])(?:sk|ghp|gho|glpat|xox[abp])[-_][A-Za-z0-9_-]{16,})", 0, 18),
     "endpoint": ("place", "(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://[^\\x00-\\x20\"'<>)]+"
-                          "|[a-z0-9.-]{1,200}\\.amazonaws\\.com", 0, 6),
+                          "|(?<![a-z0-9.-])[a-z0-9.-]+\\.amazonaws\\.com", 0, 6),
 }
 KINDS = [*BASE, *WEAK]
 
