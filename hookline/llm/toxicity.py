@@ -12,8 +12,8 @@ every row and the whole text.
 Training is cross-fitted: a row's lexicon features and its calibration score
 come from models that have not seen the row.
 
-Rows: a null text counts as empty and is scored. Labels that are null are
-ignored, repeated labels of an id count as toxic if any is. With no labelled
+Rows: a null text counts as empty and is scored. Of several rows of an id the smallest
+text is learned from. Labels that are null are ignored, repeated labels of an id count as toxic if any is. With no labelled
 rows, or one class only, every score is the share of toxic labels (0 if none).
 A null ``doc_id`` is never a training row. Other columns are ignored by the
 scorer and kept by ``drop_toxic``.
@@ -332,7 +332,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     sample = spark.createDataFrame(rows.astype({"toxic": "int64"}) if len(rows) else [],
                                    "doc_id long, toxic long, fold long")
     # one row an id: what is learned from stays bounded, and the documents are scanned once for it
-    train = materialise(d.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]), "toxicity-train")
+    train = materialise(d.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic", "fold").agg(
+        F.min(F.coalesce("text", F.lit(""))).alias("text")), "toxicity-train")
     share = float(rows["toxic"].mean()) if len(rows) else 0.0
     if not 0 < share < 1:
         return {"share": share}
