@@ -5,10 +5,11 @@ where its top bits are zero a chunk ends, so an insertion moves no boundary but
 those beside it, and equal texts have equal chunks wherever they lie.
 Chunks (MIN_CHUNK to MAX_CHUNK bytes, about 48 on average, never within a
 character) are counted by a 96-bit digest over all documents; a digest seen in
-several documents is repeated. Consecutive repeated chunks of a document form a
-run; runs of at least MIN_RUN bytes are reported, cut into stretches with the
-same first occurrence, each with whether it is that occurrence (which stays) or
-a copy (which goes).
+several documents is repeated. Its first occurrence is in the document with the smallest
+(doc_id, hash of the text), wherever its file lies. Consecutive repeated chunks of a document
+that are all first occurrences (which stay) or all copies (which go) form a run; runs of at
+least MIN_RUN bytes are reported, cut into stretches with the same first occurrence. So a
+short copy between first occurrences stays, whatever is copied beside it elsewhere.
 
 A repeated passage loses about a chunk at either end, as its first and last
 chunk also cover what stands beside it; passages of over 50 words hold several
@@ -18,7 +19,7 @@ Hot digests (a line that a third of all documents share) are joined by
 broadcast; there are fewer than HOT_SHARE of them.
 
 Rows: null and empty texts have no chunks and no runs. Repeated rows repeat
-each other. A null ``doc_id`` is kept. Extra columns are ignored by the search
+each other. A null ``doc_id`` is kept and comes after all others. Extra columns are ignored by the search
 and kept by ``drop_repeats``.
 """
 
@@ -87,7 +88,7 @@ def cuts_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chunks():
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int32()), ("start", pa.int64()),
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("place", pa.int32()), ("start", pa.int64()),
                         ("end", pa.int64()), ("bytes", pa.int32()), ("d1", pa.int64()), ("d2", pa.int32())])
 
     def run(batches):
@@ -107,7 +108,7 @@ def _chunks():
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("row").take(take), part.column("doc_id").take(take),
-                     pa.array((np.arange(len(ends)) - first).astype(np.int32)), pa.array(points[start] - base),
+                     part.column("text_hash").take(take), pa.array((np.arange(len(ends)) - first).astype(np.int32)), pa.array(points[start] - base),
                      pa.array(points[ends] - base), pa.array((ends - start).astype(np.int32)), pa.array(d[:, 0]),
                      pa.array(d[:, 1].astype(np.int32))], schema=schema)
     return run
@@ -118,33 +119,31 @@ def repeated_runs(docs: DataFrame, row: str | None = None, min_run: int = MIN_RU
     start and end in code points, end exclusive."""
     d = with_columns_of(docs, {"doc_id": "long", "text": "string"} | ({row: "long"} if row else {}))
     d = d.withColumnRenamed(row, "row") if row else d.withColumn("row", F.monotonically_increasing_id())
-    chunks = materialise(d.mapInArrow(_chunks(), "row long, doc_id long, place int, start long, end long, bytes int, "
-                                                 "d1 long, d2 int"), "cdc-chunks")
-    # first: the smallest (row, place); it stays
+    chunks = materialise(d.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+        _chunks(), "row long, doc_id long, text_hash long, place int, start long, end long, bytes int, d1 long, d2 int"),
+        "cdc-chunks")
+    # first: the smallest (doc_id, text hash, row); it stays
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row"))
     repeated = chunks.groupBy("d1", "d2").agg(
-        F.count("*").alias("n"), F.min("row").alias("first_row"), F.max("row").alias("last_row")).where(
-        "first_row <> last_row").select(F.col("d1"), F.col("d2").alias("e2"), "n", "first_row")
-    hit = join_skewed(chunks, repeated, "d1", "n", max(1, chunks.count()), "row", "inner").where("d2 = e2")
+        F.count("*").alias("n"), first.alias("f"), F.min("row").alias("low"), F.max("row").alias("high")).where(
+        "low <> high").select(F.col("d1"), F.col("d2").alias("e2"), "n", F.col("f.row").alias("first_row"),
+                              F.col("f.doc_id").alias("first_doc_id"))
+    hit = join_skewed(chunks.drop("text_hash"), repeated, "d1", "n", max(1, chunks.count()), "row", "inner").where("d2 = e2")
     hit = hit.withColumn("is_first", F.col("row") == F.col("first_row"))
-    order = Window.partitionBy("row").orderBy("place")
+    # a run: consecutive chunks, all first occurrences or all copies
+    order = Window.partitionBy("row", "is_first").orderBy("place")
     hit = hit.withColumn("run", F.col("place") - F.row_number().over(order))
     # a stretch: consecutive chunks of a run with the same first occurrence
-    before = Window.partitionBy("row", "run").orderBy("place")
+    before = Window.partitionBy("row", "is_first", "run").orderBy("place")
     turn = (F.lag("first_row").over(before) != F.col("first_row")).cast("int")
     hit = hit.withColumn("turn", F.coalesce(turn, F.lit(0)))
     hit = hit.withColumn("stretch", F.sum("turn").over(before.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = hit.groupBy("row", "run", "stretch").agg(
+    runs = hit.groupBy("row", "is_first", "run", "stretch").agg(
         F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"),
-        F.sum("bytes").alias("bytes"), F.count("*").alias("chunks"), F.first("first_row").alias("first_row"),
-        F.first("is_first").alias("is_first"))
-    whole = Window.partitionBy("row", "run")
+        F.sum("bytes").alias("bytes"), F.count("*").alias("chunks"), F.first("first_doc_id").alias("first_doc_id"))
+    whole = Window.partitionBy("row", "is_first", "run")
     runs = runs.withColumn("whole", F.sum("bytes").over(whole)).where(F.col("whole") >= min_run)
-    runs = materialise(runs.drop("run", "stretch", "whole"), "cdc-runs")
-    firsts = runs.groupBy("first_row").agg(F.count("*").alias("k"))
-    ids = chunks.where("place = 0").select(F.col("row").alias("first_row"), F.col("doc_id").alias("first_doc_id"))
-    firsts = ids.join(firsts, "first_row")
-    x = join_skewed(runs, firsts, "first_row", "k", max(1, runs.count()), "row")
-    return x.select("row", "doc_id", "start", "end", "bytes", "chunks", "first_doc_id", "is_first")
+    return runs.select("row", "doc_id", "start", "end", "bytes", "chunks", "first_doc_id", "is_first")
 
 
 def drop_repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:

@@ -220,6 +220,15 @@ def test_secrets_base_spans(spark, docs):
     assert secrets.op6(no_documents(spark)).count() == 0
 
 
+def test_hosts_of_any_length_are_endpoints(spark):
+    host = "a1-" * 400 + "bucket.s3.amazonaws.com"
+    d = spark.createDataFrame([(1, f"password: hunter22 at {host} end"), (2, "x" * 200_000 + " user: a.b"), (3, "a." * 200_000)],
+                              "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in secrets.op6(d).collect()}
+    at = len("password: hunter22 at ")
+    assert f"endpoint:{at}:{at + len(host)}" in spans[1] and spans[2] == spans[3] == ""
+
+
 def test_weak_parts_need_a_partner(spark):
     key = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY0z"
     assert len(key) == 40
@@ -452,9 +461,17 @@ def test_repeated_passages_are_found(spark, docs):
     got = {r.doc_id for r in runs}
     assert want and want <= got
     texts = dict(rows)
-    for r in runs:  # what is reported as a copy stands in an earlier document too
+    for r in runs:
         assert 0 <= r.start < r.end <= len(texts[r.doc_id])
-        assert len(texts[r.doc_id][r.start:r.end].encode()) == r.bytes
+        piece = texts[r.doc_id][r.start:r.end].encode()
+        assert len(piece) == r.bytes
+        # every chunk of what is reported stands in the first document, which comes before a copy
+        whole, at = texts[r.doc_id].encode(), len(texts[r.doc_id][:r.start].encode())
+        ends, _ = substring.cuts_of(np.frombuffer(whole, np.uint8), np.array([0, len(whole)]))
+        ends = [e for e in ends.tolist() if at < e <= at + r.bytes]
+        assert len(ends) == r.chunks and ends[-1] == at + r.bytes
+        assert all(whole[a:b] in texts[r.first_doc_id].encode() for a, b in zip([at, *ends], ends))
+        assert r.first_doc_id == r.doc_id if r.is_first else r.first_doc_id < r.doc_id
 
 
 def test_chunks_resist_insertions_and_cover_texts():
@@ -514,6 +531,25 @@ def test_a_first_occurrence_beside_a_copy_stays(spark):
     assert len(x) + len(y) <= len(texts[2]) < len(x) + len(y) + 2 * substring.MAX_CHUNK
 
 
+def test_a_short_copy_between_first_occurrences_stays(spark):
+    """Row 2 holds a short phrase of row 1 between texts of its own, row 3 copies row 2: of row 2 nothing goes."""
+    rng = random.Random(11)
+    rows = []
+    for g in range(40):
+        phrase = prose(rng, 40)[:85]
+        middle = f"{prose(rng, 60)} {phrase} {prose(rng, 60)}"
+        rows += [(3 * g, f"{prose(rng, 5)} {phrase} {prose(rng, 5)}"), (3 * g + 1, middle), (3 * g + 2, middle)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = substring.op5(d).collect()
+    assert not [r for r in runs if r.doc_id % 3 == 1 and not r.is_first]
+    left = {r.doc_id: r.text for r in substring.drop_repeats(d).collect()}
+    assert all(left[i] == t for i, t in rows if i % 3 < 2)
+    assert all(left[i] == "" for i, _ in rows if i % 3 == 2)
+    # another layout of the files, the same result
+    again = substring.op5(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(7)).collect()
+    assert collections.Counter(again) == collections.Counter(runs)
+
+
 # --- 7: neighbours -----------------------------------------------------------------
 
 def brute_neighbours(rows, q, top=10):
@@ -620,6 +656,17 @@ def test_warc_round_trip(spark):
         for r in [type("R", (), {"record_type": r.record_type, "payload_bytes": r.bytes_so_far})])
 
 
+def test_warc_of_long_urls(spark):
+    """Urls of megabytes, over payloads of one chunk and of many; a revisit leaves its payload behind."""
+    url, big = "https://a.example/" + "é" * 700_000, "<p>" + "x" * 300_000
+    rows = [(1, url, "<p>short"), (2, url + "2", big), (3, "https://b.example", big), (4, None, "")]
+    got = {r.page_id: r for r in warc.op1(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: (r.record_type, r.refers_to, r.payload_bytes) for i, r in got.items()} == {
+        1: ("response", None, 8), 2: ("revisit", 3, len(big)), 3: ("response", None, len(big)), 4: ("response", None, 0)}
+    assert all(r.payload_digest == base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+               for (i, _, h) in rows for r in [got[i]])
+
+
 def test_warc_table_and_empty(spark):
     pages = table(spark, SF001, "pages")
     want = {(r.page_id, len((r.html or "").encode()), base64.b32encode(hashlib.sha1((r.html or "").encode()).digest()).decode())
