@@ -20,6 +20,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..functions.constants import TFIDF_MAX_TERMS
 from ..functions.text import with_bigrams, word_tokens
+from .heavy import token_pieces, with_pairs
 
 
 def doc_terms(df: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
@@ -66,10 +67,6 @@ def with_idf(top: DataFrame, corpus: DataFrame) -> DataFrame:
               .drop("_docs")
 
 
-#: Tokens that a task looks up at a time.
-SLICE_TOKENS = 1 << 20
-
-
 def tfidf_long(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
     """``(key, term, weight)``: tf * idf, L2-normalised per document, for the terms of ``vocab`` (term, idf).
 
@@ -82,22 +79,11 @@ def tfidf_long(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFram
     terms = pa.array([r["term"] for r in rows], pa.string())
     idf = np.array([r["idf"] for r in rows], np.float64)
 
-    def known(flat: pa.Array) -> np.ndarray:
-        return pc.index_in(flat, value_set=terms).fill_null(-1).to_numpy(zero_copy_only=False)
-
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("_t")
-            off = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))])
-            at = 0
-            while at < batch.num_rows:
-                to = max(int(np.searchsorted(off, off[at] + SLICE_TOKENS, "right")) - 1, at + 1)
-                flat = lists.slice(at, to - at).flatten().cast(pa.string())
-                row = np.repeat(np.arange(at, to), np.diff(off[at:to + 1]))
-                inside = np.flatnonzero(row[1:] == row[:-1])   # pairs that stay within a document
-                pairs = pc.binary_join_element_wise(flat.take(pa.array(inside)), flat.take(pa.array(inside + 1)), " ")
-                ids = np.concatenate([known(flat), known(pairs)])
-                of = np.concatenate([row, row[inside]])
+            for at, to, flat, row in token_pieces(batch, "_t"):
+                flat, of = with_pairs(flat, row)
+                ids = pc.index_in(flat, value_set=terms).fill_null(-1).to_numpy(zero_copy_only=False)
                 code, tf = np.unique((of * np.int64(len(idf) + 1) + ids)[ids >= 0], return_counts=True)
                 of, ids = code // (len(idf) + 1), code % (len(idf) + 1)
                 w = tf * idf[ids]
@@ -105,7 +91,6 @@ def tfidf_long(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFram
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(key).take(pa.array(of)), terms.take(pa.array(ids)), pa.array(w / norm[of - at])],
                     [key, "term", "weight"])
-                at = to
     t = df.select(key, word_tokens(text).alias("_t"))
     schema = StructType([df.schema[key], StructField("term", StringType()), StructField("weight", DoubleType())])
     return t.mapInArrow(weigh, schema)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.constants import SEQ_LEN, TFIDF_MAX_TERMS, VOCAB_MAX, VOCAB_MIN_FREQ
-from ..functions.text import clean_tokens
+from ..functions.text import clean_tokens, word_tokens
+from ..operators.heavy import top_counts
 from ..operators.tfidf import corpus_terms, tfidf_long, top_terms, with_idf
 from ..operators.vocab import encode_sequences, lookup_counts, pad_to, text_token_freq, top_vocab, vocab_ids
 from ..session import scratch_path
@@ -40,7 +41,8 @@ def agg_token_freq(spark, sf_dir):
 
 @register("topk_vocab", O.with_ctes(VOCAB_CTE) + "SELECT token, CAST(freq AS BIGINT) AS freq FROM vocab")
 def topk_vocab(spark, sf_dir):
-    return top_vocab(_freq(spark, sf_dir)).select("token", F.col("freq").cast("bigint").alias("freq"))
+    top = top_counts(_tokens(spark, sf_dir), "tokens", VOCAB_MAX)
+    return top.where(F.col("n") >= VOCAB_MIN_FREQ).select(F.col("term").alias("token"), F.col("n").cast("bigint").alias("freq"))
 
 
 @register("win_vocab_ids", O.with_ctes(VOCAB_CTE) + "SELECT token, token_id FROM vocab")
@@ -105,7 +107,8 @@ def agg_tf(spark, sf_dir):
 
 @register("topk_tfidf_terms", O.with_ctes(TERMS_CTE) + "SELECT term, CAST(n AS BIGINT) AS n FROM topt")
 def topk_tfidf_terms(spark, sf_dir):
-    return top_terms(_corpus(spark, sf_dir)).select("term", F.col("n").cast("bigint").alias("n"))
+    words = emails(spark, sf_dir).select(word_tokens("raw_text").alias("t"))
+    return top_counts(words, "t", TFIDF_MAX_TERMS, pairs=True).select("term", F.col("n").cast("bigint").alias("n"))
 
 
 @register("agg_df_idf", O.with_ctes(TERMS_CTE) + """

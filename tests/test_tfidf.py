@@ -7,7 +7,7 @@ import re
 
 import pytest
 
-from hookline.operators import tfidf
+from hookline.operators import heavy
 from hookline.operators.tfidf import corpus_terms, tfidf_long, top_terms, with_idf
 
 
@@ -49,7 +49,7 @@ def test_counts_move_by_term_only(spark):
 
 @pytest.mark.parametrize("slice_tokens", [1 << 20, 3])
 def test_weights_equal_plain_weights_without_a_shuffle(spark, monkeypatch, slice_tokens):
-    monkeypatch.setattr(tfidf, "SLICE_TOKENS", slice_tokens)
+    monkeypatch.setattr(heavy, "SLICE_TOKENS", slice_tokens)
     texts = corpus()
     d = spark.createDataFrame(list(enumerate(texts)), "email_id long, raw_text string")
     c = corpus_terms(d, "raw_text")
@@ -67,3 +67,42 @@ def test_weights_equal_plain_weights_without_a_shuffle(spark, monkeypatch, slice
         want |= {(i, x): v / norm for x, v in w.items()}
     got = {(r["email_id"], r["term"]): r["weight"] for r in out.collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+def skewed(n=300, tail=4000):
+    """Some words often, ties around every cut, and a long tail of words that occur once."""
+    rng = random.Random(12)
+    texts = []
+    for i in range(n):
+        w = [f"hot{min(int(rng.expovariate(0.3)), 40)}" for _ in range(30)] + [f"rare{i * 14 + j}" for j in range(14)]
+        rng.shuffle(w)
+        texts.append(w)
+    return [[], *texts, [f"tie{j}" for j in range(50)] * 3]
+
+
+@pytest.mark.parametrize("pairs", [False, True])
+@pytest.mark.parametrize("k, capacity", [(10, 100), (30, 400), (45, 60), (60, 500), (100_000, None), (7, 7)])
+def test_certified_top_equals_the_full_count(spark, monkeypatch, pairs, k, capacity):
+    monkeypatch.setattr(heavy, "SLICE_TOKENS", 500)
+    texts = skewed()
+    d = spark.createDataFrame([(t,) for t in texts], "t array<string>").repartition(3)
+    n, df = collections.Counter(), collections.Counter()
+    for t in texts:
+        terms = t + [f"{a} {b}" for a, b in zip(t, t[1:])] * pairs
+        n.update(terms)
+        df.update(set(terms))
+    want = sorted(((t, n[t], df[t]) for t in n), key=lambda r: (-r[1], r[0]))[:k]
+    got = [tuple(r) for r in heavy.top_counts(d, "t", k, pairs, capacity).collect()]
+    assert sorted(got) == sorted(want)
+    assert sorted(tuple(r) for r in heavy.full_count(d, "t", pairs).collect()) == sorted((t, n[t], df[t]) for t in n)
+
+
+def test_too_many_candidates_fall_back_to_the_full_count(spark, monkeypatch):
+    d = spark.createDataFrame([([f"w{i}" for i in range(j, j + 50)],) for j in range(100)], "t array<string>")
+    called = []
+    real = heavy.full_count
+    monkeypatch.setattr(heavy, "full_count", lambda *a: called.append(1) or real(*a))
+    monkeypatch.setattr(heavy, "MAX_CANDIDATES", 20)
+    got = [tuple(r) for r in heavy.top_counts(d, "t", 5, capacity=30).collect()]
+    assert called and sorted(got) == sorted((f"w{i}", 50, 50) for i in range(49, 100))[:5]
+    assert heavy.top_counts(d.where("false"), "t", 5).count() == 0
