@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,12 +60,8 @@ disp AS (SELECT source, {LAYOUT_SQL} AS layout, {layout_text_sql()} AS text, {la
 
 
 def _dispatched(spark, paths: list[str]) -> DataFrame:
-    parts = []
-    for p in paths:
-        one = C.load_one(spark, p)
-        layout = p.rstrip("/").rsplit("/", 2)[-2]
-        parts.append(one.select(F.lit(C.source_name(p)).alias("source"), F.lit(layout).alias("layout"), "text", "y"))
-    return reduce(DataFrame.unionByName, parts)
+    layout = F.element_at(F.split("file", "/"), -3)   # <layout>/source=<name>/<file>
+    return C.dispatch_files(spark, paths).select("source", layout.alias("layout"), "text", "y")
 
 
 def _corpus(spark, sf_dir):

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import uuid
 
 from pyspark.sql import functions as F
@@ -57,3 +58,44 @@ def test_encode_sequences(spark):
     assert got[2] == [2, 1, 3] + [0] * 253
     assert got[3] == [2] * 256
     assert spark.range(1).select(pad_to(F.array(F.lit(7)), 3).alias("x")).first()["x"] == [7, 0, 0]
+
+
+def test_five_hundred_files_are_three_scans(spark, tmp_path):
+    """Plan size follows layouts, not files; rows keep their file's source; odd files are left out."""
+    from hookline.sources import csv as C
+    paths = []
+    for i in range(500):
+        head, row = [("subject,body,label", f"s{i},text of mail {i},spam"), (" Email Text ,EMAIL TYPE", f'"mail {i}, quoted",ham'),
+                     ("Body,Category,extra", f"only body {i},1,x\nlong row,1,x,y\nshort {i}")][i % 3]
+        p = tmp_path / f"f{i}.csv"
+        p.write_text(f"{head}\n{row}\n")
+        paths.append(str(p))
+    for name, text in (("odd.csv", "message,verdict\na,b\n"), ("empty.csv", ""), ("twice.csv", "body,BODY\na,b\n"), ("head.csv", "body,label")):
+        (tmp_path / name).write_text(text)
+        paths.append(str(tmp_path / name))
+    folder = tmp_path / "source=many"
+    folder.mkdir()
+    for i in range(3):
+        (folder / f"part-{i}.csv").write_text(f"body,label\nin a folder {i},0\n")
+    d = C.dispatch_files(spark, [*paths, str(folder), str(tmp_path / "missing.csv")])
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") + plan.count("Relation[") == 4   # three layouts, and that of the folder
+    got = {(r["source"], r["text"], r["y"]) for r in d.collect()}
+    want = set()
+    for i in range(500):
+        want |= [{(f"f{i}.csv", f"s{i} text of mail {i}", 1)}, {(f"f{i}.csv", f"mail {i}, quoted", 0)},
+                 {(f"f{i}.csv", f"only body {i}", 1)}][i % 3]   # a row without a label is dropped
+    want |= {("many", f"in a folder {i}", 0) for i in range(3)}
+    assert got == want
+    assert C.dispatch_files(spark, [str(tmp_path / "missing.csv")]).count() == 0
+    assert C.load_sources(spark, [str(tmp_path / "odd.csv")]).columns == ["text", "y", "source"]
+
+
+def test_headers_by_a_spark_scan_equal_those_read_by_tasks(spark, tmp_path, monkeypatch):
+    from hookline.sources import csv as C
+    (tmp_path / "a.csv").write_text('x,"y z"\n1,2\n')
+    uris = list(C.list_files(spark, [str(tmp_path / "a.csv")]))
+    by_task = C.headers_of(spark, uris)
+    monkeypatch.setattr(C, "_first_line", lambda batches: (pa.RecordBatch.from_arrays(
+        [b.column("uri"), pa.nulls(b.num_rows, pa.string())], ["uri", "line"]) for b in batches))
+    assert C.headers_of(spark, uris) == by_task == {uris[0]: ("x", "y z")}
