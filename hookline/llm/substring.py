@@ -19,7 +19,7 @@ Hot digests (a line that a third of all documents share) are joined by
 broadcast; there are fewer than HOT_SHARE of them.
 
 Rows: null and empty texts have no chunks and no runs. Repeated rows repeat
-each other. A null ``doc_id`` is kept and comes after all others. Extra columns are ignored by the search
+each other. A null ``doc_id`` is kept and comes before all others. Extra columns are ignored by the search
 and kept by ``drop_repeats``.
 """
 
@@ -88,7 +88,7 @@ def cuts_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chunks():
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("place", pa.int32()), ("start", pa.int64()),
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int32()), ("place", pa.int32()), ("start", pa.int64()),
                         ("end", pa.int64()), ("bytes", pa.int32()), ("d1", pa.int64()), ("d2", pa.int32())])
 
     def run(batches):
@@ -119,11 +119,11 @@ def repeated_runs(docs: DataFrame, row: str | None = None, min_run: int = MIN_RU
     start and end in code points, end exclusive."""
     d = with_columns_of(docs, {"doc_id": "long", "text": "string"} | ({row: "long"} if row else {}))
     d = d.withColumnRenamed(row, "row") if row else d.withColumn("row", F.monotonically_increasing_id())
-    chunks = materialise(d.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
-        _chunks(), "row long, doc_id long, text_hash long, place int, start long, end long, bytes int, d1 long, d2 int"),
+    chunks = materialise(d.withColumn("text_hash", F.hash("text")).mapInArrow(
+        _chunks(), "row long, doc_id long, text_hash int, place int, start long, end long, bytes int, d1 long, d2 int"),
         "cdc-chunks")
     # first: the smallest (doc_id, text hash, row); it stays
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row"))
+    first = F.min(F.struct("doc_id", "text_hash", "row"))
     repeated = chunks.groupBy("d1", "d2").agg(
         F.count("*").alias("n"), first.alias("f"), F.min("row").alias("low"), F.max("row").alias("high")).where(
         "low <> high").select(F.col("d1"), F.col("d2").alias("e2"), "n", F.col("f.row").alias("first_row"),
