@@ -4,8 +4,8 @@ One pass parses every page into text blocks, each with its path in the style
 tree (tags with their classes, from the root), drops what the markup itself
 names as no content (navigation, headers, footers, asides, forms, scripts,
 hidden parts, and elements whose class, id or role says advert, cookie notice,
-comments and the like) and keeps to ``article`` or ``main`` where a page has
-one. The pages of a host are then merged by path:
+comments and the like) and keeps to ``article`` and ``main`` where they hold a fair share of
+the text (less than MAIN_SHARE are teasers beside a story). The pages of a host are then merged by path:
 
 * content importance of a node: 1 minus the mean over its blocks of
   log(pages with that text) / log(pages of the host), which is the entropy of
@@ -33,6 +33,7 @@ ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import collections
 import html
 import re
 
@@ -47,9 +48,10 @@ MIN_PAGES = 8
 LOW_CONTENT, LOW_MAIN, LOW_STYLE = 0.2, 0.1, 0.5
 OWN = 0.2
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^'">])*+)>""", re.S)
+# a tag that the next "<" or the end cuts off ends there: an attempt never reads past its own tag
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:"[^"]*+"|'[^']*+'|[^'"<>])*+)>?""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in
+_END = {t: re.compile(rf"</{t}\b[^>]*+(?:>|\Z)", re.I) for t in
         ("script", "style", "title", "textarea", "iframe", "noscript", "template", "svg", "math", "xmp", "noembed")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt "
@@ -58,12 +60,20 @@ _NOISE_TAGS = frozenset("head nav footer aside form button select option dialog
                         "frameset applet fieldset datalist".split())
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar "
                          "toolbar".split())
-_NOISE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment "
-    "comments commentlist consent cookie cookies disqus footer form gdpr header hidden login masthead menu modal "
-    "nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion "
-    "recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored "
-    "subscribe subscription tagcloud toolbar topbar widget widgets".split())
+#: Names of what is no content wherever they begin or end a class name or id ...
+_ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising adsense promo promoted sponsor sponsored".split())
+_COMMENTS = frozenset("comment comments commentlist disqus replies".split())
+_STRONG = _ADVERTS | _COMMENTS | frozenset(
+    "breadcrumb breadcrumbs consent cookie cookies footer gdpr masthead nav navbar navigation newsletter pager "
+    "pagination popup sidebar subscribe subscription tagcloud topbar".split())
+#: ... and names that may stand for content too: they count alone or beside words of layout.
+_WEAK = frozenset(
+    "banner byline form header hidden login menu modal notice notices overlay promotion recommended related reply "
+    "respond share sharing signup skip social toolbar widget widgets".split())
+_LAYOUT = frozenset(
+    "area bar block bottom box buttons container icons inner left link links list main outer page panel post posts "
+    "right section site slot stories top unit wrap wrapper".split())
+_DENIAL = frozenset("no not has with without".split())
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
@@ -72,64 +82,111 @@ def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTR.findall(text)}
 
 
-def _is_noise(tag: str, at: dict[str, str]) -> bool:
+def _named(at: dict[str, str], strong: frozenset, weak: frozenset) -> bool:
+    """Whether a class name or the id says what is no content; never one that says there is none of it."""
+    for token in (at.get("class", "") + " " + at.get("id", "")).split():
+        words = [w.lower() for w in _NAME.findall(token)]
+        if not words or not _DENIAL.isdisjoint(words):
+            continue
+        if words[0] in strong or words[-1] in strong:
+            return True
+        if not weak.isdisjoint(words) and all(w in weak or w in strong or w in _LAYOUT for w in words):
+            return True
+    return False
+
+
+def _is_noise(tag: str, at: dict[str, str]) -> str:
+    """Why an element is no content: "markup" (its tag, role or style), "name", or "" if it may be."""
     if tag in _NOISE_TAGS or "hidden" in at or at.get("aria-hidden") == "true":
-        return True
+        return "markup"
     if at.get("role", "").lower() in _NOISE_ROLES:
-        return True
+        return "markup"
     style = at.get("style", "").replace(" ", "").lower()
     if "display:none" in style or "visibility:hidden" in style:
-        return True
-    if tag in ("html", "body", "article", "main") and not at.get("class", "").startswith("comment"):
-        return False
-    return any(w.lower() in _NOISE_NAMES for w in _NAME.findall(at.get("class", "") + " " + at.get("id", "")))
+        return "markup"
+    if tag in ("html", "body"):
+        return ""
+    if tag in _INLINE:  # a span or link may be of class "comment" or "header" within a text
+        return "markup" if _named(at, _ADVERTS, frozenset()) else ""
+    if tag in ("article", "main"):
+        last = [_NAME.findall(t)[-1:] for t in at.get("class", "").split()]
+        return "markup" if at.get("class", "").startswith("comment") or any(
+            w and w[0].lower() in _COMMENTS | {"reply"} for w in last) else ""
+    if _named(at, _ADVERTS | _COMMENTS, frozenset()):
+        return "markup"
+    return "name" if _named(at, _STRONG, _WEAK) else ""
+
+
+_TELLING = re.compile(r"(?:^|[\s\"'])(?:class|id|role|style|aria-hidden|hidden)\b", re.I)
+#: Share of a page's text that article and main must hold for the rest to go.
+MAIN_SHARE = 0.25
+#: Deeper elements take part with their marks, but have no path of their own.
+MAX_LEVELS = 400
+
+
+class _Element:
+    __slots__ = ("tag", "path", "noise", "main", "children", "header", "heading", "named", "inline")
+
+    def __init__(self, tag, path, noise, main, header, heading, named, inline=False):
+        self.tag, self.path, self.noise, self.main, self.children = tag, path, noise, main, []
+        self.header, self.heading, self.named, self.inline = header, heading, named, inline
 
 
 def parse(page: str) -> tuple[list[tuple[str, bool, str]], list[tuple[str, str]]]:
     """Blocks (path, inside article or main, text) in page order, and the elements'
-    (path, child elements with runs taken together)."""
-    # entries: tag, path, noise, main, children, in a header
-    stack = [("", "", False, False, [], False)]
-    blocks, styles, parts = [], [], []
+    (path, child elements with runs taken together).
+
+    Elements that only their name calls no content count again where a page has nothing
+    else: such a name stood on the wrapper of it all.
+    """
+    stack = [_Element("", "", False, False, False, False, False)]
+    open_ = collections.Counter()
+    blocks, styles, parts, owner = [], [], [], [stack[0]]
 
     def flush():
         if parts:
             t = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
-            top = stack[-1]
-            if t and not top[2] and (not top[5] or any(s[0] in _HEADINGS for s in stack)):
-                blocks.append((top[1], top[3], t))
+            top = owner[0]
+            if t and (not top.header or top.heading):
+                blocks.append((top.path, top.main, t, top.named))
 
     def close(n):
         while len(stack) > n:
             top = stack.pop()
-            if top[4]:
-                styles.append((top[1], ",".join(top[4])))
+            open_[top.tag] -= 1
+            if top.children:
+                styles.append((top.path, ",".join(top.children)))
+
+    def push(e):
+        stack.append(e)
+        open_[e.tag] += 1
 
     def text(t):
-        if t and not stack[-1][2]:
+        if t and not stack[-1].noise:
+            if not parts:
+                owner[0] = stack[-1]
             parts.append(t)
     at = 0
     while True:
         m = _TAG.search(page, at)
         if m is None:
-            rest = page[at:]
-            cut = re.search(r"<[a-zA-Z/!][^<]*\Z", rest)  # a tag that the page's end cuts off
-            text(rest[:cut.start()] if cut else rest)
+            text(page[at:])
             break
         text(page[at:m.start()])
         at = m.end()
-        if m[2] is None:
+        if m[2] is None or page[at - 1] != ">":  # a comment, or a tag that is cut off
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in _INLINE or tag in _VOID:
+            if tag in _VOID or tag in _INLINE and not open_[tag]:
                 if tag == "br":
                     text(" ")
                 continue
-            n = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if n:
-                flush()
+            if open_[tag]:
+                n = next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag)
+                if tag not in _INLINE:
+                    flush()
                 close(n)
             continue
         if tag in _END:
@@ -137,48 +194,59 @@ def parse(page: str) -> tuple[list[tuple[str, bool, str]], list[tuple[str, str]]
             at = end.end() if end else len(page)
             continue
         if tag in _VOID:
-            if tag in ("br", "img", "wbr"):
-                text(" " if tag == "br" else "")
+            if tag == "br":
+                text(" ")
             elif tag == "hr":
                 flush()
             continue
+        top = stack[-1]
         if tag in _INLINE:
-            if m[3] and ("hidden" in m[3] or "display" in m[3]) and _is_noise(tag, _attributes(m[3])):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else at
+            # elements that are no content, and what must be told from their ends, are kept track of
+            if open_[tag] or m[3] and _TELLING.search(m[3]) and _is_noise(tag, _attributes(m[3])):
+                push(_Element(tag, top.path, True, top.main, top.header, top.heading, top.named, True))
             continue
         flush()
-        if stack[-1][0] == "p":
-            close(len(stack) - 1)
+        i = len(stack) - 1
+        while stack[i].inline:
+            i -= 1
+        if stack[i].tag == "p":  # a block ends a paragraph and what is open in it
+            close(i)
         for sibling, stops in (("li", ("ul", "ol")), ("dt", ("dl",)), ("dd", ("dl",)), ("tr", ("table",)),
                                ("td", ("tr", "table")), ("th", ("tr", "table"))):
-            if tag == sibling:
+            if tag == sibling and open_[tag]:
                 for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in stops:
+                    if stack[i].tag in stops:
                         break
-                    if stack[i][0] == tag:
+                    if stack[i].tag == tag:
                         close(i)
                         break
         attrs = _attributes(m[3]) if m[3].strip(" /\n\t") else {}
         parent = stack[-1]
         name = f"{tag}.{attrs['class']}" if attrs.get("class") else tag
-        if not parent[4] or parent[4][-1] != name:
-            parent[4].append(name)
-        main = parent[3] or tag in ("article", "main") or attrs.get("role") == "main" or attrs.get(
+        deep = len(stack) > MAX_LEVELS
+        if not deep and (not parent.children or parent.children[-1] != name):
+            parent.children.append(name)
+        main = parent.main or tag in ("article", "main") or attrs.get("role") == "main" or attrs.get(
             "itemprop") == "articleBody"
-        header = parent[5] or tag == "header"
-        noise = parent[2] or _is_noise(tag, attrs) or (tag == "header" and not parent[3])
-        if m[3].endswith("/") and tag in ("svg", "math"):
-            continue
-        stack.append((tag, f"{parent[1]}/{name}", noise, main, [], header))
-        if len(stack) > 400:  # deeper nesting than any page means: no new levels
-            close(len(stack) - 1)
+        why = _is_noise(tag, attrs) if not parent.noise else ""
+        # an article keeps the headings of its header
+        why = "" if tag == "header" and parent.main and why == "name" else why
+        noise = parent.noise or why == "markup" or (tag == "header" and not parent.main)
+        push(_Element(tag, parent.path if deep else f"{parent.path}/{name}", noise, main, parent.header or tag == "header",
+                      parent.heading or tag in _HEADINGS, parent.named or why == "name"))
     flush()
     close(1)
-    if any(b[1] for b in blocks):
-        blocks = [b for b in blocks if b[1]]
-    kept = {b[0] for b in blocks}
-    return blocks, [s for s in styles if any(k == s[0] or k.startswith(s[0] + "/") for k in kept)]
+    shown = [b[:3] for b in blocks if not b[3]] or [b[:3] for b in blocks]
+    size = sum(len(b[2]) for b in shown)
+    if sum(len(b[2]) for b in shown if b[1]) >= MAIN_SHARE * size:
+        shown = [b for b in shown if b[1]] or shown
+    kept = set()
+    for b in shown:  # the paths of the blocks and of all elements around them
+        path = b[0]
+        while path and path not in kept:
+            kept.add(path)
+            path = path.rpartition("/")[0]
+    return shown, [x for x in styles if x[0] in kept]
 
 
 def host_of(url: str | None) -> str:

@@ -697,6 +697,43 @@ def test_html_article():
     assert text_of("<!-- open <p>no") == ""
 
 
+def test_html_names_tell_content_from_frame():
+    for wrap in ('class="site-content no-sidebar"', 'id="page" class="has-header layout"', 'class="with-comments"',
+                 'class="sidebar-wrapper"', 'class="related-work"'):
+        assert text_of(f"<body><div {wrap}><p>The story.</p></div></body>") == "The story.", wrap
+    for wrap in ("sidebar", "site-footer", "main-nav", "cookie-notice", "page-header", "user-comment", "commentList", "adBox", "social-links"):
+        assert text_of(f"<body><div class='{wrap}'><p>no</p></div><div class=post><p>The story.</p></div></body>") == "The story.", wrap
+    assert text_of("<div class='comments'><p>all there is is comments</p></div>") == ""
+    assert text_of("<div class=post><h2>Related work</h2><div class='related-work'><p>A study.</p></div></div>") == "Related work A study."
+
+
+def test_html_inline_noise():
+    assert text_of("<p>a <a class='advert' href=x>Buy</a><span class=ad>now</span> b</p>") == "a b"
+    assert text_of("<p>a <span hidden>x <span>y</span> z</span> b</p><p>c</p>") == "a b c"
+    assert text_of("<div>a <span hidden><div>x</div> z</span> b</div>") == "a b"
+    assert text_of("<p>a <i hidden>never closed <p>next") == "a next"
+    assert text_of("<p>code <span class='comment'># stays</span> <a href='?id=3&class=4'>l</a>") == "code # stays l"
+    story = "<div class=post><p>" + "The long story goes on. " * 20 + "</p></div>"
+    assert "story" in text_of(story + "<article><h3>Teaser</h3></article>")
+    assert text_of(story + "<main><p>" + "main text " * 60 + "</p></main>") == ("main text " * 60).strip()
+    assert text_of("<article><p>Told.</p></article><article class='user-comment'><p>no</p></article>") == "Told."
+
+
+def test_html_deep_nesting_keeps_marks():
+    page = "<div>" * 420 + "<nav><p>no</p></nav><div class=comments><p>no</p></div><p>yes</p>" + "</div>" * 420 + "<p>end</p>"
+    assert text_of(page) == "yes end"
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<i hidden>" * 100_000, "<!" * 500_000, "<a '" * 250_000, "</script " * 110_000,
+                                  "<div>" * 200_000, "<div><li></li>" * 70_000, "<script>" + "</script " * 110_000,
+                                  "<div>" * 100_000 + "</p>" * 100_000, '<a href="' * 110_000 + "'", "<b>" * 300_000 + "</b>" * 10])
+def test_html_scan_is_linear(page):
+    import time
+    t = time.process_time()
+    html_text.parse(page)
+    assert time.process_time() - t < 5
+
+
 def test_html_table(spark):
     pages = table(spark, SF001, "pages")
     import html as H
