@@ -9,7 +9,8 @@ with its place in the item; each gets a 128-bit SimHash of its weighted
 shingles. Fingerprints are split into RADIUS + 1 blocks: two of them within
 RADIUS agree in one block at least, so the block index finds every item
 fingerprint within RADIUS. Those are verified by the exact weighted Jaccard
-similarity (weights: log(1 + items / items with the shingle)), 0.8 or more.
+similarity (weights: log(1 + items / items with the shingle), counted over the whole
+benchmark), 0.8 or more.
 A pair at 0.8 differs in 19 bits on average; over 36 has a chance below 1e-4.
 
 Items are taken in blocks of at most ITEM_BLOCK (about), each a stated query set that is
@@ -80,10 +81,25 @@ def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, j
 
 
+def _item_sets(col: pa.Array) -> list[np.ndarray]:
+    """The shingles of each text that has words."""
+    word, _, cut = _words(col)
+    return [shingle_hashes(word[a:b], np.zeros(b - a, np.int64), K)[0] for a, b in zip(cut, cut[1:]) if b > a]
+
+
+def _repeated(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of more than one set, in order, and how many hold them."""
+    h, n = np.unique(np.concatenate([np.unique(s) for s in sets]) if sets else np.zeros(0, np.uint64), return_counts=True)
+    return h[n > 1], n[n > 1]
+
+
 class Items:
-    """One block of benchmark items: shingles, weights, fingerprints and their index."""
+    """One block of benchmark items: shingles, weights, fingerprints and their index.
 
-    def __init__(self, ids: list, texts: list):
+    ``repeated`` are the shingles that several items of the whole benchmark hold, with the number
+    of items, and ``total`` the number of its items; all others count as held by one."""
+
+    def __init__(self, ids: list, texts: list, repeated: tuple[np.ndarray, np.ndarray] | None = None, total: int = 0):
         word, row, cut = _words(pa.array(texts, pa.string()))
         n = np.diff(cut)
         full = np.flatnonzero(n)
@@ -97,10 +113,11 @@ class Items:
         flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         place = np.concatenate([np.arange(len(s)) for s in sets]) if sets else owner
-        pairs = np.unique(np.stack([flat, owner.astype(np.uint64)], 1), axis=0) if sets else np.zeros((0, 2), np.uint64)
-        self.known, df = np.unique(pairs[:, 0], return_counts=True)
-        self.weight = np.log1p(len(sets) / np.maximum(df, 1))
-        self.rare = np.log1p(max(1, len(sets)))
+        if repeated is None:  # these items are the whole benchmark
+            repeated, total = _repeated(sets), len(sets)
+        self.known = repeated[0]
+        self.weight = np.log1p(total / repeated[1])
+        self.rare = np.log1p(max(1, total))
         order = np.argsort(flat, kind="stable")
         self.flat, self.owner, self.place = flat[order], owner[order], place[order]
         self.bitmap = np.zeros(1 << 20, bool)
@@ -115,6 +132,8 @@ class Items:
             self.keys, self.posting = keys.reshape(-1)[order], order // (RADIUS + 1)
 
     def weigh(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.full(len(h), self.rare)
         at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
         return np.where(self.known[at] == h, self.weight[at], self.rare)
 
@@ -179,14 +198,33 @@ class Items:
                     best[key] = new
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) -> (shingle) of each item once, and a null for the item itself."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            sets = [np.unique(s) for s in _item_sets(part.column("text"))]
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([pa.array(flat.view(np.int64)), pa.nulls(len(sets), pa.int64())])], ["shingle"])
+
+
 def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
-    """The items in blocks by hash; a block is a bounded query set."""
+    """The items in blocks by hash; a block is a bounded query set. Weights are those of the whole
+    benchmark: one grouped count gives the shingles that several items hold, which are fewer than half of its shingles."""
     b = with_columns_of(benchmark, {"item_id": "long", "text": "string"}).where("text is not null")
+    counts = b.select("text").mapInArrow(_shingle_rows, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    got = counts.where("n > 1 OR shingle IS NULL").select(  # a long column with a null would come as doubles
+        F.coalesce("shingle", F.lit(0)).alias("shingle"), F.col("shingle").isNull().alias("items"), "n").toPandas()
+    items = got["items"].to_numpy(bool)
+    total = int(got["n"][items].sum())
+    known, n = got["shingle"].to_numpy(np.int64)[~items].view(np.uint64), got["n"].to_numpy(np.int64)[~items]
+    order = np.argsort(known)
+    repeated = known[order], n[order]
     blocks = max(1, -(-b.count() // ITEM_BLOCK))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     for i in range(blocks):
         rows = b.where(part == i).collect()
-        yield Items([r["item_id"] for r in rows], [r["text"] for r in rows])
+        yield Items([r["item_id"] for r in rows], [r["text"] for r in rows], repeated, total)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

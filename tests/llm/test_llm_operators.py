@@ -292,6 +292,41 @@ def test_leaks_of_items_that_share_a_template(spark):
     assert all(r.similarity == pytest.approx(100 * np.log(2) / (100 * np.log(2) + 2 * np.log(301))) for r in got)
 
 
+def test_leaks_do_not_depend_on_item_blocks(spark, monkeypatch):
+    """Similarities follow the whole benchmark, and equal a plain weighted Jaccard over all aligned windows."""
+    rng = random.Random(21)
+    template = prose(rng, 14)
+    items = [(i, f"{template} {prose(rng, 16)}") for i in range(60)]
+    docs = []
+    for i, t in items[:30]:
+        w = t.split()
+        for at in rng.sample(range(14, 30), i % 4):
+            w[at] = prose(rng, 1)
+        docs.append((i, f"{prose(rng, 20)} {' '.join(w)} {prose(rng, 10)}"))
+    d, b = (spark.createDataFrame(x, f"{n} long, text string") for x, n in ((docs, "doc_id"), (items, "item_id")))
+    found = []
+    for size in (20_000, 7):
+        monkeypatch.setattr(decontaminate, "ITEM_BLOCK", size)
+        found.append(sorted((r.doc_id, r.item_id, r.first_word, round(r.similarity, 9)) for r in decontaminate.find_leaks(d, b).collect()))
+    assert found[0] == found[1] and len(found[0]) >= 8
+
+    def bag(words):
+        return collections.Counter(zip(*[words[i:] for i in range(5)]))
+    df = collections.Counter(s for _, t in items for s in set(bag(t.lower().split())))
+    weight = (lambda s: np.log1p(60 / max(df[s], 1)))
+    want = set()
+    for i, t in docs:
+        w = t.lower().split()
+        for j, item in items:
+            y = bag(item.lower().split())
+            for a in range(len(w) - 30 + 1):
+                x = bag(w[a:a + 30])
+                sim = sum(min(x[s], y[s]) * weight(s) for s in x) / sum(max(x[s], y[s]) * weight(s) for s in x | y)
+                if sim >= 0.8:
+                    want.add((i, j))
+    assert {(i, j) for i, j, _, _ in found[0]} == want
+
+
 def test_hamming_index_finds_all_within_radius():
     rng = np.random.default_rng(3)
     a = rng.random((50, decontaminate.BITS)) < 0.5
