@@ -16,7 +16,8 @@ from ..functions.constants import ALPHA, DELTA_BLOCK, FUSION_WEIGHTS, N_FOLDS, S
 from ..operators.folds import holdout_split, stratified_folds
 from ..operators.metrics import confusion, rates
 from ..operators.policy import enforcement, late_fusion, policy_tiers, tau_block
-from ..operators.roc import auc, calibrate, roc_points
+from ..operators.calibrate import search_threshold
+from ..operators.roc import auc, roc_points
 
 
 def fuse(scored: DataFrame, weights=FUSION_WEIGHTS) -> DataFrame:
@@ -26,8 +27,7 @@ def fuse(scored: DataFrame, weights=FUSION_WEIGHTS) -> DataFrame:
 
 def thresholds(cal: DataFrame, alpha: float = ALPHA, delta: float = DELTA_BLOCK) -> DataFrame:
     """(fold, tau_cal, tau_block, feasible, tpr_at_tau, fpr_at_tau): one row per fold."""
-    pts = roc_points(cal, ["train_fold"], "p_fused", "y", prune=True, max_groups=N_FOLDS)
-    th = calibrate(pts, ["train_fold"], alpha)
+    th = search_threshold(cal, ["train_fold"], "p_fused", "y", alpha)
     return th.select(F.col("train_fold").alias("fold"), "tau_cal",
                      tau_block(F.col("tau_cal"), delta).alias("tau_block"),
                      "feasible", "tpr_at_tau", "fpr_at_tau")

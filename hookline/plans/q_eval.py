@@ -9,7 +9,8 @@ from ..operators.folds import fold_complement, fold_complement_by_filter, holdou
 from ..operators.metrics import confusion, cv_pooled, cv_summary, rates
 from ..operators.policy import late_fusion
 from ..operators.rank import prefix_sums
-from ..operators.roc import auc, calibrate, roc_points, with_origin
+from ..operators.roc import auc, roc_points, with_origin
+from ..operators.calibrate import search_threshold
 from ..session import scratch_path
 from ..sources.published import current, publish
 from ..sources.tables import agent_score, scored, table, urls
@@ -245,7 +246,7 @@ def agg_calibrate(spark, sf_dir):
 def argmax_threshold(spark, sf_dir):
     """Best TPR under the FPR ceiling over every distinct score (no collinear-point pruning)."""
     _, _, cal, _ = split_scored(fuse(scored(spark, sf_dir)))
-    th = calibrate(roc_points(cal, ["train_fold"], "p_fused", "y"), ["train_fold"], use_pruned=False)
+    th = search_threshold(cal, ["train_fold"], "p_fused", "y", prune=False)
     return th.select(F.col("train_fold").alias("fold"), F.round("tau_cal", 6).alias("tau_cal"), "feasible")
 
 
