@@ -296,7 +296,8 @@ def _once(parsed: DataFrame) -> DataFrame:
         F.xxhash64(b["text"]).alias("seen"), F.length(b["text"]).alias("size"))).alias("blocks"))
     texts = d.select("host", "page", F.explode(F.array_distinct("blocks.seen")).alias("seen")).distinct()
     n = texts.groupBy("host", "seen").agg(F.count("*").alias("n"))
-    common = n.join(_page_counts(d), "host").where("n * n > m").groupBy("host").agg(
+    # hosts that count have MIN_PAGES pages, so a text that stands on two of them or one is not common
+    common = n.where("n > 2").join(_page_counts(d), "host").where("n * n > m").groupBy("host").agg(
         F.collect_list("seen").alias("common"))
     common = common.join(d.groupBy("host").agg(F.count("*").alias("rows")), "host")
     x = join_skewed(d, materialise(common, "html-common"), "host", "rows", max(1, d.count()), "row")
@@ -320,8 +321,9 @@ def unimportant(parsed: DataFrame) -> DataFrame:
     blocks = parsed.select("host", "page", F.explode("blocks").alias("b")).select(
         "host", "page", "b.path", "b.parent", "b.main", "b.seen")
     texts = blocks.distinct().groupBy("host", "path", "parent", "main", "seen").agg(F.count("*").alias("n"))
-    nodes = texts.join(hosts, "host").groupBy("host", "path", "parent", "main", "m").agg(
-        F.sum(F.col("n") * F.log("n")).alias("s"), F.sum("n").alias("blocks")).select(
+    # summed to nodes before the join: a host's texts are many, its nodes are few
+    nodes = texts.groupBy("host", "path", "parent", "main").agg(
+        F.sum(F.col("n") * F.log("n")).alias("s"), F.sum("n").alias("blocks")).join(hosts, "host").select(
         "host", "path", "parent", "main", "m", (1 - F.col("s") / F.col("blocks") / F.log("m")).alias("content"))
     styles = parsed.select("host", "page", F.explode("styles").alias("s")).select(
         "host", "page", F.col("s.path").alias("parent"), F.col("s.seen").alias("seen")).distinct()
