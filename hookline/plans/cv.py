@@ -24,7 +24,7 @@ from ..operators.models import EmbeddingAgent, SequenceAgent
 from ..operators.newton import NewtonAgent, fit_folds
 from ..operators.policy import enforcement, policy_tiers
 from ..operators.vocab import attach_sequences, fold_token_freq, fold_vocab
-from ..session import scratch_path
+from ..session import in_this_scope, scratch_path
 from ..sources.published import current, publish
 from ..sources.tables import emails, table, urls
 from .evaluate import decide, fold_metrics, fuse, thresholds
@@ -58,8 +58,8 @@ def feature_tables(spark: SparkSession, sf_dir: str, k: int = N_FOLDS, seed: int
         stratified_folds(spark.read.parquet(paths[f"{name}0"]), key, "y", k, seed).write.mode("overwrite").parquet(paths[name])
         return spark.read.parquet(paths[name])
     with ThreadPoolExecutor(2) as pool:
-        both = pool.submit(folded, lex.join(emb, "email_id", "left"), "email_id", "emails"), \
-            pool.submit(folded, ulex, "url_id", "urls")
+        both = pool.submit(in_this_scope(folded), lex.join(emb, "email_id", "left"), "email_id", "emails"), \
+            pool.submit(in_this_scope(folded), ulex, "url_id", "urls")
         e, u = (f.result() for f in both)
     flags = calibration_flags(e.select("email_id", "fold"), "email_id", k, seed=seed)
     return {"emails": e.withColumns({cal_flag(t): c for t, c in flags.items()}), "urls": u}
@@ -96,10 +96,10 @@ def fit_agents(t: dict[str, DataFrame], folds: list[int]) -> dict[int, dict]:
     def textual(f: int, vocab: DataFrame) -> SequenceAgent:
         return SequenceAgent().fit(attach_sequences(ef.where(~F.col(cal_flag(f))), vocab))
     with ThreadPoolExecutor(2 * len(folds) + 2) as pool:
-        lexical = pool.submit(fit_folds, t["urls"], LEX_COLS, "fold", folds)
-        sem = {f: pool.submit(semantic, f) for f in folds}
+        lexical = pool.submit(in_this_scope(fit_folds), t["urls"], LEX_COLS, "fold", folds)
+        sem = {f: pool.submit(in_this_scope(semantic), f) for f in folds}
         vocab = fold_vocabularies(t, folds)
-        txt = {f: pool.submit(textual, f, vocab[f]) for f in folds}
+        txt = {f: pool.submit(in_this_scope(textual), f, vocab[f]) for f in folds}
         lex = lexical.result()
         return {f: {"fold": f, "vocab": vocab[f], "lexical": lex[f], "semantic": sem[f].result(), "textual": txt[f].result()}
                 for f in folds}
@@ -159,7 +159,7 @@ def cross_validate(spark: SparkSession, sf_dir: str, k: int = N_FOLDS, seed: int
     # folds are independent groups of jobs; their small jobs fill each other's gaps
     def run(folder: str | None) -> list[dict[str, DataFrame]]:
         with ThreadPoolExecutor(k) as pool:
-            return list(pool.map(lambda m: run_fold(t, m, alpha, weights, folder), models.values()))
+            return list(pool.map(in_this_scope(lambda m: run_fold(t, m, alpha, weights, folder)), models.values()))
     runs: list[dict[str, DataFrame]] = []
     if save_dir:   # all folds are published together
         publish(spark, save_dir, lambda folder: runs.extend(run(folder)))

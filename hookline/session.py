@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 
 from pyspark.sql import SparkSession
 
@@ -65,10 +68,56 @@ def _looks_like_uuid(s: str) -> bool:
         return False
 
 
+class ScratchScope:
+    """Scratch paths handed out while a scope is active; all but the kept ones are dropped at its end."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+        self.kept: set[str] = set()
+
+    def keep(self, path: str) -> None:
+        self.kept.add(path)
+
+
+_scope: ContextVar[ScratchScope | None] = ContextVar("hookline_scratch", default=None)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[ScratchScope]:
+    """Drop the intermediate tables of what runs inside, once its result is written.
+
+    DataFrames built inside read those tables, so consume them before the scope ends. An inner
+    scope leaves what it keeps to the outer one. A pool's threads take part if
+    their calls go through ``in_this_scope``.
+    """
+    scope, outer = ScratchScope(), _scope.get()
+    token = _scope.set(scope)
+    try:
+        yield scope
+    finally:
+        _scope.reset(token)
+        for path in scope.paths:
+            if path in scope.kept:
+                if outer is not None:
+                    outer.paths.append(path)
+            else:
+                drop_path(spark, path)
+
+
+def in_this_scope(fn: Callable) -> Callable:
+    """``fn`` for a pool's threads: its scratch paths belong to the scope that is active here."""
+    here = copy_context()
+    return lambda *a, **k: here.copy().run(fn, *a, **k)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/hookline-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/hookline-{name}-{uuid.uuid4().hex[:12]}"
+    scope = _scope.get()
+    if scope is not None:
+        scope.paths.append(path)
+    return path
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
