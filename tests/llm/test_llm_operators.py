@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -847,5 +848,10 @@ def test_pipeline_stages(spark, docs):
             assert all(brute_secrets(t) for i, t in rows if i not in ids)
         d = kept
     rows = [(r.doc_id, r.text) for r in d.select("doc_id", "text").collect()]
+    from hookline.session import ensure_checkpoint_dir
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
     pieces = cp.run(spark, SF001).collect()
     check_packing(pieces, rows)
+    left = [x for x in os.listdir(folder) if x not in before and not x.startswith(".")]
+    assert len(left) == 1 and left[0].startswith("hookline-pipeline-pack-")
