@@ -20,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from hookline.llm import decontaminate, minhash, packing, secrets, toxicity
-from hookline.llm.common import materialise, table
+from hookline.llm.common import table
+from hookline.session import drop_path, scratch_path, scratch_scope
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +58,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed sequences. Of what the stages write only this result stays: a stage's own tables
+    go when its output is written, its input when the next one's is."""
     docs = table(spark, sf_dir, "documents")
+    read = None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch_scope(spark) as scope:
+            out = stage(spark, docs, sf_dir)
+            path = scratch_path(spark, f"pipeline-{name}")
+            out.write.option("compression", "zstd").parquet(path)
+            scope.keep(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if read is not None:
+            drop_path(spark, read)
+        read = path
     return docs
