@@ -6,7 +6,8 @@ each of TABLES tables. A query visits in each table the PROBES axes nearest to
 it; in every bucket visited the exact distances on the original vectors are
 computed where the bucket lies and only its TOP nearest leave it, so what moves
 grows with the queries, not with queries times bucket sizes. Buckets are split
-into blocks of about BLOCK vectors.
+into blocks of about BLOCK vectors, and the queries that visit one into parts of as many,
+so a group holds a bounded number of both.
 
 Vectors of equal length only lose their length. Others get one more coordinate
 that lifts them to a sphere around the longest, so that Euclidean nearness is
@@ -36,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import materialise, with_columns_of
 
 TABLES, PROBES, TOP, BLOCK = 16, 8, 10, 4096
+#: Bucket numbers are table * WIDTH + axis.
+WIDTH = 1 << 32
 SEED = 1701
 
 
@@ -97,12 +100,12 @@ def _hash(longest: float, lift: bool, blocks: dict[tuple[int, int], int] | None,
                     for j in range(near.shape[1]):
                         b = near[:, j]
                         if blocks is None:
-                            rows.append(np.arange(len(x))), keys.append(t * 65536 + b)
+                            rows.append(np.arange(len(x))), keys.append(t * WIDTH + b)
                             where.append(np.zeros(len(x), np.int64))
                         else:
                             n = np.array([blocks.get((t, int(a)), 0) for a in b])
                             i = np.repeat(np.arange(len(x)), n)
-                            rows.append(i), keys.append((t * 65536 + b)[i])
+                            rows.append(i), keys.append((t * WIDTH + b)[i])
                             where.append(np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n))
                 rows = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays(
@@ -174,19 +177,23 @@ def _search_size(vectors: DataFrame, queries: DataFrame, top: int, probes: int)
     longest, lift = lengths["b"], lengths["b"] > lengths["a"] * 1.001
     index = materialise(entries.mapInArrow(_hash(longest, lift, None, 1, TABLES), _ROWS), "ann-index")
     # at most TABLES * 2 * dimensions buckets
-    sizes = {(r["bucket"] // 65536, r["bucket"] % 65536): -(-r["count"] // BLOCK)
-             for r in index.groupBy("bucket").count().collect()}
-    many = F.create_map(*[F.lit(x) for (t, b), n in sizes.items() if n > 1 for x in (t * 65536 + b, n)]) if any(
-        n > 1 for n in sizes.values()) else None
-    blocks = F.lit(1) if many is None else F.coalesce(many[F.col("bucket")], F.lit(1))
-    index = index.withColumn("block", F.pmod(F.xxhash64("id", "bucket"), blocks).cast("long"))
+    counts = {r["bucket"]: r["count"] for r in index.groupBy("bucket").count().collect()}
+    sizes = {(b // WIDTH, b % WIDTH): -(-n // BLOCK) for b, n in counts.items()}
     q = queries.select("id", "v").distinct().withColumn("ids", F.array("id")).select("id", "ids", "v")
     q = materialise(q, "ann-queries")
 
     def visit(q, probes, tables):
         rows = q.mapInArrow(_hash(longest, lift, sizes, probes, tables), _ROWS).withColumn("query", F.lit(True))
-        data = index if tables == TABLES else index.where(F.col("bucket") < tables * 65536)
-        found = data.withColumn("query", F.lit(False)).unionByName(rows).groupBy("bucket", "block").applyInArrow(
+        visits = rows.where("block = 0").groupBy("bucket").agg(F.count("*").alias("queries"))
+        # one row a bucket: blocks of its vectors and parts of its queries
+        split = q.sparkSession.createDataFrame(list(counts.items()), "bucket long, vectors long").join(visits, "bucket").select(
+            "bucket", F.ceil(F.col("vectors") / BLOCK).alias("blocks"), F.ceil(F.col("queries") / BLOCK).alias("parts"))
+        split = F.broadcast(materialise(split, "ann-split"))
+        rows = rows.join(split, "bucket").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+        data = index.join(split, "bucket").withColumn("query", F.lit(False)).withColumn(
+            "block", F.pmod(F.xxhash64("id", "bucket"), F.col("blocks")).cast("long")).withColumn(
+            "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        found = data.unionByName(rows).groupBy("bucket", "block", "part").applyInArrow(
             _nearest(top), "query_id long, vec_id long, score double")
         found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
         order = Window.partitionBy("query_id").orderBy("score", "vec_id")

@@ -632,6 +632,29 @@ def test_neighbours_odd_rows(spark):
     assert neighbours.op7(d.limit(0)).count() == 0
 
 
+def test_neighbours_in_split_buckets(spark, monkeypatch):
+    """Blocks of vectors and parts of queries change nothing of the result."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(400, 6)) + np.array([5, 0, 0, 0, 0, 0])   # most fall into a few buckets
+    x = spark.createDataFrame([(i, r) for i, r in enumerate(v.tolist())], "id long, v array<double>")
+    found = []
+    for size in (4096, 16):
+        monkeypatch.setattr(neighbours, "BLOCK", size)
+        found.append(sorted(tuple(r) for r in neighbours.search(x, x.where("id % 4 = 0"), 5).collect()))
+    assert found[0] == found[1] and len(found[0]) == 500
+
+
+def test_neighbours_of_very_wide_vectors(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(24, 40_000))
+    rows = [(i, r) for i, r in enumerate(v.tolist())]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in neighbours.op7(d).orderBy("rank").collect()]
+    want = brute_neighbours(rows, 0)
+    assert [i for i, _ in got] == [i for _, i in want]
+    assert all(s == pytest.approx(d) for (_, s), (d, _) in zip(got, want))
+
+
 def test_neighbours_of_every_vector_size(spark):
     rng = np.random.default_rng(11)
     rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(301, 8)))]
