@@ -16,7 +16,9 @@ small-star.
    components are completed: outsiders meet all members in blocks of bounded
    size. What a pair can share is bounded by what each shares with the leader
    plus the common rest, so only pairs that may reach the similarity and join
-   two components leave a block; none of those is left out.
+   two components leave a block; none of those is left out. Clusters of more than
+   PREFIX_FROM members meet by their rarest shingles instead, with the same result, so
+   many texts that share no more than a passage cost rows in proportion.
 5. Components are labelled by large-star / small-star on written edge tables.
 
 Rows: a null or blank text has an empty set and links with nothing. Repeated
@@ -40,6 +42,8 @@ from .common import (ROW, ascii_lower, join_skewed, materialise, mix, numbered,
 
 N_MINIMA, ROWS_PER_BAND = 128, 4
 BLOCK = 256
+#: Clusters of more members are searched by prefixes instead of block against block; the result is the same.
+PREFIX_FROM = 1024
 #: Signatures whose estimate falls this far below the threshold are not verified
 #: (over six standard deviations at 128 minima and similarity 0.8).
 MARGIN = 0.22
@@ -245,7 +249,9 @@ def _block_pairs(percent: int):
         x, y = np.nonzero((most * 100 >= union * percent) & (root[l][:, None] != root[r][None, :]))
         x, y = l[x], r[y]
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), -1)
-        near = np.array([(sig[i] == sig[j]).sum() >= min_same for i, j in zip(x, y)], bool)
+        near = np.zeros(len(x), bool)
+        for c in range(0, len(x), 4096):
+            near[c:c + 4096] = (sig[x[c:c + 4096]] == sig[y[c:c + 4096]]).sum(1) >= min_same
         a, b = rid[x[near]], rid[y[near]]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
     return run
@@ -268,7 +274,9 @@ def _cross_candidates(members: DataFrame, comp: DataFrame, sketch: DataFrame, se
     mixed = m.groupBy("leader").agg(
         F.count("*").alias("n"), F.sum(F.col("out").cast("long")).alias("n_out")).where(
         "n_out > 0 and n > 1")
-    m = join_skewed(m, mixed, "leader", "n", max(1, m.count()), "rid", "inner")
+    m = materialise(join_skewed(m, mixed, "leader", "n", max(1, m.count()), "rid", "inner"), "near-mixed")
+    large = _prefix_pairs(m.where(F.col("n") > PREFIX_FROM), sets, percent)
+    m = m.where(F.col("n") <= PREFIX_FROM)
     m = m.join(sketch.select("rid", "sig", "n_shingles"), "rid").join(sets, "rid").join(
         sets.select(F.col("rid").alias("leader"), F.col("shingles").alias("lead_set")), "leader")
     m = materialise(m.select("leader", "rid", "root", "out", "n", "n_out", "n_shingles", "sig",
@@ -283,8 +291,40 @@ def _cross_candidates(members: DataFrame, comp: DataFrame, sketch: DataFrame, se
     right = m.select(*cols, F.lit(False).alias("out"),
                      F.explode(F.sequence(F.lit(0), n_left - 1)).alias("i"),
                      F.pmod(h, n_right).cast("int").alias("j"))
-    return left.unionByName(right).groupBy("leader", "i", "j").applyInPandas(
-        _block_pairs(percent), "a long, b long").distinct()
+    small = left.unionByName(right).groupBy("leader", "i", "j").applyInPandas(_block_pairs(percent), "a long, b long")
+    return small.unionByName(large).distinct()
+
+
+def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) between components within large clusters, by their rarest shingles.
+
+    With a cluster's shingles ordered from rare to common, two sets of s and t >= s shingles
+    whose similarity reaches p share one of the first s - ceil(2p s / (1 + p)) + 1 of the smaller and
+    the first t - ceil(p t) + 1 of the larger. What all members share (a common passage) comes last
+    in that order, and shingles of one member alone match nothing, so unrelated members meet nowhere:
+    rows grow with the members, not with their pairs.
+    """
+    m = members.join(sets, "rid").select("leader", "rid", "root", "out", F.size("shingles").cast("long").alias("s"), "shingles")
+    tokens = materialise(m.select("leader", "rid", F.explode("shingles").alias("t")).withColumn(
+        "hk", F.xxhash64("leader", "t")), "near-tokens")
+    freq = tokens.groupBy("hk").agg(F.count("*").alias("f")).where("f > 1")
+    common = join_skewed(tokens, freq, "hk", "f", max(1, tokens.count()), "rid", "inner")
+    # a set's shingles that others hold, rarest first; those of its own come before them
+    order = common.groupBy("leader", "rid").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("o"))
+    x = m.drop("shingles").join(order, ["leader", "rid"])
+    own = F.col("s") - F.size("o")
+    probe = F.col("s") - F.floor((percent * F.col("s") + 99) / 100) + 1
+    index = F.col("s") - F.floor((2 * percent * F.col("s") + 99 + percent) / (100 + percent)) + 1
+    rows = materialise(x.select("leader", "rid", "root", "out", "s", own.alias("own"), index.alias("index"), F.posexplode(
+        F.slice("o", F.lit(1), F.greatest(F.lit(0), probe - own).cast("int"))).alias("at", "x")).select(
+        "leader", "rid", "root", "out", "s", F.col("x.t").alias("t"),
+        (F.col("own") + F.col("at") < F.col("index")).alias("indexed")), "near-prefixes")
+    a, b = rows.where("indexed").alias("a"), rows.alias("b")
+    pairs = a.join(b, (F.col("a.leader") == F.col("b.leader")) & (F.col("a.t") == F.col("b.t"))
+                   & ((F.col("a.s") < F.col("b.s")) | ((F.col("a.s") == F.col("b.s")) & (F.col("a.rid") < F.col("b.rid"))))
+                   & (F.col("a.s") * 100 >= F.col("b.s") * percent) & (F.col("a.root") != F.col("b.root"))
+                   & (F.col("a.out") | F.col("b.out")))
+    return pairs.select(F.least("a.rid", "b.rid").alias("a"), F.greatest("a.rid", "b.rid").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, row: str | None = None
