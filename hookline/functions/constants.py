@@ -59,7 +59,7 @@ TFIDF_MAX_TERMS = 8000
 LR_C = 1.0
 LR_MAX_ITER = 1000
 
-# Actions of the three-tier policy and the two-threshold demo policy.
+# ---- fixed values: enforcement text of each action of the three-tier policy ----
 ACTIONS = {
     "BLOCK": "quarantine_via_simulated_southbound_API",
     "MONITOR": "mirror_to_analysis_vlan_tag_for_review",

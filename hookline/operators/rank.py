@@ -49,7 +49,7 @@ def prefix_sums(df: DataFrame, group: list[str], bucket: Column, order: list[Col
         *group, "_b",
         *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in names],
         *([F.sum(f"_s_{n}").over(whole).alias(f"total_{n}") for n in names] if totals else []))
-    if max_groups is not None and max_groups <= 64:
+    if max_groups is not None and max_groups <= 16:   # at most 16 x MAX_BUCKETS short rows
         d = d.join(F.broadcast(offsets), [*group, "_b"], "inner")
     else:
         d = join_bounded(d, offsets, [*group, "_b"], how="inner", max_rows=4 * MAX_BUCKETS)

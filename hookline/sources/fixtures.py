@@ -90,11 +90,6 @@ def write_url_file(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-def write_lines(df: DataFrame, path: str) -> str:
-    df.write.mode("overwrite").text(path)
-    return path
-
-
 def write_ragged_file(spark: SparkSession, sf_dir: str) -> str:
     """Header ``a,b,c``; each page gives one line with 3, 2, 4 or 5 fields, or extra fields that are empty."""
     path = scratch_path(spark, "ragged")
@@ -109,11 +104,10 @@ def write_ragged_file(spark: SparkSession, sf_dir: str) -> str:
              .when(page_kind == 0, F.concat(i, F.lit(",x,y,")))
              .when(page_kind == 1, F.concat(i, F.lit(",x,y,,")))
              .otherwise(F.concat(i, F.lit(",x,y,,w"))))
-    head = spark.createDataFrame([("a,b,c",)], "value string")
-    # the header must be the first line of the (single) file
-    lines = head.select(F.lit(0).alias("o"), "value").unionByName(
-        pages.select(F.lit(1).alias("o"), line.alias("value")))
-    write_lines(lines.coalesce(1).sortWithinPartitions("o").select("value"), path)
+    # one text column whose name is the header line, written as it stands: every part file begins with it
+    plain = {"header": "true", "sep": "\u0001", "quote": "\u0000", "escapeQuotes": "false", "emptyValue": "",
+             "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    pages.select(line.alias("a,b,c")).write.mode("overwrite").options(**plain).csv(path)
     return path
 
 
