@@ -263,14 +263,15 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     d = with_columns_of(docs, {"doc_id": "long", "text": "string"})
     pieces = materialise(d.mapInArrow(
         _pieces(tokenizer or default_tokenizer(), capacity, separator),
-        "doc_id long, piece int, start long, length long, ids_crc32 long"), "pack-pieces")
+        "doc_id long, piece int, start long, length long, ids_crc32 long").withColumn(
+        "n", F.monotonically_increasing_id()), "pack-pieces")  # repeated rows must not rank as one group
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     runs = runs_of(solve(histogram, capacity))
-    p = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)))
+    p = pieces.withColumn("bucket", F.pmod(F.xxhash64("n"), F.lit(BUCKETS)))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = p.groupBy("length", "bucket").agg(F.count("*").alias("n"))  # at most capacity * BUCKETS rows
-    counts = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
+    counts = p.groupBy("length", "bucket").agg(F.count("*").alias("rows"))  # at most capacity * BUCKETS rows
+    counts = counts.select("length", "bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("length", "bucket").orderBy("n")
     p = p.withColumn("rank", F.row_number().over(inside) - 1).join(counts, ["length", "bucket"])
     return p.withColumn("rank", F.col("rank") + F.col("before")).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(
