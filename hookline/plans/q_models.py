@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import V0_MIRROR, V0_QUARANTINE
 from ..functions.text import clean_tokens, with_bigrams, word_tokens
-from ..functions.urls import FEATURES_5_V0, FEATURES_54
-from ..operators.email_urls import agg_names, email_url_features_inrow
+from ..functions.urls import FEATURES_5_V0, FEATURES_5_V2, FEATURES_54
+from ..operators.email_urls import agg_names, email_url_features_inrow, score_with_prior
 from ..operators.models import EmbeddingAgent, LinearAgent, SequenceAgent, StackedAgent, TfidfAgent, scaler_table
 from ..operators.newton import NewtonAgent
 from ..operators.policy import policy_v0
@@ -71,6 +71,16 @@ def ml_lexical_feature_table(spark, sf_dir):
     return agent.score(ft, "p_lexical")
 
 
+@register("ml_lexical_table_score")
+def ml_lexical_table_score(spark, sf_dir):
+    """Mail scored by the model of the pre-computed table: its 10-wide URL vector is cut or filled up
+    to that model's width, an email without URLs gets the prior 0.5."""
+    ft = C.load_feature_table(spark, X.write_feature_table(spark, sf_dir))
+    agent = NewtonAgent([c for c in ft.columns if c != "y"]).fit(ft)
+    feats = email_url_features_inrow(mail(spark, sf_dir), FEATURES_5_V2)
+    return score_with_prior(agent, feats, agg_names(FEATURES_5_V2)).select("email_id", "y", "n_urls", "p_lexical")
+
+
 def _terms(spark, sf_dir):
     return doc_terms(emails(spark, sf_dir), "email_id", "raw_text", "y")
 

@@ -100,3 +100,25 @@ def test_one_pass_gives_every_folds_vocabulary(spark):
     for t in range(1, 5):
         want = vocab_ids(top_vocab(token_freq(df.where(~outside[t]), "email_id")))
         assert sorted(fold_vocab(freq, t).collect()) == sorted(want.collect())
+
+
+def test_mail_is_scored_by_the_model_of_the_feature_table(spark):
+    """The query's scores are the fitted model's on the vector brought to its width; no URL gives the prior."""
+    import __spark_entry__ as entry
+    from hookline.functions.urls import FEATURES_5_V2
+    from hookline.operators.email_urls import agg_names, email_url_features_inrow
+    from hookline.sources import csv as C
+    from hookline.sources import fixtures as X
+    from hookline.sources.tables import mail
+    sf = "/root/testdata/sf0.001"
+    got = {r["email_id"]: r for r in entry.queries()["ml_lexical_table_score"](spark, sf).collect()}
+    ft = C.load_feature_table(spark, X.write_feature_table(spark, sf))
+    agent = NewtonAgent([c for c in ft.columns if c != "y"]).fit(ft)
+    names = agg_names(FEATURES_5_V2)
+    rows = email_url_features_inrow(mail(spark, sf), FEATURES_5_V2).collect()
+    assert len(rows) == len(got) and {r["n_urls"] > 0 for r in rows} == {True, False}
+    for r in rows:
+        v = [r[n] for n in names][:len(agent.cols)] + [0.0] * (len(agent.cols) - len(names))
+        z = agent.intercept + sum(w * (x - agent.stats[c][0]) / (agent.stats[c][1] or 1.0) for w, x, c in zip(agent.weights, v, agent.cols))
+        want = 1 / (1 + np.exp(-z)) if r["n_urls"] else 0.5
+        assert got[r["email_id"]]["p_lexical"] == pytest.approx(want, abs=1e-9)
