@@ -88,8 +88,8 @@ def cuts_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chunks():
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int32()), ("place", pa.int32()), ("start", pa.int64()),
-                        ("end", pa.int64()), ("bytes", pa.int32()), ("d1", pa.int64()), ("d2", pa.int32())])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int32()), ("place", pa.int32()), ("span", pa.int64()),
+                        ("d1", pa.int64()), ("d2", pa.int32())])
 
     def run(batches):
         for batch in batches:
@@ -108,8 +108,10 @@ def _chunks():
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("row").take(take), part.column("doc_id").take(take),
-                     part.column("text_hash").take(take), pa.array((np.arange(len(ends)) - first).astype(np.int32)), pa.array(points[start] - base),
-                     pa.array(points[ends] - base), pa.array((ends - start).astype(np.int32)), pa.array(d[:, 0]),
+                     part.column("text_hash").take(take), pa.array((np.arange(len(ends)) - first).astype(np.int32)),
+                     # where it starts, its code points and its bytes in one number: what moves is rows of few longs
+                     pa.array(((points[start] - base) << 16) + ((points[ends] - points[start]) << 8) + (ends - start)),
+                     pa.array(d[:, 0]),
                      pa.array(d[:, 1].astype(np.int32))], schema=schema)
     return run
 
@@ -120,7 +122,7 @@ def repeated_runs(docs: DataFrame, row: str | None = None, min_run: int = MIN_RU
     d = with_columns_of(docs, {"doc_id": "long", "text": "string"} | ({row: "long"} if row else {}))
     d = d.withColumnRenamed(row, "row") if row else d.withColumn("row", F.monotonically_increasing_id())
     chunks = materialise(d.withColumn("text_hash", F.hash("text")).mapInArrow(
-        _chunks(), "row long, doc_id long, text_hash int, place int, start long, end long, bytes int, d1 long, d2 int"),
+        _chunks(), "row long, doc_id long, text_hash int, place int, span long, d1 long, d2 int"),
         "cdc-chunks")
     # first: the smallest (doc_id, text hash, row); it stays
     first = F.min(F.struct("doc_id", "text_hash", "row"))
@@ -138,9 +140,10 @@ def repeated_runs(docs: DataFrame, row: str | None = None, min_run: int = MIN_RU
     turn = (F.lag("first_row").over(before) != F.col("first_row")).cast("int")
     hit = hit.withColumn("turn", F.coalesce(turn, F.lit(0)))
     hit = hit.withColumn("stretch", F.sum("turn").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    start, chars = F.shiftright("span", 16), F.shiftright("span", 8).bitwiseAND(255)
     runs = hit.groupBy("row", "is_first", "run", "stretch").agg(
-        F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"),
-        F.sum("bytes").alias("bytes"), F.count("*").alias("chunks"), F.first("first_doc_id").alias("first_doc_id"))
+        F.min("doc_id").alias("doc_id"), F.min(start).alias("start"), F.max(start + chars).alias("end"),
+        F.sum(F.col("span").bitwiseAND(255)).alias("bytes"), F.count("*").alias("chunks"), F.first("first_doc_id").alias("first_doc_id"))
     whole = Window.partitionBy("row", "is_first", "run")
     runs = runs.withColumn("whole", F.sum("bytes").over(whole)).where(F.col("whole") >= min_run)
     return runs.select("row", "doc_id", "start", "end", "bytes", "chunks", "first_doc_id", "is_first")
