@@ -73,35 +73,6 @@ def test_minhash_equals_brute_force(spark, docs, odd):
     assert collections.Counter(got) == collections.Counter(want)
 
 
-def test_minhash_clusters_by_prefixes(spark, docs, monkeypatch):
-    """Large clusters give the components of the plain search."""
-    monkeypatch.setattr(minhash, "PREFIX_FROM", 0)
-    for d in (docs, odd_documents(spark)):
-        got = [(r.doc_id, r.n_shingles, r.component_id) for r in minhash.op9(d).collect()]
-        want = brute_components([(r.doc_id, r.text) for r in d.select("doc_id", "text").collect()], 2)
-        assert collections.Counter(got) == collections.Counter(want)
-
-
-def test_prefix_pairs_find_all_and_spare_what_only_shares_a_passage(spark):
-    """All similar pairs of different components come; texts that share only a boilerplate do not meet."""
-    rng = random.Random(6)
-    common = list(range(10_000, 10_040))
-    sets, root = {}, {}
-    for i in range(300):
-        sets[i] = set(common) | {i * 100 + j for j in range(20)}   # two thirds boilerplate
-        root[i] = i
-    for i in range(300, 360):   # near copies of the first ones, of other sizes
-        base = sorted(sets[i - 300])
-        sets[i] = set(rng.sample(base, len(base) - rng.randrange(6))) | {900_000 + i * 10 + j for j in range(rng.randrange(6))}
-        root[i] = i
-    s = spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "rid long, shingles array<long>")
-    m = spark.createDataFrame([(0, i, root[i], True, len(sets), len(sets)) for i in sets],
-                              "leader long, rid long, root long, out boolean, n long, n_out long")
-    got = {(r.a, r.b) for r in minhash._prefix_pairs(m, s, 80).collect()}
-    want = {(i, j) for j in sets for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
-    assert want and want <= got and len(got) < 4 * len(sets)
-
-
 def test_minhash_hub_and_rim(spark):
     """Copies of a text that are near it but not near each other are one component; outsiders stay out."""
     rng = random.Random(4)
