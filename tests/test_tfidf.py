@@ -6,7 +6,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from hookline.functions.text import with_bigrams, word_tokens
 from hookline.operators import heavy
 from hookline.operators.tfidf import corpus_terms, tfidf_long, top_terms, with_idf
 
@@ -106,3 +108,14 @@ def test_too_many_candidates_fall_back_to_the_full_count(spark, monkeypatch):
     got = [tuple(r) for r in heavy.top_counts(d, "t", 5, capacity=30).collect()]
     assert called and sorted(got) == sorted((f"w{i}", 50, 50) for i in range(49, 100))[:5]
     assert heavy.top_counts(d.where("false"), "t", 5).count() == 0
+
+
+def test_bigrams_do_not_tokenise_again_for_every_pair(spark):
+    texts = [None, "", "one", "pay, now! Pay. now?"]
+    d = spark.createDataFrame(list(enumerate(texts)), "email_id long, raw_text string")
+    made = d.select("email_id", with_bigrams(word_tokens(F.col("raw_text"))).alias("terms"))
+    got = {r["email_id"]: r["terms"] for r in made.collect()}
+    assert got == {i: None if t is None else terms_of(t) for i, t in enumerate(texts)}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction(" in plan
+    assert all("regexp_extract_all" not in body.split(", lambda ")[0] for body in plan.split("lambdafunction(")[1:])
