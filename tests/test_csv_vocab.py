@@ -99,3 +99,13 @@ def test_headers_by_a_spark_scan_equal_those_read_by_tasks(spark, tmp_path, monk
     monkeypatch.setattr(C, "_first_line", lambda batches: (pa.RecordBatch.from_arrays(
         [b.column("uri"), pa.nulls(b.num_rows, pa.string())], ["uri", "line"]) for b in batches))
     assert C.headers_of(spark, uris) == by_task == {uris[0]: ("x", "y z")}
+
+
+def test_only_the_head_of_a_row_reaches_python(spark):
+    from hookline.operators.vocab import attach_sequences
+    vocab = spark.createDataFrame([("known", 5, 2)], "token string, freq long, token_id int")
+    rows = spark.createDataFrame([(1, None, "kept"), (2, ["zzz"] + ["known"] * 999, None)], "doc_id long, tokens array<string>, other string")
+    got = attach_sequences(rows, vocab, length=3)
+    assert [tuple(r) for r in got.orderBy("doc_id").collect()] == [(1, None, "kept", [0, 0, 0]), (2, ["zzz"] + ["known"] * 999, None, [1, 2, 2])]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "slice(tokens" in plan.split("ArrowEvalPython")[1].split("\n")[0]
