@@ -27,6 +27,8 @@ from ..session import drop_path, scratch_path
 HELD_PER_TERM = 8
 #: Candidates that are counted exactly go to every task.
 MAX_CANDIDATES = 1_000_000
+#: Tokens of a document that reach a Python worker in one row; a batch of rows is bounded by it.
+PIECE_TOKENS = 256
 #: Tokens that a task handles at a time.
 SLICE_TOKENS = 1 << 20
 
@@ -49,14 +51,34 @@ def with_pairs(flat: pa.Array, row: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return pa.concat_arrays([flat, pairs]), np.concatenate([row, row[inside]])
 
 
-def _summaries(col: str, pairs: bool, capacity: int):
-    """Token arrays -> (term, n) held at the task's end, and (null, error)."""
+def _pieces(rows: DataFrame, col: str) -> DataFrame:
+    """``(doc, n, tokens)``: every token array cut after each ``PIECE_TOKENS`` tokens, a document's pieces
+    one after the other. A piece has the next one's first token behind its own ``n``, for the pair across the cut."""
+    docs = rows.select(F.monotonically_increasing_id().alias("doc"), F.col(col).alias("_t")).where(F.size("_t") > 0)
+    cut = docs.select("doc", "_t", F.explode(F.sequence(F.lit(0), F.size("_t") - 1, F.lit(PIECE_TOKENS))).alias("_at"))
+    own = F.least(F.size("_t") - F.col("_at"), F.lit(PIECE_TOKENS))
+    return cut.select("doc", own.alias("n"), F.slice("_t", F.col("_at") + 1, F.lit(PIECE_TOKENS + 1)).alias("tokens"))
+
+
+def piece_terms(batch: pa.RecordBatch, pairs: bool) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(terms, the document of each) of bounded slices of ``_pieces``: own tokens and, if asked, the pairs they begin."""
+    doc, n = batch.column("doc").to_numpy(), batch.column("n").to_numpy()
+    for at, to, flat, row in token_pieces(batch, "tokens"):
+        first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        own = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row)))) < n[row]
+        terms, of = flat.filter(pa.array(own)), row[own]
+        if pairs:
+            both, rows = with_pairs(flat, row)
+            terms, of = pa.concat_arrays([terms, both.slice(len(flat))]), np.concatenate([of, rows[len(flat):]])
+        yield terms, doc[of]
+
+
+def _summaries(pairs: bool, capacity: int):
+    """Pieces -> (term, n) held at the task's end, and (null, error)."""
     def run(batches):
         terms, counts, error = pa.array([], pa.string()), np.zeros(0, np.int64), 0
         for batch in batches:
-            for _, _, flat, row in token_pieces(batch, col):
-                if pairs:
-                    flat, _ = with_pairs(flat, row)
+            for flat, _ in piece_terms(batch, pairs):
                 new = pc.value_counts(flat)
                 t = pa.table({"t": pa.concat_arrays([terms, new.field("values")]),
                               "n": pa.concat_arrays([pa.array(counts), new.field("counts")])}).group_by("t").aggregate([("n", "sum")])
@@ -70,18 +92,25 @@ def _summaries(col: str, pairs: bool, capacity: int):
     return run
 
 
-def _exact(col: str, pairs: bool, wanted: pa.Array):
-    """Token arrays -> (place among the wanted, occurrences, documents), summed over the task."""
+def _exact(pairs: bool, wanted: pa.Array):
+    """Pieces -> (place among the wanted, occurrences, documents), summed over the task."""
     def run(batches):
         n, df = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int64)
+        open_, seen = -1, np.zeros(0, np.int64)   # the last document read, which may go on, and its terms so far
         for batch in batches:
-            for at, _, flat, row in token_pieces(batch, col):
-                if pairs:
-                    flat, row = with_pairs(flat, row)
+            for flat, doc in piece_terms(batch, pairs):
                 ids = pc.index_in(flat, value_set=wanted).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-                row, ids = row[ids >= 0] - at, ids[ids >= 0]
+                docs, row = np.unique(doc, return_inverse=True)
+                row, ids = row[ids >= 0], ids[ids >= 0]
                 n += np.bincount(ids, minlength=len(wanted))
-                df += np.bincount(np.unique(row * len(wanted) + ids) % len(wanted), minlength=len(wanted))
+                once = np.unique(row * np.int64(len(wanted)) + ids)
+                row, ids = once // max(len(wanted), 1), once % max(len(wanted), 1)
+                df += np.bincount(ids, minlength=len(wanted))
+                if docs[0] == open_:   # terms that its earlier pieces had are counted already
+                    df[np.intersect1d(ids[row == 0], seen)] -= 1
+                last = ids[row == len(docs) - 1]
+                seen = np.union1d(seen, last) if docs[-1] == open_ else last
+                open_ = docs[-1]
         use = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(use), pa.array(n[use]), pa.array(df[use])], ["place", "n", "df"])
     return run
@@ -112,7 +141,7 @@ def top_counts(rows: DataFrame, col: str, k: int, pairs: bool = False, capacity:
     """
     spark = rows.sparkSession
     capacity = capacity or HELD_PER_TERM * k
-    summed = rows.select(col).mapInArrow(_summaries(col, pairs, capacity), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    summed = _pieces(rows, col).mapInArrow(_summaries(pairs, capacity), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     order = [F.col("n").desc(), F.col("term")]
     path = scratch_path(spark, "heavy")
     try:
@@ -131,7 +160,7 @@ def top_counts(rows: DataFrame, col: str, k: int, pairs: bool = False, capacity:
     if wanted is None or len(wanted) > MAX_CANDIDATES:
         return full_count(rows, col, pairs).orderBy(*order).limit(k)
     wanted = sorted(wanted)
-    counted = rows.select(col).mapInArrow(_exact(col, pairs, pa.array(wanted, pa.string())), "place long, n long, df long") \
+    counted = _pieces(rows, col).mapInArrow(_exact(pairs, pa.array(wanted, pa.string())), "place long, n long, df long") \
                   .groupBy("place").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
     names = spark.createDataFrame(list(enumerate(wanted)), "place long, term string")   # bounded by MAX_CANDIDATES
     return counted.join(F.broadcast(names), "place").select("term", "n", "df").orderBy(*order).limit(k)

@@ -119,3 +119,15 @@ def test_bigrams_do_not_tokenise_again_for_every_pair(spark):
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "lambdafunction(" in plan
     assert all("regexp_extract_all" not in body.split(", lambda ")[0] for body in plan.split("lambdafunction(")[1:])
+
+
+@pytest.mark.parametrize("pairs", [False, True])
+def test_top_counts_cut_long_documents(spark, monkeypatch, pairs):
+    texts = corpus(20) + [" ".join(["pay now bank"] * 40), "pay " * 50]
+    d = spark.createDataFrame([(re.findall(r"\w{2,}", (t or "").lower()) if t is not None else None,) for t in texts], "t array<string>")
+    n, df = (collections.Counter({t: c for t, c in x.items() if pairs or " " not in t}) for x in expected(texts))
+    monkeypatch.setattr(heavy, "PIECE_TOKENS", 3)
+    monkeypatch.setattr(heavy, "SLICE_TOKENS", 7)
+    assert max(len(r["tokens"]) for r in heavy._pieces(d, "t").collect()) == 4
+    got = [tuple(r) for r in heavy.top_counts(d, "t", 9, pairs).collect()]
+    assert got == [(t, n[t], df[t]) for t in sorted(n, key=lambda t: (-n[t], t))[:9]]
