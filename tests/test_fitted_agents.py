@@ -194,3 +194,19 @@ def test_sequence_agent_fits_on_a_bounded_choice_of_rows(spark):
     few = pick(1, 500)
     assert 400 < len(few) < 600 and few == pick(5, 500)
     assert pick(2, 3000) == list(range(3000))
+
+
+def test_sequence_agent_trains_a_bounded_number_of_rows_a_task(spark, tmp_path):
+    a = SequenceAgent()
+    assert [a._partitions(n) for n in (0, 400, 4 * a.task_rows)] == [a.partitions] * 3
+    for n in (100_000, 200_000, 1_200_000):
+        assert min(n, a.max_rows) / a._partitions(n) <= a.task_rows
+    assert a._partitions(1_200_000) == a._partitions(a.max_rows)
+    d = _ids(spark, 120)
+    small = SequenceAgent(dim=8, hidden=4, partitions=2, task_rows=20).fit(d.repartition(3))
+    w2v, _ = small.model.stages
+    assert w2v.getNumPartitions() == 6
+    assert all(0 <= r.p <= 1 for r in small.score(d, "p").collect())
+    small.save(str(tmp_path / "m"))
+    again = SequenceAgent.load(spark, str(tmp_path / "m")).score(d, "p").collect()
+    assert {r.email_id: r.p for r in again} == {r.email_id: r.p for r in small.score(d, "p").collect()}
