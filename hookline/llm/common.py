@@ -52,7 +52,8 @@ def join_skewed(big: DataFrame, small: DataFrame, key: str, count: str, total: i
 
     Keys above ``total / HOT_SHARE`` rows are broadcast (fewer than HOT_SHARE of
     them) and their rows are dealt out by ``spread`` instead of the key; all
-    other keys are small and take the ordinary shuffle join.
+    other keys are small and take the ordinary shuffle join. Both are dealt by a
+    hash, as a key may be of any type, and the keys themselves are compared beside it.
     """
     values = [c for c in small.columns if c != key]
     is_hot = F.col(count) * HOT_SHARE > F.lit(total)
@@ -60,9 +61,9 @@ def join_skewed(big: DataFrame, small: DataFrame, key: str, count: str, total: i
                                      F.struct(*values).alias("_hot"))
     cold = small.where(~is_hot).select(F.col(key).alias("_ck"), F.struct(*values).alias("_cold"))
     x = big.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
-    x = x.withColumn("_sk", F.when(F.col("_hk").isNull(), F.col(key))
+    x = x.withColumn("_sh", F.when(F.col("_hk").isNull(), F.xxhash64(key))
                      .otherwise(F.xxhash64(F.col(spread))))
-    x = x.join(cold, (F.col("_sk") == F.col("_ck")) & F.col("_hk").isNull(), "left")
+    x = x.join(cold, (F.col("_sh") == F.xxhash64("_ck")) & (F.col(key) == F.col("_ck")) & F.col("_hk").isNull(), "left")
     got = F.coalesce("_hot", "_cold")
     out = x.select(*[F.col(f"`{c}`") for c in big.columns],
                    *[got[v].alias(v) for v in values], got.isNotNull().alias("_got"))

@@ -12,8 +12,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from hookline.llm import (decontaminate, html_text, minhash, neighbours, packing, pii, secrets, substring,
+from hookline.llm import (common, decontaminate, html_text, minhash, neighbours, packing, pii, secrets, substring,
                           toxicity, warc)
 from hookline.llm.common import table
 SF001 = "/root/testdata/sf0.001"
@@ -826,6 +827,33 @@ def test_site_frame_is_removed_by_its_entropy(spark):
     assert html_text.op2(d.limit(0)).count() == 0
 
 
+def test_frame_of_a_host_with_a_small_share_of_the_pages(spark, monkeypatch):
+    """A host's name is text, and only a host with over 1/1000 of the rows is broadcast."""
+    rng = random.Random(4)
+    monkeypatch.setattr(common, "HOT_SHARE", 2)   # the larger host is hot, the others are not
+    own = [prose(rng, 30) for _ in range(90)]
+    host = ["large.org"] * 60 + ["small.org"] * 20 + ["other.org"] * 10
+    rows = [(i, f"http://{h}/{i}", f"<body><div class=x1><p>Welcome to {h}</p></div><div class=x2><p>{own[i]}</p></div></body>")
+            for i, h in enumerate(host)]
+    rows.append((90, None, None))
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.op2(d).collect()} == dict(enumerate([*own, ""]))
+
+
+@pytest.mark.parametrize("kind", ["string", "long", "date"])
+def test_skewed_join_on_keys_of_any_type(spark, kind):
+    n = 4000   # two keys above 1/1000 of the rows, many below, a null one and one that the other side lacks
+    key = F.when(F.col("id") < 2000, 10).when(F.col("id") < 3900, 11).when(F.col("id") < 3990, F.col("id") % 40 + 12).when(
+        F.col("id") < 3995, 99)
+    typed = {"string": F.concat(F.lit("k"), key.cast("string")), "long": key.cast("long"), "date": F.date_add(F.lit("2020-01-01"), key.cast("int"))}[kind]
+    big = spark.range(n).select("id", typed.alias("k"))
+    small = big.where("id < 3990").groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    for how in ("left", "inner"):
+        want = sorted(map(tuple, big.join(small, "k", how).select("id", "k", "n", "top").collect()))
+        got = common.join_skewed(big, small, "k", "n", n, "id", how)
+        assert sorted(map(tuple, got.collect())) == want and got.columns == ["id", "k", "n", "top"]
+
+
 def test_near_copies_of_a_page_keep_their_text(spark):
     rng = random.Random(9)
 
