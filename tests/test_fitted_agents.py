@@ -1,6 +1,7 @@
 """Fitted agents: partition-independent fits, missing embeddings, reload, stateless scoring of raw mail."""
 
 import json
+from dataclasses import dataclass
 
 import pytest
 
@@ -196,6 +197,43 @@ def test_sequence_agent_fits_on_a_bounded_choice_of_rows(spark):
     assert pick(2, 3000) == list(range(3000))
 
 
+def _spying_agent(seen):
+    """A small agent that would train on 10 rows if a query left the choice to it; notes (rows given, rows trained on)."""
+    @dataclass
+    class Spy(SequenceAgent):
+        dim: int = 8
+        hidden: int = 4
+        max_iter: int = 5
+        max_rows: int | None = 10
+
+        def _chosen(self, train):
+            rows = super()._chosen(train)
+            seen.append((train.count(), rows.count()))
+            return rows
+    return Spy
+
+
+def test_textual_score_trains_on_all_rows(spark, monkeypatch):
+    from conftest import SF001
+    from hookline.plans import q_models
+    from hookline.sources.tables import emails
+    seen = []
+    monkeypatch.setattr(q_models, "SequenceAgent", _spying_agent(seen))
+    n = emails(spark, SF001).count()
+    assert n > 10 and q_models.ml_textual_score(spark, SF001).count() == n
+    assert seen == [(n, n)]
+
+
+def test_a_fit_on_all_rows_has_more_tasks_for_more_rows(spark):
+    rows = [(i, float(i % 2), [f"w{i}", f"w{i * 7 % 300}"]) for i in range(3000)]
+    d = spark.createDataFrame(rows, "id long, label double, _words array<string>")
+    a = SequenceAgent(max_rows=None)
+    assert sorted(r.id for r in a._chosen(d).collect()) == list(range(3000))
+    for n in (1, 68_000, 200_000, 1_200_000, 50_000_000):
+        assert n / a._partitions(n) <= a.task_rows
+    assert [a._partitions(n) for n in (0, 400, 100_000, 200_000)] == [SequenceAgent()._partitions(n) for n in (0, 400, 100_000, 200_000)]
+
+
 def test_sequence_agent_trains_a_bounded_number_of_rows_a_task(spark, tmp_path):
     a = SequenceAgent()
     assert [a._partitions(n) for n in (0, 400, 4 * a.task_rows)] == [a.partitions] * 3
