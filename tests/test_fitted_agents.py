@@ -224,6 +224,18 @@ def test_textual_score_trains_on_all_rows(spark, monkeypatch):
     assert seen == [(n, n)]
 
 
+def test_agents_of_a_fold_train_on_all_its_fit_rows(spark, monkeypatch):
+    """What cross-validation and every query with a published model fit with."""
+    from conftest import SF001
+    from hookline.plans import cv
+    seen = []
+    monkeypatch.setattr(cv, "SequenceAgent", _spying_agent(seen))
+    t = cv.feature_tables(spark, SF001)
+    n = t["emails"].where(~F.col(cv.cal_flag(2))).count()
+    cv.fit_agents(t, [2])
+    assert n > 10 and seen == [(n, n)]
+
+
 def test_a_fit_on_all_rows_has_more_tasks_for_more_rows(spark):
     rows = [(i, float(i % 2), [f"w{i}", f"w{i * 7 % 300}"]) for i in range(3000)]
     d = spark.createDataFrame(rows, "id long, label double, _words array<string>")
