@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, IDF, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
@@ -96,19 +97,24 @@ def tfidf_long(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFram
     return t.mapInArrow(weigh, schema)
 
 
-def fit_tfidf_vectors(terms: DataFrame, col: str = "terms", out: str = "tfidf", k: int = TFIDF_MAX_TERMS):
-    """Fitted feature stages: term counts -> (idf + 1) rescale -> L2 normaliser.
-
-    The vocabulary is the k most frequent terms with ties by term, as in
-    ``top_terms``; CountVectorizer's own fit takes any of the tied terms.
-    """
+def fit_term_counter(terms: DataFrame, col: str = "terms", out: str = "_tf",
+                     k: int = TFIDF_MAX_TERMS) -> CountVectorizerModel:
+    """Counts of the k most frequent terms, with ties by term, as in ``top_terms``;
+    CountVectorizer's own fit takes any of the tied terms."""
     corpus = terms.select(F.explode(col).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     vocab = [r["term"] for r in corpus.orderBy(F.col("n").desc(), F.col("term")).limit(k).collect()]
-    cv = CountVectorizerModel.from_vocabulary(vocab, inputCol=col, outputCol="_tf")
-    counted = cv.transform(terms)
-    idf = IDF(inputCol="_tf", outputCol="_ignored").fit(counted)
-    scale = ElementwiseProduct(inputCol="_tf", outputCol="_tfidf",
+    return CountVectorizerModel.from_vocabulary(vocab, inputCol=col, outputCol=out)
+
+
+def fit_tfidf_weights(counted: DataFrame, tf: str = "_tf", out: str = "tfidf") -> PipelineModel:
+    """Stages that turn term counts into (idf + 1) * counts, L2-normalised."""
+    idf = IDF(inputCol=tf, outputCol="_ignored").fit(counted)
+    scale = ElementwiseProduct(inputCol=tf, outputCol="_tfidf",
                                scalingVec=Vectors.dense([x + 1.0 for x in idf.idf.toArray()]))
-    norm = Normalizer(inputCol="_tfidf", outputCol=out, p=2.0)
-    from pyspark.ml import PipelineModel
-    return PipelineModel(stages=[cv, scale, norm])
+    return PipelineModel(stages=[scale, Normalizer(inputCol="_tfidf", outputCol=out, p=2.0)])
+
+
+def fit_tfidf_vectors(terms: DataFrame, col: str = "terms", out: str = "tfidf", k: int = TFIDF_MAX_TERMS) -> PipelineModel:
+    """Fitted feature stages: term counts -> (idf + 1) rescale -> L2 normaliser."""
+    counter = fit_term_counter(terms, col, "_tf", k)
+    return PipelineModel(stages=[counter, *fit_tfidf_weights(counter.transform(terms), "_tf", out).stages])

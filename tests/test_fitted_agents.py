@@ -57,6 +57,32 @@ def test_tfidf_agent_vocabulary_ties_and_reload(spark, tmp_path):
     assert {r.email_id: r.p for r in again.score(d, "p").collect()} == want
 
 
+def test_terms_are_made_in_the_row_and_never_kept(spark, monkeypatch, tmp_path):
+    """Neither a cache nor a table holds term arrays; the model is that of the plain stages."""
+    from conftest import SF001
+    from pyspark.ml import Pipeline
+    from hookline.operators.models import lr, positive_probability
+    from hookline.operators.tfidf import fit_tfidf_vectors
+    from hookline.plans import q_models
+    rows = [(i, i % 2, ["common", "common", f"odd{i % 7}" if i % 2 else f"even{i % 5}", f"w{i % 3}"]) for i in range(60)]
+    d = spark.createDataFrame(rows, "email_id long, y int, terms array<string>")
+    stages = fit_tfidf_vectors(d, "terms", "features")
+    x = stages.transform(d).withColumn("label", F.col("y").cast("double"))
+    plain = positive_probability(Pipeline(stages=[lr(60)]).fit(x).transform(x), "p")
+
+    def persist(self, *a):
+        raise AssertionError(f"cached: {self.columns}")
+    monkeypatch.setattr(type(d), "persist", persist)
+    got = {r.email_id: r.p for r in TfidfAgent().fit(d).score(d, "p").collect()}
+    assert got == pytest.approx({r.email_id: r.p for r in plain.collect()}, abs=1e-5)
+
+    monkeypatch.setattr(q_models, "scratch_path", lambda _, name: str(tmp_path / name))
+    assert q_models.ml_stacked_score(spark, SF001).count() == q_models.ml_surface_score(spark, SF001).count() > 0
+    for at in (tmp_path / "stacked" / "rows", tmp_path / "surface"):
+        kept = spark.read.parquet(str(at))
+        assert "raw_text" in kept.columns and "array<string>" not in dict(kept.dtypes).values()
+
+
 def test_strict_reader_rejects_and_tolerant_reader_skips_extra_fields(spark, tmp_path):
     import pytest
     good = ["1,2,3", "1,2", '1,"a,b",3', '1,"say ""x,y""",3', "1,,"]
